@@ -87,16 +87,20 @@ def mean(total: Column, count: Column, digits: int) -> Column:
 # --- text forms of numbers (half-even on the binary value) ---
 
 
+def text_as(c: Column, pattern: str) -> Column:
+    return F.call_function("format_number", c.cast("double"), F.lit(pattern))
+
+
 def text_int(c: Column) -> Column:
     return F.format_number(c.cast("double"), 0)
 
 
 def text_pct(c: Column) -> Column:
-    return F.concat(F.format_number(c.cast("double"), "0.0"), F.lit("%"))
+    return F.concat(text_as(c, "0.0"), F.lit("%"))
 
 
 def text_two(c: Column) -> Column:
-    return F.format_number(c.cast("double"), "0.00")
+    return text_as(c, "0.00")
 
 
 def text_month(c: Column) -> Column:

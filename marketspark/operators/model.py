@@ -300,14 +300,3 @@ def dim_date(orders_fact: DataFrame) -> DataFrame:
         F.date_format(day, "EEE").alias("weekday_name"),
     )
 
-
-MODEL_TABLES = (
-    "fact_orders",
-    "fact_order_items",
-    "fact_payments",
-    "dim_customer",
-    "dim_product",
-    "dim_seller",
-    "dim_state",
-    "dim_date",
-)

@@ -2,44 +2,304 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-from marketspark.plans import questions, warehouse
-from marketspark.sources import binding
-from marketspark.sources.binding import PARAMS
+from marketspark.operators import clean, measures, model, quality, textcheck
+from marketspark.operators.reconcile import reconcile
+from marketspark.plans import dashboard, facts, questions, warehouse
+from marketspark.plans.pipeline import ANSWER_FILES, QUESTION_TEXTS
 from marketspark.plans.warehouse import Warehouse
-from marketspark.sources.store import Lake
+from marketspark.sources import binding, contract, raw, sinks
+from marketspark.sources.binding import PARAMS
+from marketspark.sources.store import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-_lakes: dict[tuple[str, str], Lake] = {}
+LABEL = "derived test tables"
+MADE_ON = datetime.date(2002, 1, 1)
 
+_warehouses: dict[tuple[str, str], Warehouse] = {}
 
-def lake_for(spark: SparkSession, sf_dir: str) -> Lake:
+
+def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The stored tables of one input folder; each is built once in a Spark application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _lakes:
-        raw = binding.raw_tables(spark, sf_dir)
-        _lakes[key] = Warehouse(spark, raw, binding.states(spark, sf_dir))
-    return _lakes[key]
+    if key not in _warehouses:
+        tables = binding.raw_tables(spark, sf_dir)
+        _warehouses[key] = Warehouse(spark, tables, PARAMS, binding.states(spark, sf_dir))
+    return _warehouses[key]
+
+
+def _register(name: str, build: Callable[[Warehouse], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(warehouse_for(spark, sf_dir))
+
+
+# --- sources: the raw tables make a round trip through CSV files of the contract ---
+
+
+def _as_files(t: Warehouse, names: tuple[str, ...], drop: dict[str, str] | None = None) -> str:
+    """Write raw tables as CSV parts named by the contract, one level below the returned folder."""
+    folder = new_folder(t.spark, "files")
+    for name in names:
+        ending = contract.CONTRACT[name][0]
+        df = t[f"raw_{name}"].drop((drop or {}).get(name, ""))
+        df.write.option("header", True).option("escape", '"').csv(f"{folder}/parts/shop_{ending}")
+    return folder
+
+
+def _round_trip(t: Warehouse, name: str) -> DataFrame:
+    files = contract.find_files(t.spark, _as_files(t, (name,)))
+    return raw.read_raw(t.spark, files[name], name)
 
 
-def _register(name: str, build: Callable[[Lake], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(lake_for(spark, sf_dir))
+def _misspelt(t: Warehouse) -> DataFrame:
+    df = t["raw_products"].select("product_id", "product_name_length", "product_category_name")
+    return contract.normalise_columns(df.toDF("﻿Product_ID", ' "product_name_lenght"', "product_category_name "))
 
 
+def _broken_folder(t: Warehouse) -> DataFrame:
+    names = tuple(n for n in t.raw_names if n not in ("payments", "geolocation"))
+    folder = _as_files(t, names, drop={"sellers": "seller_state", "products": "product_weight_g"})
+    return contract.schema_problems(t.spark, folder)
+
+
+_register("load_raw_text", lambda t: _round_trip(t, "reviews"))
+_register("normalise_columns", _misspelt)
+_register("schema_problems", _broken_folder)
+_register("load_summary", lambda t: raw.load_summary(t.raw()))
+
 # --- cleaning: straight from the raw text ---
+_register(
+    "try_cast_columns",
+    lambda t: clean.typed(
+        t["raw_products"].select(
+            "product_id",
+            "product_category_name",
+            "product_photos_qty",
+            "product_description_length",
+            "product_weight_g",
+        ),
+        {
+            "product_photos_qty": "int",
+            "product_description_length": "int",
+            "product_weight_g": "double",
+        },
+    ),
+)
+_register(
+    "blank_to_null",
+    lambda t: t["raw_products"].select(
+        "product_id", clean.blank_to_null(F.col("product_category_name")).alias("category")
+    ),
+)
+_register(
+    "normalise_text",
+    lambda t: t["raw_customers"].select(
+        "customer_id",
+        clean.lower_trim(F.col("customer_city")).alias("city"),
+        clean.upper_trim(F.col("customer_state")).alias("state"),
+    ),
+)
+_register(
+    "pad_zip",
+    lambda t: t["raw_sellers"].select(
+        "seller_id", clean.pad_zip(F.col("seller_zip_code_prefix")).alias("zip")
+    ),
+)
+_register(
+    "dedupe_by_key",
+    lambda t: clean.first_per_key(
+        t["raw_customers"], ["customer_id"], F.col("customer_unique_id").asc_nulls_last()
+    ),
+)
+_register("drop_exact_duplicates", lambda t: clean.drop_exact_duplicates(t["raw_order_items"]))
 for _name, _build in warehouse.CLEAN.items():
     _register(_name, _build)
 
 # --- star schema: each table from the stored tables before it ---
+_register("items_per_order", lambda t: model.items_per_order(t["clean_order_items"]))
+_register("payments_per_order", lambda t: model.payments_per_order(t["clean_payments"]))
+
+
+def _delay_columns(t: Warehouse) -> DataFrame:
+    valid, days = F.col("has_valid_delivery"), F.col("delay_days")
+    band, position = model.delay_band(valid, days)
+    return t["clean_orders"].select(
+        "order_id",
+        model.is_late(valid, days).alias("is_late"),
+        band.alias("delay_bucket"),
+        position.alias("delay_bucket_order"),
+    )
+
+
+def _answered_early(t: Warehouse) -> DataFrame:
+    reviews = t["clean_reviews"].select("order_id", "review_answered_ts")
+    early = model.answered_before_delivery(
+        F.col("has_valid_delivery"), F.col("review_answered_ts"), F.col("delivered_ts")
+    )
+    return (
+        t["clean_orders"]
+        .join(reviews, "order_id", "left")
+        .select("order_id", early.alias("answered_early"))
+    )
+
+
+_register("delay_columns", _delay_columns)
+_register("review_answered_before_delivery", _answered_early)
 for _name, _build in warehouse.MODEL.items():
     _register(_name, _build)
 
+
+def _model_rows(t: Warehouse) -> DataFrame:
+    """Both stages as one lazy plan, straight from the raw text."""
+    lazy = warehouse.build_model(t.spark, t.raw(), t["states"], t.box)
+    return raw.load_summary(lazy).select(
+        F.regexp_replace("table", "^raw_", "").alias("table"), "rows"
+    )
+
+
+_register("build_model", _model_rows)
+
 # --- questions over the stored star schema ---
 for _q in questions.QUESTIONS:
-    _register(_q.answer.__name__, lambda lake, q=_q: q.answer(lake, PARAMS))
+    _register(_q.answer.__name__, lambda t, q=_q: q.answer(t, PARAMS))
+
+# --- decision facts and dashboard queries over the stored answers ---
+for _fact in (
+    facts.review_gap_ci,
+    facts.worst_states,
+    facts.month1_retention,
+    facts.repeat_uplift,
+    facts.top3_share,
+    facts.freight_what_if,
+    facts.last_full_month,
+    facts.revenue_trend_full_months,
+    facts.late_rate_vs_national,
+    facts.top10_categories,
+):
+    _register(_fact.__name__, _fact)
+_register("late_rate_by_timestamp", lambda t: facts.late_rate_by_timestamp(t, t["dq_log"]))
+_register("worst_states_what_if", lambda t: facts.worst_states_what_if(t, PARAMS))
+_register("cohort_grid", lambda t: facts.cohort_grid(t, PARAMS))
+
+
+def _facts(t: Warehouse) -> DataFrame:
+    return facts.memo_facts(t, t["dq_log"], PARAMS, LABEL, MADE_ON)
+
+
+_register("memo_facts", _facts)
+for _metric in dashboard.TREND_METRICS:
+    _register(
+        f"monthly_trend_{_metric}", lambda t, m=_metric: dashboard.monthly_trend(t, m, True)
+    )
+_register("monthly_trend_all_months", lambda t: dashboard.monthly_trend(t, "orders_placed", False))
+for _order in dashboard.CATEGORY_ORDERS:
+    _register(
+        f"category_ranking_{_order}", lambda t, o=_order: dashboard.category_ranking(t, 7, o, True)
+    )
+_register(
+    "category_ranking_all", lambda t: dashboard.category_ranking(t, 12, "highest_review", False)
+)
+_register("late_by_state_filtered", lambda t: dashboard.late_by_state_filtered(t, 170))
+_register("retention_curve", lambda t: dashboard.retention_curve(t, 1))
+
+# --- data quality: the whole log, and each check alone ---
+_register("dq_log", quality.quality_log)
+for _check in quality.CHECK_NAMES:
+    _register(f"dq_{_check}", lambda t, name=_check: quality.quality_log(t, [name]))
+
+# --- exports and reconciliation ---
+
+
+def _export(t: Warehouse) -> dict[str, DataFrame]:
+    return sinks.export_model(t.model(), t.answers(), new_folder(t.spark, "export"))
+
+
+def _export_rows(t: Warehouse) -> DataFrame:
+    return raw.load_summary(_export(t)).select(
+        F.regexp_replace("table", "^raw_", "").alias("table"), "rows"
+    )
+
+
+def _export_columns(t: Warehouse) -> DataFrame:
+    """What leaves: every exported order line as read back from disk, review text not among it."""
+    return _export(t)["fact_order_items"]
+
+
+_register("export_model", _export_rows)
+_register("export_privacy", _export_columns)
+_register(
+    "export_results",
+    lambda t: sinks.export_results(
+        t.answers(), QUESTION_TEXTS, ANSWER_FILES, new_folder(t.spark, "results")
+    ),
+)
+_register("reconciliation", lambda t: reconcile(t, _export(t)))
+
+# --- semantic layer ---
+YEARS = {"dim_date.year": (1997, 1998)}
+MEASURE_VIEWS: dict[str, tuple[list[str], dict | None]] = {
+    "orders_placed": (["dim_date.year", "dim_state.region"], None),
+    "delivered_orders": (["dim_date.quarter"], YEARS),
+    "revenue": (["dim_state.region"], YEARS),
+    "average_order_value": (["dim_date.year"], {"dim_state.region": ("ASIA", "EUROPE")}),
+    "item_revenue": (["dim_seller.seller_state"], None),
+    "freight_share": (["dim_product.category"], YEARS),
+    "payment_value": (["fact_payments.payment_type", "dim_state.region"], None),
+    "customers": (["dim_customer.customer_state"], YEARS),
+    "repeat_customers": (["dim_customer.customer_state"], None),
+    "repeat_rate": ([], None),
+    "orders_with_delivery_date": (["dim_state.state_code"], None),
+    "late_orders": (["dim_date.month_start"], None),
+    "late_rate": (["dim_customer.customer_city"], None),
+    "avg_delivery_days": (["dim_date.weekday_name"], None),
+    "avg_review_score": (["fact_orders.main_payment_type"], None),
+    "low_review_share": (["fact_orders.delay_bucket"], None),
+    "answered_before_delivery_share": (["dim_state.region"], None),
+    "avg_review_orders_in_category": (["fact_order_items.category"], None),
+}
+for _name, (_by, _where) in MEASURE_VIEWS.items():
+    _register(
+        f"measure_{_name}",
+        lambda t, n=_name, b=_by, w=_where: measures.measure(t, n, b, w),
+    )
+_register("measure_revenue_mom", lambda t: measures.revenue_mom(t))
+_register("view_revenue_by_state", lambda t: measures.revenue_by_state(t, YEARS))
+_register("view_top_categories", measures.top_categories_by_item_revenue)
+_register("view_payment_mix", measures.payment_mix)
+_register(
+    "view_cohort_matrix",
+    lambda t: measures.cohort_matrix(t["cohort_retention"], PARAMS.min_cohort_size),
+)
+_register("view_orders_per_customer", measures.orders_per_customer)
+_register("view_experience_by_delay", measures.experience_by_delay)
+_register(
+    "view_late_rate_by_state",
+    lambda t: measures.late_rate_by_state(t, PARAMS.min_state_orders),
+)
+_register("view_revenue_by_weekday", measures.revenue_by_weekday)
+
+# --- numbers quoted in texts ---
+
+
+def _text_query(name: str, build: Callable[[DataFrame, Warehouse], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(
+        binding.read_table(spark, sf_dir, "documents"), warehouse_for(spark, sf_dir)
+    )
+
+
+_text_query("extract_numbers", lambda docs, t: textcheck.extract_numbers(docs))
+_text_query("number_variants", lambda docs, t: textcheck.number_variants(docs))
+_register("allowed_numbers", lambda t: textcheck.allowed_numbers(_facts(t)))
+_text_query(
+    "unsupported_numbers", lambda docs, t: textcheck.unsupported_numbers(docs, _facts(t))
+)
+_text_query("number_check", lambda docs, t: textcheck.number_check(docs, _facts(t)))
+_text_query(
+    "number_check_by_join", lambda docs, t: textcheck.number_check(docs, _facts(t), max_inline=0)
+)

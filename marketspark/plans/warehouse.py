@@ -1,4 +1,4 @@
-"""The table graph: raw text -> typed tables -> star schema, one builder for each table."""
+"""The table graph: raw text -> typed tables -> star schema -> answers, one builder for each."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketspark.operators import clean, model
 from marketspark.operators.clean import BRAZIL, Box
+from marketspark.operators.quality import quality_log
+from marketspark.params import Params
+from marketspark.plans.questions import QUESTIONS
 from marketspark.sources.store import Lake
 
 Builder = Callable[[Lake], DataFrame]
@@ -45,8 +48,16 @@ MODEL: dict[str, Builder] = {
 }
 
 
+ANSWERS: dict[str, Builder] = {
+    q.answer.__name__: (lambda t, q=q: q.answer(t, t.params)) for q in QUESTIONS
+}
+REPORTS: dict[str, Builder] = {"dq_log": lambda t: quality_log(t, box=t.box)}
+
+
 class Warehouse(Lake):
-    """Raw tables stay plans over their files; typed and model tables are written once.
+    """Every table of one input by name. Typed tables, the star schema, the quality log and the
+    answers are each written once, on first use; raw tables stay plans over their files unless
+    `store_raw` asks for a columnar copy (worth it for CSV, which is slow to read twice).
 
     With stored=False every table is a lazy plan: for small inputs, and for reading whole plans.
     """
@@ -55,22 +66,41 @@ class Warehouse(Lake):
         self,
         spark: SparkSession,
         raw: dict[str, DataFrame],
+        params: Params,
         states: DataFrame | None = None,
         box: Box = BRAZIL,
         folder: str | None = None,
         stored: bool = True,
+        store_raw: bool = False,
     ):
         self.box = box
+        self.params = params
+        self.raw_names = tuple(raw)
         given = {f"raw_{name}": df for name, df in raw.items()}
         given["states"] = model.brazil_states(spark) if states is None else states
         plans = {name: (lambda lake, df=df: df) for name, df in given.items()}
-        builders = plans | CLEAN | MODEL
-        super().__init__(spark, builders, frozenset(plans if stored else builders), folder)
+        builders = plans | CLEAN | MODEL | ANSWERS | REPORTS
+        if not stored:
+            views = frozenset(builders)
+        else:
+            views = frozenset({"states"} if store_raw else plans)
+        super().__init__(spark, builders, views, folder)
+
+    def raw(self) -> dict[str, DataFrame]:
+        return {name: self[f"raw_{name}"] for name in self.raw_names}
+
+    def model(self) -> dict[str, DataFrame]:
+        return self.pick(*MODEL)
+
+    def answers(self) -> dict[str, DataFrame]:
+        return self.pick(*ANSWERS)
 
 
 def build_model(
-    raw: dict[str, DataFrame], states: DataFrame, box: Box = BRAZIL
+    spark: SparkSession,
+    raw: dict[str, DataFrame],
+    states: DataFrame | None = None,
+    box: Box = BRAZIL,
 ) -> dict[str, DataFrame]:
     """The star schema as lazy plans from the raw tables, nothing stored."""
-    tables = Warehouse(states.sparkSession, raw, states, box, stored=False)
-    return tables.pick(*model.MODEL_TABLES)
+    return Warehouse(spark, raw, Params(), states, box, stored=False).model()

@@ -14,11 +14,11 @@ from marketspark.params import Params
 
 #: Cut-offs with groups on both sides at scale factor 0.01.
 PARAMS = Params(
-    min_category_orders=180,
-    min_state_orders=150,
-    min_route_orders=6,
-    min_seller_orders=140,
-    min_cohort_size=25,
+    min_category_orders=550,
+    min_state_orders=170,
+    min_route_orders=20,
+    min_seller_orders=147,
+    min_cohort_size=45,
     worst_states_for_what_if=5,
 )
 

@@ -1,9 +1,10 @@
 """Independent DuckDB SQL for every query: the correctness twin of the Spark jobs."""
 
+from oracle import facts, measures, quality, text
 from oracle.questions import QUESTIONS
 from oracle.tables import with_tables
 
-TYPED = (
+STORED = (
     "clean_customers",
     "clean_sellers",
     "clean_products",
@@ -12,8 +13,6 @@ TYPED = (
     "clean_payments",
     "clean_reviews",
     "clean_state_centroids",
-)
-MODEL = (
     "fact_orders",
     "fact_order_items",
     "fact_payments",
@@ -24,6 +23,9 @@ MODEL = (
     "dim_date",
 )
 
-PLAIN: dict[str, str] = {name: f"SELECT * FROM {name}" for name in TYPED + MODEL} | QUESTIONS
+PLAIN: dict[str, str] = {name: f"SELECT * FROM {name}" for name in STORED}
+PLAIN |= QUESTIONS | facts.SHOWN | measures.SHOWN | text.SHOWN
+PLAIN["dq_log"] = quality.LOG
+PLAIN |= {f"dq_{name}": sql for name, sql in quality.LINES.items()}
 
 ORACLES = {name: with_tables(sql) for name, sql in PLAIN.items()}
