@@ -20,10 +20,18 @@ _LOWEST, _HIGHEST = -40, 1000
 _NULL_BAND = -(2**62)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """Keep the first row of each key; the remaining columns break every tie."""
-    rest = [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
-    ordered = Window.partitionBy(*keys).orderBy(*order, *rest)
+def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """Keep the first row of each key in the order given ("column" or "column desc", NULLs last).
+
+    The remaining columns break every tie.
+    """
+    named = {column: "desc" in rest for column, *rest in (o.split() for o in order)}
+    named |= {c: False for c in df.columns if c not in named and c not in keys}
+    by = [
+        F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last()
+        for c, descending in named.items()
+    ]
+    ordered = Window.partitionBy(*keys).orderBy(*by)
     return df.withColumn("_n", F.row_number().over(ordered)).filter("_n = 1").drop("_n")
 
 
@@ -75,8 +83,8 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
         .agg(F.sum("_n").alias("_n"))
         .withColumn("_upto", F.sum("_n").over(up_to))
         .withColumn("_rows", F.sum("_n").over(by_band))
-        .withColumn("_lo", F.floor((F.col("_rows") - 1) / 2))
-        .withColumn("_hi", F.floor(F.col("_rows") / 2))
+        .withColumn("_lo", F.expr("(_rows - 1) div 2"))
+        .withColumn("_hi", F.expr("_rows div 2"))
         .filter((F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_n") <= F.col("_hi")))
     )
     middle = bands.select(

@@ -64,7 +64,7 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def clean_customers(raw: DataFrame) -> DataFrame:
     """One row per customer_id, which is issued per order; the person is customer_unique_id."""
-    one = first_per_key(raw, ["customer_id"], F.col("customer_unique_id").asc_nulls_last())
+    one = first_per_key(raw, ["customer_id"], "customer_unique_id")
     return one.select(
         "customer_id",
         "customer_unique_id",
@@ -75,7 +75,7 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 
 
 def clean_sellers(raw: DataFrame) -> DataFrame:
-    one = first_per_key(raw, ["seller_id"], F.col("seller_state").asc_nulls_last())
+    one = first_per_key(raw, ["seller_id"], "seller_state")
     return one.select(
         "seller_id",
         pad_zip(F.col("seller_zip_code_prefix")).alias("seller_zip_code_prefix"),
@@ -98,7 +98,7 @@ def clean_products(raw: DataFrame, raw_translation: DataFrame) -> DataFrame:
 
     The product is deduplicated before the lookup, so the join sees each product once.
     """
-    one = first_per_key(raw, ["product_id"], F.col("product_category_name").asc_nulls_last())
+    one = first_per_key(raw, ["product_id"], "product_category_name")
     source = blank_to_null(F.col("product_category_name"))
     named = one.withColumn("_source", source).join(
         category_names(raw_translation), F.col("_source") == F.col("category_pt"), "left"
@@ -118,9 +118,14 @@ def clean_products(raw: DataFrame, raw_translation: DataFrame) -> DataFrame:
     )
 
 
+def _days(end: Column, start: Column) -> Column:
+    """Days between two dates; the time of day does not count."""
+    return F.datediff(end.cast("date"), start.cast("date")).cast("bigint")
+
+
 def clean_orders(raw: DataFrame) -> DataFrame:
     """Typed orders with delivery flags. Status beats dates; days compare dates, not timestamps."""
-    one = first_per_key(raw, ["order_id"], F.col("order_purchase_timestamp").asc_nulls_last())
+    one = first_per_key(raw, ["order_id"], "order_purchase_timestamp")
     status = F.col("order_status")
     purchased, delivered = F.col("purchase_ts"), F.col("delivered_ts")
     valid = F.col("has_valid_delivery")
@@ -147,12 +152,8 @@ def clean_orders(raw: DataFrame) -> DataFrame:
         )
         .withColumns(
             {
-                "delivery_days": F.when(
-                    valid, F.datediff(delivered.cast("date"), purchased.cast("date"))
-                ),
-                "delay_days": F.when(
-                    valid, F.datediff(delivered.cast("date"), F.col("estimated_ts").cast("date"))
-                ),
+                "delivery_days": F.when(valid, _days(delivered, purchased)),
+                "delay_days": F.when(valid, _days(delivered, F.col("estimated_ts"))),
             }
         )
     )
@@ -164,7 +165,7 @@ def clean_order_items(raw: DataFrame) -> DataFrame:
     The kept row is the first one under a total order of all columns, so exact copies fall out of
     the same pass and no separate DISTINCT shuffle is needed.
     """
-    one = first_per_key(raw, ["order_id", "order_item_id"], F.col("product_id").asc_nulls_last())
+    one = first_per_key(raw, ["order_id", "order_item_id"], "product_id")
     return one.select(
         "order_id",
         try_int(F.col("order_item_id")).alias("order_item_id"),
@@ -205,9 +206,9 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
     latest = first_per_key(
         slim,
         ["order_id"],
-        F.col("review_answered_ts").desc_nulls_last(),
-        F.col("review_created_ts").desc_nulls_last(),
-        F.col("review_id").asc_nulls_last(),
+        "review_answered_ts desc",
+        "review_created_ts desc",
+        "review_id",
     )
     score = F.col("review_score")
     return latest.withColumn("review_score", F.when(score.between(1, 5), score))

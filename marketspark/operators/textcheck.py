@@ -17,6 +17,7 @@ NUMBER = r"\d[\d,]*(?:\.\d+)?"
 SMALL_NUMBERS = range(11)
 
 MAX_INLINE = 2_000
+SPREAD = 32
 _EXACT_DIGITS = 15  # integer digits that a double keeps
 
 
@@ -49,7 +50,9 @@ def variants(number: Column) -> Column:
 
 def extract_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, number): one row for each number, in the order of the text."""
-    return docs.select(key, F.posexplode(numbers_in(F.col(text))).alias("pos", "number"))
+    return docs.select(key, F.posexplode(numbers_in(F.col(text))).alias("pos", "number")).select(
+        key, F.col("pos").cast("bigint").alias("pos"), "number"
+    )
 
 
 def number_variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,7 +73,9 @@ def allowed_numbers(facts: DataFrame, text: str = "text") -> DataFrame:
 def _inline(allowed: DataFrame, limit: int) -> list[str] | None:
     """The allowed spellings if there are at most `limit` of them; never reads more than that."""
     rows = allowed.limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted({r[0] for r in rows} | {str(n) for n in SMALL_NUMBERS})
+    if len(rows) > limit:
+        return None
+    return sorted({row[0] for row in rows} | {str(n) for n in SMALL_NUMBERS})
 
 
 def unsupported_numbers(
@@ -88,13 +93,18 @@ def unsupported_numbers(
         backed = F.exists(variants(F.col("number")), lambda v: v.isin(spellings))
         return occurrences.filter(~backed)
     # Each different number is looked up once; the texts meet only the list of backed numbers.
+    # A number such as a year may be a third of all occurrences, so the occurrences are spread over
+    # SPREAD buckets and the short list is repeated in each.
     backed = (
         number_variants(docs, key, text)
         .join(allowed, "variant", "left_semi")
         .select("number")
         .distinct()
+        .withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     )
-    return occurrences.join(backed, "number", "left_anti").select(key, "pos", "number")
+    bucket = F.pmod(F.xxhash64(key, "pos"), F.lit(SPREAD)).cast("int")
+    spread = occurrences.withColumn("_bucket", bucket)
+    return spread.join(backed, ["number", "_bucket"], "left_anti").select(key, "pos", "number")
 
 
 def number_check(

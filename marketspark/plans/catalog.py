@@ -114,7 +114,7 @@ _register(
 _register(
     "dedupe_by_key",
     lambda t: clean.first_per_key(
-        t["raw_customers"], ["customer_id"], F.col("customer_unique_id").asc_nulls_last()
+        t["raw_customers"], ["customer_id"], "customer_unique_id"
     ),
 )
 _register("drop_exact_duplicates", lambda t: clean.drop_exact_duplicates(t["raw_order_items"]))

@@ -2,12 +2,13 @@
 
 Each question is a function (model, params) -> DataFrame. Hot keys are safe because every question
 first groups by a fine key (order, day or month of a person) with map-side partial aggregation, and
-only the small result is windowed or ranked. Totals come in as scalar subqueries.
+only the small result is windowed or ranked. A total is taken from that small result as well: a
+subquery for it would scan the facts a second time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,7 @@ from marketspark.functions.columns import flag, mean, month_index, pct, ratio
 from marketspark.functions.ordering import exact_median, global_rank
 from marketspark.params import Params
 
-Model = dict[str, DataFrame]
+Model = Mapping[str, DataFrame]
 
 ALL_CATEGORIES = "ALL CATEGORIES"
 PARTIAL_MONTH_SHARE = 0.1
@@ -48,14 +49,15 @@ def monthly_orders_revenue(model: Model, params: Params) -> DataFrame:
             "revenue_delivered"
         ),
     )
-    typical = monthly.agg(F.median("orders_placed").alias("m"))  # one row for each month
+    # One row for each month from here on.
+    typical = F.median("orders_placed").over(Window.partitionBy(F.lit(0)))
     by_month = Window.partitionBy(F.lit(0)).orderBy("purchase_month")
     revenue = F.col("revenue_delivered")
     before = F.lag(revenue).over(by_month)
     partial = F.col("is_partial_month")
     both_full = (partial == 0) & (F.lag(partial).over(by_month) == 0)
     return (
-        monthly.withColumn("_typical", typical.scalar())
+        monthly.withColumn("_typical", typical)
         .withColumn(
             "is_partial_month",
             flag(F.col("orders_placed") < F.col("_typical") * PARTIAL_MONTH_SHARE),
@@ -166,14 +168,15 @@ def top_categories(model: Model, params: Params) -> DataFrame:
         )
         .withColumn("enough", F.col("orders") >= params.min_category_orders)
     )
-    total = sales.agg(F.sum("revenue"))
+    # One row for each category from here on.
+    total = F.sum("revenue").over(Window.partitionBy(F.lit(0)))
     by_revenue = Window.partitionBy(F.lit(0)).orderBy(F.col("revenue").desc_nulls_last())
     by_review = Window.partitionBy("enough").orderBy(F.col("avg_review").desc_nulls_last())
     return sales.select(
         "category",
         "orders",
         "revenue",
-        F.round(pct(F.col("revenue"), total.scalar()), 2).alias("revenue_share_pct"),
+        F.round(pct(F.col("revenue"), total), 2).alias("revenue_share_pct"),
         F.rank().over(by_revenue).cast("bigint").alias("revenue_rank"),
         F.round("avg_review", 2).alias("avg_review"),
         "reviewed_orders",
@@ -329,7 +332,8 @@ def seller_stats(model: Model) -> DataFrame:
 
 
 def seller_ranking(model: Model, params: Params) -> DataFrame:
-    stats = seller_stats(model)
+    # Read three times below, so a warehouse keeps it as a table; it has one row for each seller.
+    stats = model["seller_stats"] if "seller_stats" in model else seller_stats(model)
     market = stats.agg(
         F.struct(
             ratio(F.sum("late"), F.sum("dated")).alias("late_rate"),
@@ -377,25 +381,30 @@ def payment_types(model: Model, params: Params) -> DataFrame:
             F.count("payment_installments").alias("lines"),
         )
     )
-    total = per_order.agg(
-        F.struct(F.count_distinct("order_id").alias("orders"), F.sum("value").alias("value"))
+    rolled = per_order.rollup("payment_type").agg(
+        F.grouping("payment_type").alias("_total"),
+        F.count_distinct("order_id").alias("orders_using_type"),
+        F.sum("value").alias("payment_value"),
+        mean(F.sum("instalments"), F.sum("lines"), 2).alias("avg_installments"),
     )
+
+    def in_total(column: str) -> Column:
+        total_row = F.when(F.col("_total") == 1, F.col(column))
+        return F.max(total_row).over(Window.partitionBy(F.lit(0)))
+
+    def of_total(column: str) -> Column:
+        return F.round(pct(F.col(column), F.col(f"_{column}")), 2)
+
+    columns = ("orders_using_type", "payment_value")
     return (
-        per_order.groupBy("payment_type")
-        .agg(
-            F.count(F.lit(1)).alias("orders_using_type"),
-            F.sum("value").alias("payment_value"),
-            mean(F.sum("instalments"), F.sum("lines"), 2).alias("avg_installments"),
-        )
-        .withColumn("_total", total.scalar())
+        rolled.withColumns({f"_{c}": in_total(c) for c in columns})
+        .filter("_total = 0")
         .select(
             "payment_type",
             "orders_using_type",
-            F.round(pct(F.col("orders_using_type"), F.col("_total.orders")), 2).alias(
-                "pct_of_orders"
-            ),
+            of_total("orders_using_type").alias("pct_of_orders"),
             "payment_value",
-            F.round(pct(F.col("payment_value"), F.col("_total.value")), 2).alias("pct_of_value"),
+            of_total("payment_value").alias("pct_of_value"),
             "avg_installments",
         )
         .orderBy(F.col("payment_value").desc_nulls_last(), F.col("payment_type").asc_nulls_last())

@@ -10,7 +10,7 @@ from marketspark.operators import clean, model
 from marketspark.operators.clean import BRAZIL, Box
 from marketspark.operators.quality import quality_log
 from marketspark.params import Params
-from marketspark.plans.questions import QUESTIONS
+from marketspark.plans.questions import QUESTIONS, seller_stats
 from marketspark.sources.store import Lake
 
 Builder = Callable[[Lake], DataFrame]
@@ -48,6 +48,7 @@ MODEL: dict[str, Builder] = {
 }
 
 
+SUMMARIES: dict[str, Builder] = {"seller_stats": seller_stats}
 ANSWERS: dict[str, Builder] = {
     q.answer.__name__: (lambda t, q=q: q.answer(t, t.params)) for q in QUESTIONS
 }
@@ -79,7 +80,7 @@ class Warehouse(Lake):
         given = {f"raw_{name}": df for name, df in raw.items()}
         given["states"] = model.brazil_states(spark) if states is None else states
         plans = {name: (lambda lake, df=df: df) for name, df in given.items()}
-        builders = plans | CLEAN | MODEL | ANSWERS | REPORTS
+        builders = plans | CLEAN | MODEL | SUMMARIES | ANSWERS | REPORTS
         if not stored:
             views = frozenset(builders)
         else:

@@ -82,11 +82,8 @@ class Lake:
             self._ready[name] = df
         return self._ready[name]
 
-    def __iter__(self):
-        return iter(self._builders)
-
-    def keys(self):
-        return self._builders.keys()
+    def __contains__(self, name: str) -> bool:
+        return name in self._builders
 
     def pick(self, *names: str) -> dict[str, DataFrame]:
         return {name: self[name] for name in names}

@@ -59,7 +59,7 @@ SELECT round(100.0 * sum(CASE months_since_first WHEN 1 THEN active_customers EL
 FROM q_cohorts, f_last WHERE cohort_month < last_full_month"""
 
 TABLES["f_uplift"] = """
-SELECT round(aov, 6) AS avg_order_value, round(customers * 0.01, 6) AS extra_repeat_customers_per_point,
+SELECT round(aov, 6) AS avg_order_value, round(CAST(customers AS DOUBLE) * 0.01, 6) AS extra_repeat_customers_per_point,
        round(CAST(customers AS DOUBLE) * 0.01 * aov, 6) AS revenue_per_repeat_point,
        round(100.0 * repeat_customers_same_day_only / greatest(repeat_customers, 1), 6)
            AS repeat_same_day_only_pct

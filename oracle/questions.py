@@ -74,7 +74,7 @@ GROUP BY category"""
 TABLES["dated_orders"] = "SELECT * FROM fact_orders WHERE has_valid_delivery = 1"
 
 TABLES["q_states"] = f"""
-SELECT customer_state, count(*) AS delivered_orders, sum(is_late) AS late_orders,
+SELECT customer_state, count(*) AS delivered_orders, count(nullif(is_late, 0)) AS late_orders,
        round(100.0 * avg(is_late), 2) AS late_rate_pct, round(avg(delivery_days), 1) AS avg_delivery_days,
        round(avg(CASE WHEN is_late = 1 THEN delay_days END), 1) AS avg_days_late_when_late,
        CASE WHEN count(*) >= {PARAMS.min_state_orders} THEN 1 ELSE 0 END AS enough_orders
