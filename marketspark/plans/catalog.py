@@ -31,7 +31,9 @@ def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _warehouses:
         tables = binding.raw_tables(spark, sf_dir)
-        _warehouses[key] = Warehouse(spark, tables, PARAMS, binding.states(spark, sf_dir))
+        _warehouses[key] = Warehouse(
+            spark, tables, PARAMS, binding.states(spark, sf_dir), label=LABEL, made_on=MADE_ON
+        )
     return _warehouses[key]
 
 
@@ -188,11 +190,7 @@ _register("worst_states_what_if", lambda t: facts.worst_states_what_if(t, PARAMS
 _register("cohort_grid", lambda t: facts.cohort_grid(t, PARAMS))
 
 
-def _facts(t: Warehouse) -> DataFrame:
-    return facts.memo_facts(t, t["dq_log"], PARAMS, LABEL, MADE_ON)
-
-
-_register("memo_facts", _facts)
+_register("memo_facts", warehouse.REPORTS["memo_facts"])
 for _metric in dashboard.TREND_METRICS:
     _register(
         f"monthly_trend_{_metric}", lambda t, m=_metric: dashboard.monthly_trend(t, m, True)
@@ -295,11 +293,11 @@ def _text_query(name: str, build: Callable[[DataFrame, Warehouse], DataFrame]) -
 
 _text_query("extract_numbers", lambda docs, t: textcheck.extract_numbers(docs))
 _text_query("number_variants", lambda docs, t: textcheck.number_variants(docs))
-_register("allowed_numbers", lambda t: textcheck.allowed_numbers(_facts(t)))
+_register("allowed_numbers", lambda t: textcheck.allowed_numbers(t["memo_facts"]))
 _text_query(
-    "unsupported_numbers", lambda docs, t: textcheck.unsupported_numbers(docs, _facts(t))
+    "unsupported_numbers", lambda docs, t: textcheck.unsupported_numbers(docs, t["memo_facts"])
 )
-_text_query("number_check", lambda docs, t: textcheck.number_check(docs, _facts(t)))
+_text_query("number_check", lambda docs, t: textcheck.number_check(docs, t["memo_facts"]))
 _text_query(
-    "number_check_by_join", lambda docs, t: textcheck.number_check(docs, _facts(t), max_inline=0)
+    "number_check_by_join", lambda docs, t: textcheck.number_check(docs, t["memo_facts"], max_inline=0)
 )

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from marketspark.operators.clean import BRAZIL, Box
 from marketspark.operators.reconcile import reconcile
 from marketspark.params import Params
-from marketspark.plans.facts import memo_facts
 from marketspark.plans.questions import QUESTIONS
 from marketspark.plans.warehouse import Warehouse
 from marketspark.sources.contract import require_contract
 from marketspark.sources.raw import load_summary, read_all
 from marketspark.sources.sinks import export_model, export_results
+from marketspark.sources.store import new_folder
 
 QUESTION_TEXTS = {q.answer.__name__: q.text for q in QUESTIONS}
 ANSWER_FILES = {q.answer.__name__: q.name for q in QUESTIONS}
@@ -56,7 +56,15 @@ def run_pipeline(
     files = require_contract(spark, raw_dir)
     raw = read_all(spark, files)
     tables = Warehouse(
-        spark, raw, params, states, box, folder=f"{out_dir}/lake", store_raw=True
+        spark,
+        raw,
+        params,
+        states,
+        box,
+        folder=new_folder(spark, "lake"),
+        store_raw=True,
+        label=label,
+        made_on=made_on,
     )
     summary = _report(load_summary(tables.raw()), f"{out_dir}/load_summary")
     dq_log = _report(tables["dq_log"], f"{out_dir}/dq_log")
@@ -64,7 +72,7 @@ def run_pipeline(
     index = export_results(answers, QUESTION_TEXTS, ANSWER_FILES, f"{out_dir}/results", fmt)
     exported = export_model(tables.model(), answers, f"{out_dir}/export", fmt)
     checked = _report(reconcile(answers, exported), f"{out_dir}/reconciliation")
-    facts = memo_facts(answers, tables["dq_log"], params, label, made_on)
+    facts = tables["memo_facts"]
     facts.coalesce(1).write.mode("overwrite").json(f"{out_dir}/facts")
     written = spark.read.schema(facts.schema).json(f"{out_dir}/facts")
     return PipelineResult(tables, exported, summary, dq_log, index, checked, written)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from marketspark.operators import clean, model
 from marketspark.operators.clean import BRAZIL, Box
 from marketspark.operators.quality import quality_log
 from marketspark.params import Params
+from marketspark.plans.facts import memo_facts
 from marketspark.plans.questions import QUESTIONS, seller_stats
 from marketspark.sources.store import Lake
 
@@ -52,13 +54,16 @@ SUMMARIES: dict[str, Builder] = {"seller_stats": seller_stats}
 ANSWERS: dict[str, Builder] = {
     q.answer.__name__: (lambda t, q=q: q.answer(t, t.params)) for q in QUESTIONS
 }
-REPORTS: dict[str, Builder] = {"dq_log": lambda t: quality_log(t, box=t.box)}
+REPORTS: dict[str, Builder] = {
+    "dq_log": lambda t: quality_log(t, box=t.box),
+    "memo_facts": lambda t: memo_facts(t, t["dq_log"], t.params, t.label, t.made_on),
+}
 
 
 class Warehouse(Lake):
-    """Every table of one input by name. Typed tables, the star schema, the quality log and the
-    answers are each written once, on first use; raw tables stay plans over their files unless
-    `store_raw` asks for a columnar copy (worth it for CSV, which is slow to read twice).
+    """Every table of one input by name. Typed tables, the star schema, the answers and the reports
+    are each written once, on first use; raw tables stay plans over their files unless `store_raw`
+    asks for a columnar copy (worth it for CSV, which is slow to read twice).
 
     With stored=False every table is a lazy plan: for small inputs, and for reading whole plans.
     """
@@ -73,8 +78,12 @@ class Warehouse(Lake):
         folder: str | None = None,
         stored: bool = True,
         store_raw: bool = False,
+        label: str = "",
+        made_on: datetime.date | None = None,
     ):
         self.box = box
+        self.label = label
+        self.made_on = made_on
         self.params = params
         self.raw_names = tuple(raw)
         given = {f"raw_{name}": df for name, df in raw.items()}
