@@ -70,6 +70,15 @@ def month_index(c: Column) -> Column:
     return (F.year(c) * 12 + F.month(c)).cast("bigint")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Round the scaled double half away from zero, so 1.005 (stored below 1.005) gives 1.0.
+
+    Spark's own round() goes through the shortest decimal text and would give 1.01.
+    """
+    scale = float(10**digits)
+    return F.round(c.cast("double") * scale, 0) / scale
+
+
 def ratio(num: Column, den: Column) -> Column:
     """Double division; NULL when the denominator is zero."""
     return F.try_divide(num.cast("double"), den.cast("double"))
@@ -81,7 +90,7 @@ def pct(num: Column, den: Column) -> Column:
 
 
 def mean(total: Column, count: Column, digits: int) -> Column:
-    return F.round(ratio(total, count), digits)
+    return rounded(ratio(total, count), digits)
 
 
 # --- text forms of numbers (half-even on the binary value) ---

@@ -15,6 +15,7 @@ from marketspark.functions.columns import (
     blank_to_null,
     lower_trim,
     pad_zip,
+    rounded,
     try_double,
     try_int,
     try_money,
@@ -234,8 +235,8 @@ def clean_state_centroids(raw: DataFrame, box: Box = BRAZIL) -> DataFrame:
     )
     return lat.join(lng, lat["state_code"].eqNullSafe(lng["_state"])).select(
         "state_code",
-        F.round("latitude", 4).alias("latitude"),
-        F.round("longitude", 4).alias("longitude"),
+        rounded(F.col("latitude"), 4).alias("latitude"),
+        rounded(F.col("longitude"), 4).alias("longitude"),
     )
 
 

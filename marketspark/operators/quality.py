@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions.columns import try_double, try_int, try_timestamp
+from marketspark.functions.columns import rounded, try_double, try_int, try_timestamp
 from marketspark.operators.clean import BRAZIL, UNKNOWN, Box
 
 Tables = Mapping[str, DataFrame]
@@ -349,7 +349,7 @@ def quality_log(
         checks = [c for c in source.checks if c.name in wanted]
         if checks:
             parts.append(_table_log(source, checks, tables, box))
-    share = F.round(F.try_divide(F.col("rows_affected") * 100.0, F.col("table_rows")), 3)
+    share = rounded(F.try_divide(F.col("rows_affected") * 100.0, F.col("table_rows")), 3)
     return reduce(DataFrame.unionByName, parts).select(
         "check",
         "table",

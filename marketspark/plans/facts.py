@@ -13,7 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.functions.columns import pct, ratio, text_int, text_month, text_pct, text_two
+from marketspark.functions.columns import (
+    pct,
+    ratio,
+    rounded,
+    text_int,
+    text_month,
+    text_pct,
+    text_two,
+)
 from marketspark.operators.clean import UNKNOWN
 from marketspark.params import Params
 from marketspark.plans.questions import ALL_CATEGORIES
@@ -40,7 +48,7 @@ def _listed(text: Column, when_empty: str = NONE_LISTED, sep: str = ", ") -> Col
 
 
 def _six(c: Column) -> Column:
-    return F.round(c.cast("double"), 6)
+    return rounded(c, 6)
 
 
 def _pick(column: str, group: str) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.functions.columns import flag, mean, month_index, pct, ratio
+from marketspark.functions.columns import flag, mean, month_index, pct, ratio, rounded
 from marketspark.functions.ordering import exact_median, global_rank
 from marketspark.params import Params
 
@@ -31,11 +31,11 @@ def delivered(df: DataFrame) -> DataFrame:
 
 def _share(condition: Column) -> Column:
     """Percentage of rows that meet the condition, two decimals."""
-    return F.round(F.avg(F.when(condition, 1).otherwise(0)) * 100, 2)
+    return rounded(F.avg(F.when(condition, 1).otherwise(0)) * 100, 2)
 
 
 def _avg(column: str, digits: int) -> Column:
-    return F.round(F.avg(F.col(column).cast("double")), digits)
+    return rounded(F.avg(F.col(column).cast("double")), digits)
 
 
 def monthly_orders_revenue(model: Model, params: Params) -> DataFrame:
@@ -69,7 +69,7 @@ def monthly_orders_revenue(model: Model, params: Params) -> DataFrame:
             "orders_cancelled",
             "revenue_delivered",
             mean(revenue, F.col("orders_delivered"), 2).alias("avg_order_value"),
-            F.when(both_full, F.round(pct(revenue - before, before), 2)).alias("revenue_mom_pct"),
+            F.when(both_full, rounded(pct(revenue - before, before), 2)).alias("revenue_mom_pct"),
             "is_partial_month",
         )
         .orderBy("purchase_month")
@@ -113,7 +113,7 @@ def repeat_customer_rate(model: Model, params: Params) -> DataFrame:
         delivered(model["fact_orders"])
         .groupBy("customer_id")
         .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.round(pct(F.count_if(F.col("n") >= 2), F.count(F.lit(1))), 2))
+        .agg(rounded(pct(F.count_if(F.col("n") >= 2), F.count(F.lit(1))), 2))
     )
     n, repeats = F.count(F.lit(1)), F.count_if(F.col("orders") >= 2)
     later = F.count_if(F.col("days") >= 2)
@@ -122,12 +122,12 @@ def repeat_customer_rate(model: Model, params: Params) -> DataFrame:
     return people.agg(
         n.alias("customers"),
         repeats.alias("repeat_customers"),
-        F.round(pct(repeats, n), 2).alias("repeat_rate_pct"),
-        F.round(ratio(F.sum("orders"), n), 3).alias("orders_per_customer"),
+        rounded(pct(repeats, n), 2).alias("repeat_rate_pct"),
+        rounded(ratio(F.sum("orders"), n), 3).alias("orders_per_customer"),
         F.median("to_second").alias("median_days_first_to_second_order"),
         same_day.alias("repeat_customers_same_day_only"),
         later.alias("customers_back_on_later_day"),
-        F.round(pct(later, n), 2).alias("repeat_rate_pct_later_day"),
+        rounded(pct(later, n), 2).alias("repeat_rate_pct_later_day"),
         F.median("to_later_day").alias("median_days_to_later_day_order"),
     ).select(
         "customers",
@@ -176,9 +176,9 @@ def top_categories(model: Model, params: Params) -> DataFrame:
         "category",
         "orders",
         "revenue",
-        F.round(pct(F.col("revenue"), total), 2).alias("revenue_share_pct"),
+        rounded(pct(F.col("revenue"), total), 2).alias("revenue_share_pct"),
         F.rank().over(by_revenue).cast("bigint").alias("revenue_rank"),
-        F.round("avg_review", 2).alias("avg_review"),
+        rounded(F.col("avg_review"), 2).alias("avg_review"),
         "reviewed_orders",
         F.when(F.col("enough"), F.rank().over(by_review).cast("bigint")).alias("review_rank"),
         flag(F.col("enough")).alias("enough_orders"),
@@ -195,9 +195,9 @@ def late_delivery_by_state(model: Model, params: Params) -> DataFrame:
         .agg(
             n.alias("delivered_orders"),
             F.count_if(late).alias("late_orders"),
-            F.round(F.avg("is_late") * 100, 2).alias("late_rate_pct"),
+            rounded(F.avg("is_late") * 100, 2).alias("late_rate_pct"),
             _avg("delivery_days", 1).alias("avg_delivery_days"),
-            F.round(F.avg(F.when(late, F.col("delay_days"))), 1).alias("avg_days_late_when_late"),
+            rounded(F.avg(F.when(late, F.col("delay_days"))), 1).alias("avg_days_late_when_late"),
             flag(n >= params.min_state_orders).alias("enough_orders"),
         )
         .orderBy(
@@ -223,13 +223,13 @@ def review_late_vs_on_time(model: Model, params: Params) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("orders_with_review"),
             _avg("review_score", 2).alias("avg_review"),
-            F.round(F.stddev_samp("review_score"), 4).alias("sd_review"),
+            rounded(F.stddev_samp("review_score"), 4).alias("sd_review"),
             _share(score <= 2).alias("low_review_pct"),
             _share(score == 5).alias("five_star_pct"),
             F.count_if(early == 1).alias("answered_before_delivery"),
             _share(early == 1).alias("answered_before_delivery_pct"),
             F.count_if(early == 0).alias("answered_after_delivery"),
-            F.round(F.avg(F.when(early == 0, score)), 2).alias(
+            rounded(F.avg(F.when(early == 0, score)), 2).alias(
                 "avg_review_answered_after_delivery"
             ),
         )
@@ -257,7 +257,7 @@ def freight_share(model: Model, params: Params) -> DataFrame:
             "orders",
             "revenue",
             "freight",
-            F.round(pct(F.col("freight"), F.col("revenue")), 2).alias("freight_share_pct"),
+            rounded(pct(F.col("freight"), F.col("revenue")), 2).alias("freight_share_pct"),
             flag(is_total | (F.col("orders") >= params.min_category_orders)).alias("enough_orders"),
             "_total",
         )
@@ -303,7 +303,7 @@ def cohort_retention(model: Model, params: Params) -> DataFrame:
             "cohort_size",
             "months_since_first",
             "active_customers",
-            F.round(pct(F.col("active_customers"), F.col("cohort_size")), 2).alias("retention_pct"),
+            rounded(pct(F.col("active_customers"), F.col("cohort_size")), 2).alias("retention_pct"),
         )
         .orderBy("cohort_month", F.col("months_since_first").asc_nulls_last())
     )
@@ -363,8 +363,8 @@ def seller_ranking(model: Model, params: Params) -> DataFrame:
             "orders",
             "revenue",
             "revenue_rank",
-            F.round(F.col("late_rate") * 100, 2).alias("late_rate_pct"),
-            F.round("avg_review", 2).alias("avg_review"),
+            rounded(F.col("late_rate") * 100, 2).alias("late_rate_pct"),
+            rounded(F.col("avg_review"), 2).alias("avg_review"),
             flag(worse).alias("worse_than_marketplace"),
         )
         .orderBy("revenue_rank", F.col("seller_id").asc_nulls_last())
@@ -393,7 +393,7 @@ def payment_types(model: Model, params: Params) -> DataFrame:
         return F.max(total_row).over(Window.partitionBy(F.lit(0)))
 
     def of_total(column: str) -> Column:
-        return F.round(pct(F.col(column), F.col(f"_{column}")), 2)
+        return rounded(pct(F.col(column), F.col(f"_{column}")), 2)
 
     columns = ("orders_using_type", "payment_value")
     return (
@@ -426,7 +426,7 @@ def basket_size(model: Model, params: Params) -> DataFrame:
         "avg_items_per_order",
         "avg_distinct_products",
         "avg_order_value",
-        F.round(middle.scalar(), 2).alias("median_order_value"),
+        rounded(middle.scalar(), 2).alias("median_order_value"),
         "multi_item_order_pct",
     )
 
@@ -458,7 +458,7 @@ def worst_routes(model: Model, params: Params) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("orders"),
             F.count_if(late == 1).alias("late_orders"),
-            F.round(F.avg(late) * 100, 2).alias("late_rate_pct"),
+            rounded(F.avg(late) * 100, 2).alias("late_rate_pct"),
         )
         .filter(F.col("orders") >= params.min_route_orders)
         .select(

@@ -32,16 +32,18 @@ CLEAN: dict[str, Builder] = {
 
 MODEL: dict[str, Builder] = {
     "fact_orders": lambda t: model.fact_orders(
-        t["clean_orders"],
-        t["clean_customers"],
-        t["clean_order_items"],
-        t["clean_payments"],
-        t["clean_reviews"],
+        *t.together(
+            "clean_orders",
+            "clean_customers",
+            "clean_order_items",
+            "clean_payments",
+            "clean_reviews",
+        )
     ),
     "fact_order_items": lambda t: model.fact_order_items(
-        t["clean_order_items"], t["fact_orders"], t["clean_products"], t["clean_sellers"]
+        *t.together("clean_order_items", "fact_orders", "clean_products", "clean_sellers")
     ),
-    "fact_payments": lambda t: model.fact_payments(t["clean_payments"], t["fact_orders"]),
+    "fact_payments": lambda t: model.fact_payments(*t.together("clean_payments", "fact_orders")),
     "dim_customer": lambda t: model.dim_customer(t["fact_orders"]),
     "dim_product": lambda t: model.dim_product(t["clean_products"]),
     "dim_seller": lambda t: model.dim_seller(t["clean_sellers"]),
@@ -49,7 +51,6 @@ MODEL: dict[str, Builder] = {
     "dim_date": lambda t: model.dim_date(t["fact_orders"]),
 }
 
-
 SUMMARIES: dict[str, Builder] = {"seller_stats": seller_stats}
 ANSWERS: dict[str, Builder] = {
     q.answer.__name__: (lambda t, q=q: q.answer(t, t.params)) for q in QUESTIONS

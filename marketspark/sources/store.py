@@ -9,7 +9,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import RLock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,9 @@ def read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 class Lake:
     """Tables by name, each built on first use from the tables before it, written, and re-read.
 
-    `builders` maps a name to a function of the lake. Names in `views` stay lazy plans.
+    `builders` maps a name to a function of the lake. Names in `views` stay lazy plans. Tables that
+    do not need each other are built at the same time, so the last tasks of one job do not leave
+    executors idle.
     """
 
     def __init__(
@@ -71,19 +76,30 @@ class Lake:
         self._builders = builders
         self._views = views
         self._ready: dict[str, DataFrame] = {}
+        self._locks = {name: RLock() for name in builders}
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._ready:
-            df = self._builders[name](self)
-            if name not in self._views:
-                path = f"{self.folder}/{name}"
-                write_table(df, path, name)
-                df = read_back(self.spark, path, df)
-            self._ready[name] = df
-        return self._ready[name]
+        with self._locks[name]:
+            if name not in self._ready:
+                df = self._builders[name](self)
+                if name not in self._views:
+                    path = f"{self.folder}/{name}"
+                    write_table(df, path, name)
+                    df = read_back(self.spark, path, df)
+                self._ready[name] = df
+            return self._ready[name]
 
     def __contains__(self, name: str) -> bool:
         return name in self._builders
 
+    def together(self, *names: str) -> list[DataFrame]:
+        """Tables in the given order; those not yet there are built concurrently."""
+        missing = [n for n in names if n not in self._ready and n not in self._views]
+        if len(missing) > 1:
+            with ThreadPoolExecutor(len(missing), "build") as threads:
+                build = inheritable_thread_target(self.spark)(self.__getitem__)
+                list(threads.map(build, missing))
+        return [self[name] for name in names]
+
     def pick(self, *names: str) -> dict[str, DataFrame]:
-        return {name: self[name] for name in names}
+        return dict(zip(names, self.together(*names), strict=True))

@@ -35,15 +35,16 @@ SELECT *, row_number() OVER (ORDER BY late_rate_pct DESC, delivered_orders DESC,
 FROM q_states WHERE enough_orders = 1"""
 
 TABLES["f_worst"] = """
-SELECT string_agg(customer_state || ' (' || format('{:.1f}', late_rate_pct) || '%)', ', ' ORDER BY place)
-           AS worst_states
+SELECT coalesce(string_agg(customer_state || ' (' || format('{:.1f}', late_rate_pct) || '%)', ', ' ORDER BY place),
+                'none with enough orders') AS worst_states
 FROM ranked_states WHERE place <= 3"""
 
 TABLES["f_what_if"] = f"""
-SELECT string_agg(customer_state, ', ' ORDER BY place) AS worst_state_codes,
+SELECT coalesce(string_agg(customer_state, ', ' ORDER BY place), 'none with enough orders')
+           AS worst_state_codes,
        count(*) AS what_if_state_count,
-       round(sum(late_orders - rate * delivered_orders), 6) AS late_orders_avoided,
-       round(sum(late_orders - rate * delivered_orders)
+       round(coalesce(sum(late_orders - rate * delivered_orders), 0), 6) AS late_orders_avoided,
+       round(coalesce(sum(late_orders - rate * delivered_orders), 0)
              * ((SELECT low_review_pct FROM late_side) - (SELECT low_review_pct FROM on_time_side))
              / 100, 6) AS low_reviews_avoided
 FROM ranked_states, nation_wide
@@ -73,10 +74,12 @@ FROM (SELECT * FROM q_categories WHERE category <> 'unknown' ORDER BY revenue DE
 TABLES["freight_total"] = "SELECT CAST(freight AS DOUBLE) / revenue AS share, freight_share_pct FROM q_freight WHERE category = 'ALL CATEGORIES'"
 
 TABLES["f_freight"] = """
-SELECT string_agg(category || ' (' || format('{:.1f}', freight_share_pct) || '%)', ', ' ORDER BY place)
-           AS high_freight_categories,
-       string_agg(category, ', ' ORDER BY place) AS high_freight_category_names,
-       round(sum(CAST(freight AS DOUBLE) - share * CAST(revenue AS DOUBLE)), 6) AS freight_reduction
+SELECT coalesce(string_agg(category || ' (' || format('{:.1f}', freight_share_pct) || '%)', ', ' ORDER BY place),
+                'none with enough orders') AS high_freight_categories,
+       coalesce(string_agg(category, ', ' ORDER BY place), 'none with enough orders')
+           AS high_freight_category_names,
+       round(coalesce(sum(CAST(freight AS DOUBLE) - share * CAST(revenue AS DOUBLE)), 0), 6)
+           AS freight_reduction
 FROM (SELECT category, freight, revenue, freight_share_pct,
              row_number() OVER (ORDER BY freight_share_pct DESC, category) AS place
       FROM q_freight

@@ -51,6 +51,12 @@ def test_months_count_boundaries_and_ratios_survive_zero(spark):
     assert (row["months"], row["p"], row["r"]) == (1, None, None)
 
 
+def test_rounding_follows_the_stored_value(spark):
+    df = spark.createDataFrame([(1.005,), (2.5,), (-2.5,), (None,)], "v double")
+    assert [r[0] for r in df.select(c.rounded(F.col("v"), 2)).collect()] == [1.0, 2.5, -2.5, None]
+    assert [r[0] for r in df.select(c.rounded(F.col("v"), 0)).collect()] == [1, 3, -3, None]
+
+
 def test_numbers_as_text_round_half_even(spark):
     df = spark.createDataFrame([(0.25,), (2.5,), (1234567.5,)], "v double")
     made = [tuple(r) for r in df.select(c.text_pct(F.col("v")), c.text_int(F.col("v"))).collect()]
