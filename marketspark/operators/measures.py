@@ -130,6 +130,16 @@ def _split(attribute: str) -> tuple[str, str]:
     return table, column
 
 
+def _within_months(fact: DataFrame, days: DataFrame) -> DataFrame:
+    """Read only the month partitions that hold a wanted day.
+
+    The list has one row for each calendar month, so it is small enough to broadcast, and Spark
+    prunes the partitions of the fact with it before reading them.
+    """
+    months = days.select(F.col("month_start").alias("_month")).distinct()
+    return fact.join(F.broadcast(months), F.col("purchase_month") == F.col("_month"), "left_semi")
+
+
 def measures(
     model: Model, names: Sequence[str], by: Sequence[str] = (), where: Where | None = None
 ) -> DataFrame:
@@ -158,6 +168,8 @@ def measures(
         fact = fact.filter(rows)
     if fact_name in filters:
         fact = fact.filter(filters[fact_name])
+    if "dim_date" in filters and "dim_date" in related:
+        fact = _within_months(fact, model["dim_date"].filter(filters["dim_date"]))
     dims = [d for d in related if d in filters or any(t == d for t, _ in by_columns)]
     own = [c for t, c in by_columns if t == fact_name]
     keys = dict.fromkeys([*own, *[related[d][0] for d in dims], *once_per])

@@ -23,12 +23,12 @@ QUERIES: dict[str, Query] = {}
 LABEL = "derived test tables"
 MADE_ON = datetime.date(2002, 1, 1)
 
-_warehouses: dict[tuple[str, str], Warehouse] = {}
+_warehouses: dict[tuple, Warehouse] = {}
 
 
 def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The stored tables of one input folder; each is built once in a Spark application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored tables of one input folder; each is built once in a Spark session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _warehouses:
         tables = binding.raw_tables(spark, sf_dir)
         _warehouses[key] = Warehouse(

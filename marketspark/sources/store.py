@@ -44,11 +44,10 @@ def write_table(df: DataFrame, path: str, name: str = "") -> None:
     splits a month that is too large for one task, so a hot month does not become one writer.
     """
     if name in MONTH_PARTITIONED:
-        df.hint("rebalance", F.col(PARTITION_COLUMN)).write.partitionBy(PARTITION_COLUMN).parquet(
-            path
-        )
+        month = PARTITION_COLUMN
+        df.hint("rebalance", F.col(month)).write.mode("overwrite").partitionBy(month).parquet(path)
     else:
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
 
 
 def read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

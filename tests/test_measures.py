@@ -103,3 +103,9 @@ def test_page_queries(run):
     assert float(days["Sun"]["revenue"]) == 150 + 150 + 55 and days["Sun"]["weekday_number"] == 7
     states = keyed(rows(measures.revenue_by_state(t, {"dim_date.year": [2020]})), "state_name")
     assert float(states["Bahia"]["revenue"]) == 80
+
+
+def test_a_date_slicer_prunes_month_partitions(run):
+    df = measures.measure(run.tables, "revenue", where={"dim_date.month_number": [1]})
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
+    assert float(df.first()["revenue"]) == 470
