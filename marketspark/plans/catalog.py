@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketspark.operators import clean, measures, model, quality, textcheck
 from marketspark.operators.reconcile import reconcile
 from marketspark.plans import dashboard, facts, questions, warehouse
-from marketspark.plans.pipeline import ANSWER_FILES, QUESTION_TEXTS
+from marketspark.plans.pipeline import ANSWER_FILES, QUESTION_TEXTS, run_pipeline
 from marketspark.plans.warehouse import Warehouse
 from marketspark.sources import binding, contract, raw, sinks
 from marketspark.sources.binding import PARAMS
@@ -50,7 +50,7 @@ def _as_files(t: Warehouse, names: tuple[str, ...], drop: dict[str, str] | None
     for name in names:
         ending = contract.CONTRACT[name][0]
         df = t[f"raw_{name}"].drop((drop or {}).get(name, ""))
-        df.write.option("header", True).option("escape", '"').csv(f"{folder}/parts/shop_{ending}")
+        sinks.write_files(df, f"{folder}/parts/shop_{ending}")
     return folder
 
 
@@ -70,6 +70,13 @@ def _broken_folder(t: Warehouse) -> DataFrame:
     return contract.schema_problems(t.spark, folder)
 
 
+def _found_tables(t: Warehouse) -> DataFrame:
+    folder = _as_files(t, ("orders", "sellers", "products"))
+    found = [(name, path.rpartition("/")[2]) for name, path in contract.find_files(t.spark, folder).items()]
+    return t.spark.createDataFrame(found, "table string, file string")
+
+
+_register("folder_discovery", _found_tables)
 _register("load_raw_text", lambda t: _round_trip(t, "reviews"))
 _register("normalise_columns", _misspelt)
 _register("schema_problems", _broken_folder)
@@ -301,3 +308,22 @@ _text_query("number_check", lambda docs, t: textcheck.number_check(docs, t["memo
 _text_query(
     "number_check_by_join", lambda docs, t: textcheck.number_check(docs, t["memo_facts"], max_inline=0)
 )
+
+# --- everything, from files to facts ---
+
+
+def _whole_run(t: Warehouse) -> DataFrame:
+    """Files in, facts out: every step of the batch run on CSV files written from the tables."""
+    result = run_pipeline(
+        t.spark,
+        _as_files(t, t.raw_names),
+        new_folder(t.spark, "out"),
+        PARAMS,
+        LABEL,
+        MADE_ON,
+        states=t["states"],
+    )
+    return result.facts
+
+
+_register("run_pipeline", _whole_run)

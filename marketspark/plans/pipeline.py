@@ -14,7 +14,7 @@ from marketspark.plans.questions import QUESTIONS
 from marketspark.plans.warehouse import Warehouse
 from marketspark.sources.contract import require_contract
 from marketspark.sources.raw import load_summary, read_all
-from marketspark.sources.sinks import export_model, export_results
+from marketspark.sources.sinks import export_model, export_results, write_files
 from marketspark.sources.store import new_folder
 
 QUESTION_TEXTS = {q.answer.__name__: q.text for q in QUESTIONS}
@@ -35,12 +35,6 @@ class PipelineResult:
         return self.reconciliation.filter("not matches").isEmpty()
 
 
-def _report(df: DataFrame, path: str) -> DataFrame:
-    """Write a report of a few rows as CSV and go on with what was written."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
-
-
 def run_pipeline(
     spark: SparkSession,
     raw_dir: str,
@@ -66,12 +60,12 @@ def run_pipeline(
         label=label,
         made_on=made_on,
     )
-    summary = _report(load_summary(tables.raw()), f"{out_dir}/load_summary")
-    dq_log = _report(tables["dq_log"], f"{out_dir}/dq_log")
+    summary = write_files(load_summary(tables.raw()).coalesce(1), f"{out_dir}/load_summary")
+    dq_log = write_files(tables["dq_log"].coalesce(1), f"{out_dir}/dq_log")
     answers = tables.answers()
     index = export_results(answers, QUESTION_TEXTS, ANSWER_FILES, f"{out_dir}/results", fmt)
     exported = export_model(tables.model(), answers, f"{out_dir}/export", fmt)
-    checked = _report(reconcile(answers, exported), f"{out_dir}/reconciliation")
+    checked = write_files(reconcile(answers, exported).coalesce(1), f"{out_dir}/reconciliation")
     facts = tables["memo_facts"]
     facts.coalesce(1).write.mode("overwrite").json(f"{out_dir}/facts")
     written = spark.read.schema(facts.schema).json(f"{out_dir}/facts")

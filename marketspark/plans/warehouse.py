@@ -98,7 +98,8 @@ class Warehouse(Lake):
         super().__init__(spark, builders, views, folder)
 
     def raw(self) -> dict[str, DataFrame]:
-        return {name: self[f"raw_{name}"] for name in self.raw_names}
+        frames = self.together(*[f"raw_{name}" for name in self.raw_names])
+        return dict(zip(self.raw_names, frames, strict=True))
 
     def model(self) -> dict[str, DataFrame]:
         return self.pick(*MODEL)

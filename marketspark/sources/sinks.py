@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketspark.sources.store import side_by_side
+
 # The columns of each exported table. Nothing else leaves, so no review text can.
 EXPORT_COLUMNS: dict[str, tuple[str, ...]] = {
     "fact_orders": (
@@ -110,17 +112,22 @@ AGGREGATES = {
 }
 
 
-def _write(df: DataFrame, path: str, fmt: str) -> None:
-    writer = df.write.mode("overwrite")
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+#: CSV as other tools write it: doubled quotes, and no blank trimmed from a value.
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame, fmt: str) -> DataFrame:
-    reader = spark.read.schema(like.schema)
+def write_files(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
+    """Write in parallel parts, and return what is on disk, read back with the same schema."""
+    writer, reader = df.write.mode("overwrite"), df.sparkSession.read.schema(df.schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        writer, reader = writer.options(**CSV), reader.options(**CSV, multiLine=True)
+    writer.format(fmt).save(path)
     return reader.format(fmt).load(path)
 
 
@@ -130,15 +137,12 @@ def export_model(
     folder: str,
     fmt: str = "csv",
 ) -> dict[str, DataFrame]:
-    """Write each table under `folder` in parallel parts, and return what is on disk, re-read."""
+    """Write each table under `folder`, and return what is on disk, re-read."""
     tables = {name: model[name].select(*columns) for name, columns in EXPORT_COLUMNS.items()}
     tables |= {name: answers[answer] for name, answer in AGGREGATES.items()}
-    written = {}
-    for name, df in tables.items():
-        path = f"{folder}/{name}"
-        _write(df, path, fmt)
-        written[name] = _read(df.sparkSession, path, df, fmt)
-    return written
+    spark = next(iter(tables.values())).sparkSession
+    parts = side_by_side(spark, lambda n: write_files(tables[n], f"{folder}/{n}", fmt), tables)
+    return dict(zip(tables, parts, strict=True))
 
 
 def results_index(
@@ -162,8 +166,9 @@ def export_results(
     fmt: str = "csv",
 ) -> DataFrame:
     """Write every answer and the index, and return the index."""
-    for key, df in answers.items():
-        _write(df, f"{folder}/{names[key]}", fmt)
+    spark = next(iter(answers.values())).sparkSession
+    side_by_side(
+        spark, lambda key: write_files(answers[key], f"{folder}/{names[key]}", fmt), answers
+    )
     index = results_index(answers, texts, names)
-    _write(index, f"{folder}/index", fmt)  # a leading underscore would hide it from readers
-    return index
+    return write_files(index, f"{folder}/index", fmt)

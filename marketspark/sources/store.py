@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from threading import RLock
 
@@ -55,12 +55,19 @@ def read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path).select(like.columns)
 
 
+def side_by_side(spark: SparkSession, work: Callable, names: Iterable[str]) -> list:
+    """Run independent jobs at the same time, so the last tasks of one leave no executor idle."""
+    names = list(names)
+    if len(names) < 2:
+        return [work(name) for name in names]
+    with ThreadPoolExecutor(len(names), "job") as threads:
+        return list(threads.map(inheritable_thread_target(spark)(work), names))
+
+
 class Lake:
     """Tables by name, each built on first use from the tables before it, written, and re-read.
 
-    `builders` maps a name to a function of the lake. Names in `views` stay lazy plans. Tables that
-    do not need each other are built at the same time, so the last tasks of one job do not leave
-    executors idle.
+    `builders` maps a name to a function of the lake. Names in `views` stay lazy plans.
     """
 
     def __init__(
@@ -94,10 +101,7 @@ class Lake:
     def together(self, *names: str) -> list[DataFrame]:
         """Tables in the given order; those not yet there are built concurrently."""
         missing = [n for n in names if n not in self._ready and n not in self._views]
-        if len(missing) > 1:
-            with ThreadPoolExecutor(len(missing), "build") as threads:
-                build = inheritable_thread_target(self.spark)(self.__getitem__)
-                list(threads.map(build, missing))
+        side_by_side(self.spark, self.__getitem__, missing)
         return [self[name] for name in names]
 
     def pick(self, *names: str) -> dict[str, DataFrame]:

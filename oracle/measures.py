@@ -94,6 +94,9 @@ _RAW_COLUMNS = (
     "review_creation_date, review_answer_timestamp"
 )
 SHOWN |= {
+    "folder_discovery": """
+        SELECT * FROM (VALUES ('orders', 'shop_orders_dataset.csv'), ('sellers', 'shop_sellers_dataset.csv'),
+                              ('products', 'shop_products_dataset.csv')) AS t("table", file)""",
     "load_raw_text": f"SELECT {_RAW_COLUMNS} FROM raw_reviews",
     "normalise_columns": "SELECT product_id, product_name_length, product_category_name FROM raw_products",
     "schema_problems": """
