@@ -22,8 +22,8 @@ _EXACT_DIGITS = 15  # integer digits that a double keeps
 
 
 def numbers_in(text: Column) -> Column:
-    """All numbers of a text, in order, thousands separators removed."""
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    """All numbers of a text, in order, thousands separators removed; none in a missing text."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0))
     return F.transform(found, lambda n: F.translate(n, ",", ""))
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 class Params:
     """Minimum group sizes; they become literals when a plan is built."""
 
+    # The published defaults.
     min_category_orders: int = 100
     min_state_orders: int = 100
     min_route_orders: int = 50

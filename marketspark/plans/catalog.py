@@ -72,7 +72,8 @@ def _broken_folder(t: Warehouse) -> DataFrame:
 
 def _found_tables(t: Warehouse) -> DataFrame:
     folder = _as_files(t, ("orders", "sellers", "products"))
-    found = [(name, path.rpartition("/")[2]) for name, path in contract.find_files(t.spark, folder).items()]
+    files = contract.find_files(t.spark, folder)
+    found = [(name, path.rpartition("/")[2]) for name, path in files.items()]
     return t.spark.createDataFrame(found, "table string, file string")
 
 
@@ -326,4 +327,4 @@ def _whole_run(t: Warehouse) -> DataFrame:
     return result.facts
 
 
-_register("run_pipeline", _whole_run)
+_register("whole_batch", _whole_run)

@@ -24,12 +24,15 @@ _own_roots: dict[str, str] = {}
 
 def store_root(spark: SparkSession) -> str:
     """The shared folder of this session; a local one only if the session names none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
+    context = spark.sparkContext
+    shared = (
+        context.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
     )
     if shared:
         return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="marketspark-")
     return _own_roots[app]

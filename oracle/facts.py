@@ -234,4 +234,4 @@ FACTS = [
 ]
 TABLES["fact_texts"] = "\nUNION ALL\n".join(FACTS)
 SHOWN["memo_facts"] = "SELECT * FROM fact_texts"
-SHOWN["run_pipeline"] = "SELECT * FROM fact_texts"
+SHOWN["whole_batch"] = "SELECT * FROM fact_texts"
