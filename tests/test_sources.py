@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from marketspark.sources import contract, raw
+from marketspark.sources import contract, raw, store
 from tests import fixture
 from tests.conftest import rows, write_files
 
@@ -70,3 +70,31 @@ def test_extra_columns_are_left_out(spark, tmp_path):
     tables["sellers"] = (file, [*header, "note"], [[*line, "n"] for line in lines])
     files = contract.find_files(spark, str(write_files(tmp_path / "raw", tables)))
     assert raw.read_raw(spark, files["sellers"], "sellers").columns == header
+
+
+def test_tables_go_to_the_shared_folder_the_session_names(spark):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = store.store_root(spark)
+    assert store.new_folder(spark, "x").startswith(f"{root}/marketspark/x-")
+    if shared:
+        assert root == shared.rstrip("/")
+
+
+def test_each_table_is_built_once_and_facts_are_split_by_month(spark, tmp_path):
+    calls = []
+
+    def numbers(lake):
+        calls.append("numbers")
+        return spark.range(10).selectExpr("id", "cast(null as date) purchase_month")
+
+    lake = store.Lake(
+        spark,
+        {"numbers": numbers, "fact_orders": lambda t: t["numbers"], "dim_x": lambda t: t["numbers"]},
+        folder=str(tmp_path / "lake"),
+    )
+    one, two = lake.together("fact_orders", "dim_x")
+    assert calls == ["numbers"]
+    assert one.columns == ["id", "purchase_month"] and one.count() == two.count() == 10
+    assert [p.name.split("=")[0] for p in (tmp_path / "lake" / "fact_orders").glob("purchase*")] == [
+        "purchase_month"
+    ]
