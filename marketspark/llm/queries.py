@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import tokens
+from marketspark.llm import simhash, tokens
 from marketspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +25,8 @@ def query(name: str) -> Callable[[Query], Query]:
 @query("op1_token_counts")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"))
+
+
+@query("op3_simhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
