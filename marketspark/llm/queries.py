@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketspark.llm import simhash, tokens
+from marketspark.llm import quality, secrets, simhash, tokens, toxicity
 from marketspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +31,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    offsets = F.transform("spans", lambda s: F.concat_ws(":", s["start_at"], s["end_at"]))
+    return found.withColumn("spans", F.array_join(offsets, ","))
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(secrets.find_secrets(read(spark, sf_dir, "documents")))
