@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import quality, secrets, simhash, tokens, toxicity
+from marketspark.llm import oracles, quality, rules, secrets, simhash, tokens, toxicity
 from marketspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.quality_rules(read(spark, sf_dir, "documents"))
+    return found.drop("char_distance", "word_distance")
+
+
+ORACLES["op6_quality_rules"] = oracles.quality_rules_sql()
