@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import oracles, quality, rules, secrets, simhash, tokens, toxicity
+from marketspark.llm import (
+    decontaminate,
+    licences,
+    oracles,
+    packing,
+    quality,
+    rules,
+    secrets,
+    shards,
+    simhash,
+    tokens,
+    toxicity,
+)
 from marketspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +69,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_quality_rules"] = oracles.quality_rules_sql()
+
+
+@query("op2_training_order")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_order(read(spark, sf_dir, "documents"))
+
+
+@query("op4_licences")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.find_licences(read(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(read(spark, sf_dir, "documents"))
