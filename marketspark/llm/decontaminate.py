@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketspark.llm.common import map_slices, narrow
 
@@ -317,6 +318,17 @@ def find_leaks(
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
 
+def _clean_of(shared):
+    """A column function: does a text hold no passage of the broadcast items?"""
+
+    @F.pandas_udf(T.BooleanType())
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([not leaks(shared.value, t) for t in some], dtype=bool)
+
+    return clean
+
+
 def drop_leaking(
     df: DataFrame,
     items: DataFrame,
@@ -334,10 +346,5 @@ def drop_leaking(
         made = [item for i, t in block if (item := make_item(i, t, passage, edits))]
         shared = spark.sparkContext.broadcast(Index(made))
 
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for some in texts:
-                yield pd.Series([not leaks(shared.value, t) for t in some], dtype=bool)
-
-        kept = kept.where(clean(F.coalesce(df[text_col].cast("string"), F.lit(""))))
+        kept = kept.where(_clean_of(shared)(F.coalesce(df[text_col].cast("string"), F.lit(""))))
     return kept

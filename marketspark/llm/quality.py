@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketspark.llm.common import map_slices, narrow
 
@@ -230,7 +231,7 @@ def keep_good(
     model = train(narrow(df, id_col, text_col), labels, "quality", learn)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         terms = terms_of_worker()
         for some in texts:
