@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from marketspark.plans.pipeline import run_pipeline
-from marketspark.sources.contract import SchemaContractError, require_contract
+from marketspark.sources.contract import CONTRACT, FREE_TEXT, SchemaContractError, require_contract
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -17,6 +17,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("out_dir")
     parser.add_argument("--check-only", action="store_true")
     parser.add_argument("--label", default="")
+    parser.add_argument(
+        "--free-text",
+        default=",".join(sorted(FREE_TEXT)),
+        help="tables whose fields may hold line breaks, separated by commas; the files of others are split",
+    )
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("marketspark").getOrCreate()
     try:
@@ -24,11 +29,20 @@ def main(argv: list[str] | None = None) -> int:
             require_contract(spark, args.raw_dir)
             print("all files are there, with the columns they need")
             return 0
-        result = run_pipeline(spark, args.raw_dir, args.out_dir, label=args.label)
+        free_text = [name for name in args.free_text.split(",") if name]
+        if unknown := set(free_text) - set(CONTRACT):
+            parser.error(f"no such tables: {', '.join(sorted(unknown))}")
+        result = run_pipeline(spark, args.raw_dir, args.out_dir, label=args.label, free_text=free_text)
     except SchemaContractError as error:
         print(error, file=sys.stderr)
         return 1
-    return 0 if result.all_match() else 2
+    print(f"{result.findings()} quality checks have findings: {args.out_dir}/dq_log")
+    mismatches = result.mismatches()
+    for line in mismatches:
+        print(f"mismatch  {line}", file=sys.stderr)
+    if not mismatches:
+        print("all totals reconcile")
+    return 2 if mismatches else 0
 
 
 if __name__ == "__main__":

@@ -158,8 +158,11 @@ def measures(
         if table != fact_name and table not in related:
             raise ValueError(f"{fact_name} has no relation to {table}.{column}")
     filters: dict[str, Column] = {}
+    known = set(RELATIONS).union(*RELATIONS.values())
     for attribute, values in (where or {}).items():
         table, column = _split(attribute)
+        if table not in known:
+            raise ValueError(f"the model has no table {table}: {attribute!r}")
         condition = F.col(column).isin(*values)
         filters[table] = filters[table] & condition if table in filters else condition
 

@@ -1,8 +1,9 @@
 """Are the numbers quoted in texts backed by known facts? A check over a table of texts.
 
-A number is backed if one of its spellings is a spelling of a number in a fact, or is 0 to 10.
-With few allowed spellings (the usual case: one fact set) the check is one pass over the texts with
-no shuffle. With more than `MAX_INLINE` spellings it becomes joins on the distinct numbers.
+A number is backed if one of its spellings is a spelling of a number in a fact, or is 0 to 10. Each
+different number of the texts is looked up once by its spellings; the texts then meet the list of
+backed numbers. The plan is the same for any number of facts and texts, and joins are split by Spark
+where one number, such as a year, makes up much of the table.
 """
 
 from __future__ import annotations
@@ -10,15 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions.columns import text_as
-
 # A number with thousands commas and decimals, and the counts any text may use.
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 SMALL_NUMBERS = range(11)
 
-MAX_INLINE = 2_000
-SPREAD = 32
-_EXACT_DIGITS = 15  # integer digits that a double keeps
+_PLACES = 8  # decimal places that are enough to round to two; what follows only breaks ties
 
 
 def numbers_in(text: Column) -> Column:
@@ -28,24 +25,20 @@ def numbers_in(text: Column) -> Column:
 
 
 def variants(number: Column) -> Column:
-    """Spellings of one number: shortest, whole, one and two decimals (half-even).
+    """Spellings of one number: exact without idle zeros, and rounded to 0, 1 and 2 places (half-even).
 
-    The shortest form is kept only below a million and only if it loses nothing, so two different
-    large numbers never share a spelling. A number too long for a double stands for itself.
+    The exact spelling is text, so it holds at any length. The rounded ones are decimals, which have
+    room for 30 digits before the point; a longer number has its exact spelling only.
     """
-    value = number.try_cast("double")
-    short = text_as(value, "0.######")
-    lossless = (value < 1e6) & (short.try_cast("double") == value)
-    spellings = F.array(
-        F.when(lossless, short),
-        text_as(value, "0"),
-        text_as(value, "0.0"),
-        text_as(value, "0.00"),
-    )
-    whole = F.substring_index(number, ".", 1)
-    return F.when(F.length(whole) > _EXACT_DIGITS, F.array(number)).otherwise(
-        F.array_distinct(F.filter(spellings, lambda s: s.isNotNull()))
-    )
+    whole = F.regexp_replace(F.substring_index(number, ".", 1), r"^0+(?=\d)", "")
+    fraction = F.regexp_extract(number, r"\.(\d+)$", 1)
+    short = F.regexp_replace(fraction, "0+$", "")
+    exact = F.concat(whole, F.when(short != "", F.concat(F.lit("."), short)).otherwise(""))
+    sticky = F.when(F.regexp_like(F.substr(fraction, F.lit(_PLACES)), F.lit("[1-9]")), "1").otherwise("0")
+    first = F.rpad(F.substring(fraction, 1, _PLACES - 1), _PLACES - 1, "0")
+    value = F.concat(whole, F.lit("."), first, sticky).try_cast(f"decimal(38,{_PLACES})")
+    rounded = [F.bround(value, k).cast(f"decimal(38,{k})").cast("string") for k in range(3)]
+    return F.array_distinct(F.filter(F.array(exact, *rounded), lambda s: s.isNotNull()))
 
 
 def extract_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,87 +55,59 @@ def number_variants(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def allowed_numbers(facts: DataFrame, text: str = "text") -> DataFrame:
-    """(variant): every spelling that the facts, or the small numbers, allow."""
-    found = facts.select(F.explode(numbers_in(F.col(text))).alias("number"))
-    small = F.array(*[F.lit(str(n)) for n in SMALL_NUMBERS])
+    """(variant): every spelling of a fact's numbers, and the small numbers, with or without facts."""
+    found = facts.select(F.explode(numbers_in(F.col(text))).alias("number")).distinct()
     spelled = found.select(F.explode(variants(F.col("number"))).alias("variant"))
-    always = facts.select(F.explode(small).alias("variant"))
-    return spelled.unionByName(always).distinct()
+    small = facts.sparkSession.range(len(SMALL_NUMBERS)).select(F.col("id").cast("string").alias("variant"))
+    return spelled.unionByName(small).distinct()
 
 
-def _inline(allowed: DataFrame, limit: int) -> list[str] | None:
-    """The allowed spellings if there are at most `limit` of them; never reads more than that."""
-    rows = allowed.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return sorted({row[0] for row in rows} | {str(n) for n in SMALL_NUMBERS})
+def backed_numbers(
+    docs: DataFrame, facts: DataFrame, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(number): the different numbers of the texts that a fact backs."""
+    spelled = number_variants(docs, key, text)
+    return spelled.join(allowed_numbers(facts), "variant", "left_semi").select("number").distinct()
 
 
 def unsupported_numbers(
-    docs: DataFrame,
-    facts: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    max_inline: int = MAX_INLINE,
+    docs: DataFrame, facts: DataFrame, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(key, pos, number): the numbers of each text that no fact backs."""
     occurrences = extract_numbers(docs, key, text)
-    allowed = allowed_numbers(facts)
-    spellings = _inline(allowed, max_inline)
-    if spellings is not None:
-        backed = F.exists(variants(F.col("number")), lambda v: v.isin(spellings))
-        return occurrences.filter(~backed)
-    # Each different number is looked up once; the texts meet only the list of backed numbers.
-    # A number such as a year may be a third of all occurrences, so the occurrences are spread over
-    # SPREAD buckets and the short list is repeated in each.
-    backed = (
-        number_variants(docs, key, text)
-        .join(allowed, "variant", "left_semi")
-        .select("number")
-        .distinct()
-        .withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return occurrences.join(backed_numbers(docs, facts, key, text), "number", "left_anti").select(
+        key, "pos", "number"
     )
-    bucket = F.pmod(F.xxhash64(key, "pos"), F.lit(SPREAD)).cast("int")
-    spread = occurrences.withColumn("_bucket", bucket)
-    return spread.join(backed, ["number", "_bucket"], "left_anti").select(key, "pos", "number")
 
 
 def number_check(
-    docs: DataFrame,
-    facts: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    max_inline: int = MAX_INLINE,
+    docs: DataFrame, facts: DataFrame, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row for each text: numbers found, the unsupported ones in order, and the verdict.
 
-    `key` identifies a text.
+    Texts are told apart by their row, so a key may repeat or be NULL.
     """
-    found = numbers_in(F.col(text))
-    spellings = _inline(allowed_numbers(facts), max_inline)
-    if spellings is not None:
-        checked = docs.select(key, found.alias("found")).withColumn(
-            "bad",
-            F.filter(
-                "found", lambda n: ~F.exists(variants(n), lambda v: v.isin(spellings))
-            ),
-        )
-        n, bad = F.size("found"), F.col("bad")
-    else:
-        listed = F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"]
-        )
-        per_text = (
-            unsupported_numbers(docs, facts, key, text, max_inline)
-            .groupBy(key)
-            .agg(listed.alias("bad"))
-        )
-        counted = docs.select(key, F.size(found).alias("n"))
-        checked = counted.join(per_text, key, "left")
-        n, bad = F.col("n"), F.coalesce("bad", F.array().cast("array<string>"))
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("_text"),
+        F.col(key).alias("_key"),
+        numbers_in(F.col(text)).alias("_found"),
+    )
+    each = texts.select("_text", "_key", F.posexplode_outer("_found").alias("_pos", "_number"))
+    # a text without numbers looks up a word of its own, so that these rows do not meet in one task
+    each = each.withColumn("_wanted", F.coalesce("_number", F.concat(F.lit("none "), "_text")))
+    backed = backed_numbers(docs, facts, key, text).select(F.col("number").alias("_backed"))
+    looked_up = each.join(backed, F.col("_wanted") == F.col("_backed"), "left")
+    missing = F.when(
+        F.col("_number").isNotNull() & F.col("_backed").isNull(), F.struct("_pos", "_number")
+    )
+    checked = looked_up.groupBy("_text").agg(
+        F.first("_key").alias(key),
+        F.count("_number").alias("numbers_in_text"),
+        F.array_sort(F.collect_list(missing)).alias("_bad"),
+    )
     return checked.select(
         key,
-        n.cast("bigint").alias("numbers_in_text"),
-        F.array_join(bad, " ").alias("unsupported_numbers"),
-        (F.size(bad) == 0).alias("passed"),
+        "numbers_in_text",
+        F.array_join(F.transform("_bad", lambda b: b["_number"]), " ").alias("unsupported_numbers"),
+        (F.size("_bad") == 0).alias("passed"),
     )

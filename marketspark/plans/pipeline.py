@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from marketspark.operators.reconcile import reconcile
 from marketspark.params import Params
 from marketspark.plans.questions import QUESTIONS
 from marketspark.plans.warehouse import Warehouse
-from marketspark.sources.contract import require_contract
+from marketspark.sources.contract import FREE_TEXT, require_contract
 from marketspark.sources.raw import load_summary, read_all
 from marketspark.sources.sinks import export_model, export_results, write_files
 from marketspark.sources.store import new_folder
@@ -31,6 +32,18 @@ class PipelineResult:
     reconciliation: DataFrame
     facts: DataFrame
 
+    def mismatches(self) -> list[str]:
+        """One line for each total that differs; the table has one row for each pair of totals."""
+        rows = self.reconciliation.filter("not matches").collect()
+        return [
+            f"{r['metric']}: {r['sql_value']} ({r['sql_source']}) and {r['export_value']} ({r['export_source']})"
+            for r in rows
+        ]
+
+    def findings(self) -> int:
+        """Number of quality checks that found something."""
+        return self.dq_log.filter("rows_affected > 0").count()
+
     def all_match(self) -> bool:
         return self.reconciliation.filter("not matches").isEmpty()
 
@@ -45,10 +58,14 @@ def run_pipeline(
     box: Box = BRAZIL,
     states: DataFrame | None = None,
     fmt: str = "csv",
+    free_text: Collection[str] = FREE_TEXT,
 ) -> PipelineResult:
-    """Run every step under `out_dir`; raises SchemaContractError before anything is loaded."""
+    """Run every step under `out_dir`; raises SchemaContractError before anything is loaded.
+
+    `free_text` names the tables whose fields may hold line breaks; the files of all others are split.
+    """
     files = require_contract(spark, raw_dir)
-    raw = read_all(spark, files)
+    raw = read_all(spark, files, free_text)
     tables = Warehouse(
         spark,
         raw,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -19,6 +21,9 @@ def local_session(cpus: str | None = None, **extra: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
+    if "spark.checkpoint.dir" not in extra and not SparkConf().get("spark.checkpoint.dir"):
+        # one machine is all there is here, so its temporary folder is shared
+        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="marketspark-")
     for key, value in extra.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

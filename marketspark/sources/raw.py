@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.sources.contract import CONTRACT, normalise_columns
+from marketspark.sources.contract import CONTRACT, FREE_TEXT, normalise_columns, parts_of
+
+#: Fields may be quoted, with quotes doubled inside.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _read(spark: SparkSession, paths: list[str], columns: tuple[str, ...], multi_line: bool) -> DataFrame:
+    """CSV files that share a header, every column as text."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.csv(paths, schema=schema, header=True, multiLine=multi_line, **QUOTING)
 
 
 def read_raw(
-    spark: SparkSession, path: str, table: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, table: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """One CSV file, or a folder of parts, with every column as text under normalised names.
 
-    Quoted line breaks and doubled quotes are read, blank fields are NULL. Such a file cannot be
-    split, so a large table should come in parts; pass multi_line=False where no field can hold a
-    line break, and Spark splits the files. With `table`, the contract's columns come first in the
-    contract's order and extra ones are left out.
+    Parts are grouped by their headers, so columns may stand in another order in each part. Quoted
+    line breaks are read only with `multi_line`, and such files are read by one task each; the
+    default asks for it where the table holds free text, or where no table is named. All other
+    files are split by Spark. With `table`, the contract's columns come in the contract's order and
+    extra ones are left out; without it, all parts must have the same columns. Blank fields are NULL.
     """
-    df = normalise_columns(
-        spark.read.csv(
-            path,
-            header=True,
-            inferSchema=False,
-            multiLine=multi_line,
-            quote='"',
-            escape='"',
-        )
-    )
-    return df.select(*CONTRACT[table][1]) if table else df
+    if multi_line is None:
+        multi_line = table is None or table in FREE_TEXT
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for part in parts_of(spark, path):
+        by_header.setdefault(part.columns, []).append(part.path)
+    wanted = CONTRACT[table][1] if table else next(iter(by_header))
+    frames = []
+    for columns, paths in by_header.items():
+        if not set(wanted) <= set(columns) or not table and set(columns) != set(wanted):
+            raise ValueError(f"{paths[0]} has the columns {list(columns)}, not {list(wanted)}")
+        # one folder in the plan instead of all its parts
+        whole = [path] if len(by_header) == 1 else paths
+        frames.append(_read(spark, whole, columns, multi_line).select(*wanted))
+    return normalise_columns(reduce(DataFrame.unionByName, frames))
 
 
-def read_all(spark: SparkSession, files: dict[str, str], multi_line: bool = True) -> dict:
-    return {table: read_raw(spark, path, table, multi_line) for table, path in files.items()}
+def read_all(
+    spark: SparkSession, files: dict[str, str], free_text: Collection[str] = FREE_TEXT
+) -> dict[str, DataFrame]:
+    """All tables; those named in `free_text` may hold line breaks inside fields."""
+    return {table: read_raw(spark, path, table, table in free_text) for table, path in files.items()}
 
 
 def load_summary(raw: dict[str, DataFrame]) -> DataFrame:
@@ -44,3 +61,30 @@ def load_summary(raw: dict[str, DataFrame]) -> DataFrame:
         for name, df in raw.items()
     ]
     return reduce(DataFrame.unionByName, counts)
+
+
+def part_report(spark: SparkSession, files: dict[str, str], free_text: Collection[str] = FREE_TEXT) -> DataFrame:
+    """(table, file, missing, rows) for each different header among the parts of each table.
+
+    `missing` lists the contract's columns that the header lacks; `rows` counts the lines of all
+    parts that have it.
+    """
+    counts = []
+    for table, path in files.items():
+        by_missing: dict[str, dict[tuple[str, ...], list[str]]] = {}
+        for part in parts_of(spark, path):
+            missing = ", ".join(c for c in CONTRACT[table][1] if c not in part.columns)
+            by_missing.setdefault(missing, {}).setdefault(part.columns, []).append(part.path)
+        for missing, headers in by_missing.items():
+            lines = [
+                _read(spark, paths, columns, table in free_text).select(F.lit(1).alias("one"))
+                for columns, paths in headers.items()
+            ]
+            counted = reduce(DataFrame.unionByName, lines).agg(F.count("one").alias("rows"))
+            name = path.rstrip("/").rpartition("/")[2]
+            counts.append(
+                counted.select(
+                    F.lit(table).alias("table"), F.lit(name).alias("file"), F.lit(missing).alias("missing"), "rows"
+                )
+            )
+    return reduce(DataFrame.unionByName, counts)

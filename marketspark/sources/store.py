@@ -1,12 +1,11 @@
 """Stored tables: where they live, how they are written, and a lake that builds each one once.
 
 Tables go to the shared folder that the session names in `spark.checkpoint.dir`, so a lost executor
-only costs a re-read. A folder of our own is used only where that setting is absent.
+only costs a re-read. Without that setting nothing is stored: a folder of one machine would not do.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -19,23 +18,33 @@ from pyspark.sql import functions as F
 MONTH_PARTITIONED = ("fact_orders", "fact_order_items", "fact_payments")
 PARTITION_COLUMN = "purchase_month"
 
-_own_roots: dict[str, str] = {}
+class NoSharedFolder(Exception):
+    """The session names no folder that all executors share."""
 
 
 def store_root(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one only if the session names none."""
+    """The shared folder of this session."""
     context = spark.sparkContext
     shared = (
         context.getConf().get("spark.checkpoint.dir")
         or spark.conf.get("spark.checkpoint.dir", None)
         or context.getCheckpointDir()
     )
-    if shared:
-        return shared.rstrip("/")
-    app = context.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = tempfile.mkdtemp(prefix="marketspark-")
-    return _own_roots[app]
+    if not shared:
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared.rstrip("/")
+
+
+def drop_folder(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder of stored tables that is no longer needed; False if there was none.
+
+    Only folders below the shared folder of the session can be dropped.
+    """
+    root = store_root(spark)
+    if not folder.startswith(f"{root}/") or ".." in folder:
+        raise ValueError(f"{folder} is not below {root}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -107,5 +116,10 @@ class Lake:
         side_by_side(self.spark, self.__getitem__, missing)
         return [self[name] for name in names]
 
+    def drop(self) -> bool:
+        """Delete the stored tables; the lake can't be read afterwards."""
+        self._ready.clear()
+        return drop_folder(self.spark, self.folder)
+
     def pick(self, *names: str) -> dict[str, DataFrame]:
         return dict(zip(names, self.together(*names), strict=True))

@@ -94,16 +94,18 @@ _RAW_COLUMNS = (
     "review_creation_date, review_answer_timestamp"
 )
 SHOWN |= {
-    "folder_discovery": """
-        SELECT * FROM (VALUES ('orders', 'shop_orders_dataset.csv'), ('sellers', 'shop_sellers_dataset.csv'),
-                              ('products', 'shop_products_dataset.csv')) AS t("table", file)""",
+    "folder_discovery": "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS "table", 'shop_{name}_dataset.csv' AS file, count(*) AS rows FROM raw_{name}"""
+        for name in ("orders", "sellers", "products")
+    ),
     "load_raw_text": f"SELECT {_RAW_COLUMNS} FROM raw_reviews",
     "normalise_columns": "SELECT product_id, product_name_length, product_category_name FROM raw_products",
     "schema_problems": """
-        SELECT * FROM (VALUES ('geolocation_dataset.csv', 'missing file'),
-                              ('order_payments_dataset.csv', 'missing file'),
-                              ('products_dataset.csv', 'missing columns: product_weight_g'),
-                              ('sellers_dataset.csv', 'missing columns: seller_state')) AS t(file, problem)""",
+        SELECT 'sellers' AS "table", 'shop_sellers_dataset.csv' AS file,
+               CASE WHEN substr(seller_id, -1) IN ('0', '1', '2') THEN 'seller_state' ELSE '' END AS missing,
+               count(*) AS rows
+        FROM raw_sellers GROUP BY ALL
+        UNION ALL SELECT 'products', 'shop_products_dataset.csv', '', count(*) FROM raw_products""",
     "load_summary": _rows([(f"raw_{name}", f"raw_{name}") for name in RAW]),
     "build_model": _rows(_MODEL_ROWS),
     "export_model": _rows(

@@ -14,12 +14,26 @@ SELECT DISTINCT number FROM doc_numbers
 UNION
 SELECT replace(unnest(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?')), ',', '') FROM fact_texts"""
 
-TABLES["spellings"] = """
-SELECT number, unnest(CASE WHEN len(split_part(number, '.', 1)) > 15 THEN [number] ELSE list_distinct([
-           CASE WHEN v < 1e6 AND CAST(plain AS DOUBLE) = v THEN plain END,
-           format('{:.0f}', v), format('{:.1f}', v), format('{:.2f}', v)]) END) AS variant
-FROM (SELECT *, rtrim(rtrim(format('{:.6f}', v), '0'), '.') AS plain
-      FROM (SELECT number, CAST(number AS DOUBLE) AS v FROM all_numbers))"""
+def _rounded(places: int) -> str:
+    """Half-even rounding in whole units of 10^-8: quotient, remainder, and the point put back."""
+    step = 10 ** (8 - places)
+    up = f"(units % {step} * 2 > {step} OR (units % {step} * 2 = {step} AND (units // {step}) % 2 = 1))"
+    text = f"CAST(units // {step} + CASE WHEN {up} THEN 1 ELSE 0 END AS VARCHAR)"
+    if not places:
+        return text
+    padded = f"lpad({text}, CAST(greatest(len({text}), {places + 1}) AS INTEGER), '0')"
+    return f"left({padded}, len({padded}) - {places}) || '.' || right({padded}, {places})"
+
+
+TABLES["spellings"] = f"""
+SELECT number, unnest(list_distinct([
+           head || CASE WHEN rtrim(tail, '0') = '' THEN '' ELSE '.' || rtrim(tail, '0') END,
+           {_rounded(0)}, {_rounded(1)}, {_rounded(2)}])) AS variant
+FROM (SELECT *, TRY_CAST(head || rpad(left(tail, 7), 7, '0')
+             || CASE WHEN ltrim(substr(tail, 8), '0') = '' THEN '0' ELSE '1' END AS HUGEINT) AS units
+      FROM (SELECT number, CASE WHEN ltrim(split_part(number, '.', 1), '0') = '' THEN '0'
+                           ELSE ltrim(split_part(number, '.', 1), '0') END AS head,
+                   split_part(number, '.', 2) AS tail FROM all_numbers))"""
 
 TABLES["allowed"] = r"""
 SELECT variant FROM spellings WHERE number IN (

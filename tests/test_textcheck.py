@@ -25,16 +25,24 @@ def test_numbers_are_found_without_separators(spark):
 
 
 def test_spellings(spark):
-    df = spark.createDataFrame([("4.50",), ("1234567",), ("0.125",), ("12345678901234567890",)], "n string")
-    made = [set(r[0]) for r in df.select(textcheck.variants(F.col("n"))).collect()]
-    assert made[0] == {"4.5", "4", "4.50"}
-    assert made[1] == {"1234567", "1234567.0", "1234567.00"}
-    assert made[2] == {"0.125", "0", "0.1", "0.12"}
-    assert made[3] == {"12345678901234567890"}
-
-
-@pytest.mark.parametrize("max_inline", [textcheck.MAX_INLINE, 0])
-def test_verdicts_are_the_same_inline_and_by_join(spark, facts, max_inline):
+    wanted = {
+        "4.50": {"4.5", "4", "4.50"},
+        "1234567": {"1234567", "1234567.0", "1234567.00"},
+        "0.125": {"0.125", "0", "0.1", "0.12"},
+        "0.1250001": {"0.1250001", "0", "0.1", "0.13"},
+        "0.125000000001": {"0.125000000001", "0", "0.1", "0.13"},
+        "1234567.891": {"1234567.891", "1234568", "1234567.9", "1234567.89"},
+        "0000000000000042": {"42", "42.0", "42.00"},
+        "000.0": {"0", "0.0", "0.00"},
+        "12345678901234567890": {"12345678901234567890", "12345678901234567890.0", "12345678901234567890.00"},
+        "9" * 40 + ".50": {"9" * 40 + ".5"},
+    }
+    df = spark.createDataFrame([(n,) for n in wanted], "n string")
+    made = {n: set(v) for n, v in df.select("n", textcheck.variants(F.col("n"))).collect()}
+    assert made == wanted
+
+
+def test_verdicts(spark, facts):
     docs = docs_of(
         spark,
         "Revenue was 1970; 25% were late, 1.5 stars, 3 findings.",
@@ -42,20 +50,49 @@ def test_verdicts_are_the_same_inline_and_by_join(spark, facts, max_inline):
         "no numbers",
         "13,221,512 is close to the revenue",  # equal to the fact in six digits only
         None,
+        "000000000000001970 and 0013,221,498",
     )
-    found = keyed(rows(textcheck.number_check(docs, facts, max_inline=max_inline)), "doc_id")
+    found = keyed(rows(textcheck.number_check(docs, facts)), "doc_id")
     assert [found[i]["passed"] for i in range(4)] == [True, False, True, False]
     assert (found[1]["numbers_in_text"], found[1]["unsupported_numbers"]) == (4, "12 12 99")
     assert found[3]["unsupported_numbers"] == "13221512"
     assert (found[0]["numbers_in_text"], found[2]["numbers_in_text"]) == (4, 0)
     assert (found[4]["numbers_in_text"], found[4]["passed"]) == (0, True)
+    assert found[5]["passed"]
+
+
+def test_repeated_and_missing_keys_stay_rows_of_their_own(spark, facts):
+    docs = spark.createDataFrame(
+        [(1, "5000"), (1, "77"), (None, "5001"), (None, "25%"), (2, "")], "doc_id bigint, text string"
+    )
+    found = sorted((str(r["doc_id"]), r["unsupported_numbers"], r["passed"]) for r in rows(textcheck.number_check(docs, facts)))
+    assert found == [
+        ("1", "5000", False),
+        ("1", "77", False),
+        ("2", "", True),
+        ("None", "", True),
+        ("None", "5001", False),
+    ]
+    assert len(rows(textcheck.unsupported_numbers(docs, facts))) == 3
+
+
+def test_small_numbers_need_no_facts(spark):
+    none = spark.createDataFrame([], "fact string, text string")
+    assert {r["variant"] for r in rows(textcheck.allowed_numbers(none))} == {str(n) for n in range(11)}
+    found = rows(textcheck.number_check(docs_of(spark, "10 of 11"), none))
+    assert [(f["numbers_in_text"], f["unsupported_numbers"]) for f in found] == [(2, "11")]
+
+
+def test_many_facts_make_no_other_plan(spark):
+    many = spark.range(5000).selectExpr("cast(id AS string) AS fact", "cast(id * 7 AS string) AS text")
+    found = keyed(rows(textcheck.number_check(docs_of(spark, "34993", "34994 and 14"), many)), "doc_id")
+    assert found[0]["passed"] and found[1]["unsupported_numbers"] == "34994"
 
 
 def test_one_number_in_most_texts(spark, facts):
     docs = docs_of(spark, *["in 2017 and 1970"] * 300, *["2018"] * 5)
-    for limit in (textcheck.MAX_INLINE, 0):
-        bad = rows(textcheck.unsupported_numbers(docs, facts, max_inline=limit))
-        assert len(bad) == 305 and {b["number"] for b in bad} == {"2017", "2018"}
+    bad = rows(textcheck.unsupported_numbers(docs, facts))
+    assert len(bad) == 305 and {b["number"] for b in bad} == {"2017", "2018"}
 
 
 def test_pipeline_facts_back_their_own_texts(run):
