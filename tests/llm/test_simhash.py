@@ -1,0 +1,127 @@
+"""SimHash against brute force: fingerprints, links, components, survivors."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from marketspark.llm import simhash
+from marketspark.llm.components import components
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints):
+    label = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if bin(a ^ b).count("1") <= 3 and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label
+
+
+@pytest.mark.parametrize("text", ["", None, "One", "one TWO", "a b c", "É é A a ÀB", "x\x0by z w " * 40])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) & (1 << 64) - 1 == slow_fingerprint(text)
+
+
+def test_long_texts_are_hashed_in_steps(monkeypatch):
+    text = " ".join(str(random.Random(1).random()) for _ in range(500))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "HASHES_AT_ONCE", 7)
+    assert simhash.fingerprint(text) == whole
+
+
+def crowd(rng, n, center, share):
+    bits = np.packbits(rng.random((n, 64)) < share, axis=1).view(">u8").ravel().astype(np.uint64)
+    return np.uint64(center) ^ bits
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_crowds(spark, seed, monkeypatch):
+    monkeypatch.setattr(simhash, "NODE_ROWS", 64)  # several nodes, some of them cut into blocks
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    rng = np.random.default_rng(seed)
+    values = np.unique(
+        np.concatenate(
+            [
+                rng.integers(0, 2**63, 150, dtype=np.uint64) * np.uint64(2),
+                crowd(rng, 250, rng.integers(0, 2**63), 0.03),
+                crowd(rng, 100, rng.integers(0, 2**63), 0.06),
+            ]
+        )
+    )
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    label = simhash.labels_of(len(values), *np.nonzero(near))
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp bigint")
+    found = components(simhash.links(table))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    roots = np.array([root.get(int(v), int(v)) for v in values.view(np.int64)])
+    for i in range(len(values)):
+        same = label == label[i]
+        assert (roots[same] == roots[i]).all() and (roots[~same] != roots[i]).all()
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(5, 5), (300, 200)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert {found[i] for i in range(100, 141)} == {100} and {found[i] for i in range(7, 60)} == {7}
+    assert found[300] == found[200] == 200 and 5 not in found
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def texts():
+    random.seed(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(random.choices(words, k=random.randint(3, 200))) for _ in range(30)]
+    made = list(base)
+    for text in base[:12]:
+        for _ in range(4):
+            parts = text.split()
+            parts[random.randrange(len(parts))] = "changed"
+            made.append(" ".join(parts).upper() if random.random() < 0.3 else " ".join(parts))
+    return [*made, "", None, " ", base[0], base[0]]
+
+
+def test_whole_query_against_brute_force(docs_of, texts):
+    prints = [slow_fingerprint(t) for t in texts]
+    label = slow_components(prints)
+    rows = simhash.near_duplicates(docs_of(*texts)).collect()
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows}
+    assert found == {i: (f"{p:016x}", label[i]) for i, p in enumerate(prints)}
+
+
+def test_one_row_of_each_group_stays(spark, docs_of, texts, awkward):
+    label = slow_components([slow_fingerprint(t) for t in texts])
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(*texts)).collect())
+    assert kept == sorted(set(label))
+    some = simhash.drop_near_duplicates(awkward)
+    assert some.columns == awkward.columns
+    assert sorted(str(r["doc_id"]) for r in some.collect()) == ["1", "2", "5", "6", "None"]
+    assert simhash.drop_near_duplicates(awkward.limit(0)).count() == 0
+
+
+def test_awkward_rows(awkward):
+    rows = simhash.near_duplicates(awkward).collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 8 and by_id[2]["fingerprint"] == "0" * 16
+    assert by_id[2]["component_id"] == by_id[3]["component_id"] == by_id[4]["component_id"] == 2
+    assert by_id[None]["component_id"] is None
+    assert simhash.near_duplicates(awkward.limit(0)).count() == 0
