@@ -72,6 +72,6 @@ def quality_rules_sql() -> str:
       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
       NOT base_failed
         AND NOT (word_chars >= 400 AND coalesce(c, 0) > 0.30)
-        AND NOT (n_words >= 100 AND coalesce(w, 0) > 0.60) AS kept
+        AND NOT (n_words >= 100 AND coalesce(w, 0) > 0.27) AS kept
     FROM judged LEFT JOIN far USING (r)
     """

@@ -48,7 +48,7 @@ COMMON_WORDS = 12
 LEAST_CHARS = 400
 LEAST_HISTOGRAM_WORDS = 100
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.60
+MAX_WORD_DISTANCE = 0.27
 
 
 def words_of(text: Column) -> Column:
@@ -100,6 +100,11 @@ def _covered(starts: Column, n: int) -> Column:
     )
 
 
+def _is_word(place: int):
+    """A condition: the word is the one at a place of the language's list."""
+    return lambda word: word == F.get("listed", F.lit(place))
+
+
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, the base counts and the bins of both histograms, in one pass."""
     narrow = df.select(
@@ -126,7 +131,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     common = counted.withColumn("listed", lists).withColumn(
         "hits", F.filter(plain, lambda w: F.array_contains(F.col("listed"), w))
     )
-    hits = [F.size(F.filter("hits", lambda w, k=k: w == F.get("listed", F.lit(k)))) for k in range(COMMON_WORDS)]
+    hits = [F.size(F.filter("hits", _is_word(k))) for k in range(COMMON_WORDS)]
     known = [F.col(f"c_{name}") for name in CLASSES]
     return common.select(
         "doc_id",
