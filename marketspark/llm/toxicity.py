@@ -36,8 +36,8 @@ from marketspark.llm.common import map_slices, narrow
 from marketspark.llm.quality import labelled_sample, remainder
 from marketspark.llm.simhash import fingerprint
 
-SAMPLE_TOXIC = 1500  # toxic rows to learn from, and as many clean ones
-SAMPLE_CLEAN = 1500
+SAMPLE_TOXIC = 1200  # toxic rows to learn from, and as many clean ones
+SAMPLE_CLEAN = 1200
 SAMPLE_CHARS = 20_000  # longer rows are not learned from (all rows are scored whole)
 LEAST_SUPPORT = 6
 LEAST_PURITY = 0.99
@@ -45,12 +45,12 @@ CLEAN_COST = 25  # toxic documents that must be gained for each clean one that h
 BEGINNINGS = (3, 4, 5)
 ENDINGS = (3,)
 WEIGHTS = 1 << 16
-ROUNDS = 40
-FIT_WORDS = 300_000
+ROUNDS = 60
+FIT_WORDS = 250_000
 AROUND = 8
 CHANCE = 0.01
 COPY_BITS = 10
-STEP = 0.5
+STEP = 1.0
 DECAY = 1e-4
 COLUMN = 128
 TOP = 3
