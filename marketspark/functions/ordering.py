@@ -18,6 +18,8 @@ _STEP_BITS = 12
 _CODE_BITS = 14
 _LOWEST, _HIGHEST = -40, 1000
 _NULL_BAND = -(2**62)
+_NAN_BAND = 2**62
+_ENDLESS = 2**61
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -38,17 +40,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
 def magnitude_band(value: Column) -> Column:
     """A bigint that never decreases as the value grows: sign, power of two, 4096 linear steps.
 
+    The infinities have bands of their own at either end, NaN one above all, as Spark sorts it.
     The number of different bands is bounded by the number format, not by the data.
     """
     d = value.cast("double")
     size = F.abs(d)
-    power = F.greatest(
-        F.lit(_LOWEST), F.least(F.lit(_HIGHEST), F.floor(F.log2(size)).cast("int"))
-    )
-    step = F.floor(size * F.pow(F.lit(2.0), _STEP_BITS - power))
-    code = (power - _LOWEST + 1).cast("bigint") * F.lit(2**_CODE_BITS) + step
+    finite = size < F.lit(float("inf"))
+    power = F.floor(F.log2(F.when(finite & (size > 0), size))).cast("int")
+    power = F.greatest(F.lit(_LOWEST), F.least(F.lit(_HIGHEST), power))
+    step = F.floor(F.when(finite, size) * F.pow(F.lit(2.0), _STEP_BITS - power))
+    step = F.least(step.try_cast("bigint"), F.lit(2**_CODE_BITS - 1).cast("bigint"))
+    code = F.when(
+        finite, (power - _LOWEST + 1).cast("bigint") * F.lit(2**_CODE_BITS) + step
+    ).otherwise(F.lit(_ENDLESS))
     return (
         F.when(d.isNull(), F.lit(_NULL_BAND))
+        .when(F.isnan(d), F.lit(_NAN_BAND))
         .when(d > 0, code)
         .when(d < 0, -code)
         .otherwise(F.lit(0))
@@ -109,12 +116,15 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
         inside.withColumn("_upto", upto)
         .filter((F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_n") <= F.col("_hi")))
         .groupBy(*keys)
-        .agg(
-            ((F.min(value).cast("double") + F.max(value).cast("double")) / 2).alias(name)
-        )
+        .agg(_between(F.min(value).cast("double"), F.max(value).cast("double")).alias(name))
     )
 
 
+def _between(low: Column, high: Column) -> Column:
+    """The mean of two numbers; a number itself if both are equal, however large it is."""
+    return F.when(low == high, low).otherwise((low + high) / 2)
+
+
 def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add RANK() by descending value, NULLs last, without a single-partition sort of the rows."""
     counts = (

@@ -226,28 +226,14 @@ def geolocation_points(raw: DataFrame) -> DataFrame:
 def clean_state_centroids(raw: DataFrame, box: Box = BRAZIL) -> DataFrame:
     """Median point of each state, from the points inside the box.
 
-    A state may hold a third of all points, so the medians come from value counts (exact_median).
+    A state may hold a third of all points, so the medians come from value counts (exact_median); both
+    axes go through the same pass.
     """
     inside = geolocation_points(raw).filter(box.contains(F.col("lat"), F.col("lng")))
-    lat = exact_median(inside, "lat", ["state_code"], "latitude")
-    lng = exact_median(inside, "lng", ["state_code"], "longitude").withColumnRenamed(
-        "state_code", "_state"
+    axes = F.array(
+        F.struct(F.lit("latitude").alias("axis"), F.col("lat").alias("degrees")),
+        F.struct(F.lit("longitude").alias("axis"), F.col("lng").alias("degrees")),
     )
-    return lat.join(lng, lat["state_code"].eqNullSafe(lng["_state"])).select(
-        "state_code",
-        rounded(F.col("latitude"), 4).alias("latitude"),
-        rounded(F.col("longitude"), 4).alias("longitude"),
-    )
-
-
-def clean_all(raw: dict[str, DataFrame], box: Box = BRAZIL) -> dict[str, DataFrame]:
-    return {
-        "clean_customers": clean_customers(raw["customers"]),
-        "clean_sellers": clean_sellers(raw["sellers"]),
-        "clean_products": clean_products(raw["products"], raw["category_translation"]),
-        "clean_orders": clean_orders(raw["orders"]),
-        "clean_order_items": clean_order_items(raw["order_items"]),
-        "clean_payments": clean_payments(raw["payments"]),
-        "clean_reviews": clean_reviews(raw["reviews"]),
-        "clean_state_centroids": clean_state_centroids(raw["geolocation"], box),
-    }
+    middle = exact_median(inside.select("state_code", F.inline(axes)), "degrees", ["state_code", "axis"])
+    of = lambda axis: rounded(F.max(F.when(F.col("axis") == axis, F.col("median"))), 4).alias(axis)
+    return middle.groupBy("state_code").agg(of("latitude"), of("longitude"))

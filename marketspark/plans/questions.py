@@ -505,7 +505,3 @@ QUESTIONS = tuple(
         start=1,
     )
 )
-
-
-def answer_all(model: Model, params: Params) -> dict[str, DataFrame]:
-    return {q.name: q.answer(model, params) for q in QUESTIONS}

@@ -46,8 +46,36 @@ def test_median_of_money(spark):
     assert exact_median(df, "v").first()[0] == statistics.median(values)
 
 
+INF, NAN = float("inf"), float("nan")
+
+
+@pytest.mark.parametrize(
+    ("values", "wanted"),
+    [
+        ([1.0, NAN, 2.0], 2.0),  # Spark sorts NaN above everything
+        ([1.0, INF, 2.0], 2.0),
+        ([-INF, INF, 5.0], 5.0),
+        ([-INF, -INF, 1.0], -INF),
+        ([1.0, INF], INF),
+        ([INF, INF, 1.7e308, NAN], INF),
+        ([1.6e308, 1.7e308, 1.5e308], 1.6e308),
+        ([5e-324, 1e-300, -5e-324], 5e-324),
+    ],
+)
+def test_median_at_the_ends_of_the_number_line(spark, values, wanted):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert exact_median(df, "v").first()[0] == wanted
+
+
+def test_median_among_nans(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, NAN, NAN)], "v double")
+    found = exact_median(df, "v").first()[0]
+    assert found != found
+
+
 def test_bands_never_decrease(spark):
-    values = sorted(float(v) for v in {*SAMPLES["signs"], *SAMPLES["hot"], 1e300, 1e-300, 2**40})
+    ends = {1e300, 1e-300, 2**40, 1.7e308, 5e-324, INF, -INF, -1.7e308}
+    values = sorted(float(v) for v in {*SAMPLES["signs"], *SAMPLES["hot"], *ends})
     df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     bands = [r[0] for r in df.select(magnitude_band(F.col("v"))).collect()]
     assert bands == sorted(bands)
