@@ -38,7 +38,7 @@ from marketspark.llm.common import SLICE_ROWS, folder, narrow
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END = 50_256  # free in the rank file
 SEQUENCE_TOKENS = 512
-SHARD_ROWS = 32_768
+SHARD_ROWS = 16_384
 KEY = 0x5EED
 ROUNDS = 6
 HEAD = np.dtype([("doc_id", "<i8"), ("place", "<i4"), ("n", "<u2")])
