@@ -1,8 +1,9 @@
-"""Data-quality log: how many rows each cleaning rule touched, one aggregate pass for each table.
+"""Data-quality log: how many rows each cleaning rule touched.
 
-A check is an aggregate expression over its table, and all checks of a table share one scan. Checks
-that look for equal rows or for keys of another table first fold the rows to one for each key with
-its count, so a key that holds a third of the table is folded before it is shuffled or joined.
+A check is an aggregate expression over its table, and all checks of a table share one scan; reviews,
+which are counted by two keys, have two. Checks that look for equal rows or for keys of another table
+first fold the rows to one for each key, with its count and the counts of all conditions on single
+rows, so a key that holds a third of the table is folded before it is shuffled or joined.
 """
 
 from __future__ import annotations
@@ -58,10 +59,26 @@ def _copies(raw: DataFrame) -> DataFrame:
     return raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"))
 
 
-def _by_key(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """One row for each key with its number of rows; `_found` is NULL if the lookup lacks the key."""
-    known = lookup.select(key, F.lit(True).alias("_found"))
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).join(known, key, "left")
+def _by_key(df: DataFrame, key: str, conditions: Mapping[str, str] | None = None) -> DataFrame:
+    """One row for each key with its number of rows, and of rows that meet each condition."""
+    met = [F.count_if(F.expr(sql)).alias(name) for name, sql in (conditions or {}).items()]
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"), *met)
+
+
+def _looked_up(folded: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """`_found` is NULL if the lookup lacks the key."""
+    return folded.join(lookup.select(key, F.lit(True).alias("_found")), key, "left")
+
+
+def _summed(name: str) -> Callable[[Box], Column]:
+    """Rows that met a condition before they were folded."""
+    return lambda box: F.coalesce(F.sum(name), F.lit(0))
+
+
+def _surplus_rows(box: Box) -> Column:
+    """Rows beyond one for each key, of rows folded by the key; a NULL key is none."""
+    key_rows = F.count(F.when(F.col("_key").isNotNull(), F.lit(1)))
+    return _copies_total() - key_rows
 
 
 def _raw_orders(t: Tables) -> DataFrame:
@@ -70,10 +87,14 @@ def _raw_orders(t: Tables) -> DataFrame:
     )
 
 
-def _raw_reviews(t: Tables) -> DataFrame:
-    return t["raw_reviews"].select(
-        "review_id", "order_id", try_int(F.col("review_score")).alias("_score")
-    )
+def _reviews_by(key: str, conditions: Mapping[str, str] | None = None) -> Callable[[Tables], DataFrame]:
+    def frame(t: Tables) -> DataFrame:
+        scored = t["raw_reviews"].select(
+            F.col(key).alias("_key"), try_int(F.col("review_score")).alias("_score")
+        )
+        return _by_key(scored, "_key", conditions)
+
+    return frame
 
 
 def _raw_geolocation(t: Tables) -> DataFrame:
@@ -98,6 +119,20 @@ def _not_found(box: Box) -> Column:
     return F.coalesce(F.sum(F.when(F.col("_found").isNull(), F.col("_copies"))), F.lit(0))
 
 
+#: Conditions on single rows of tables that are folded by a key for the sake of another check.
+ORDER_CONDITIONS = {
+    "orders_cancelled_or_unavailable": "is_cancelled",
+    "orders_still_in_progress": "not is_delivered and not is_cancelled",
+    "orders_delivered_but_no_delivery_date": "is_delivered and delivered_ts is null",
+    "orders_delivered_before_purchase": "is_delivered and delivered_ts < purchase_ts",
+    "orders_on_time_by_date_but_late_by_timestamp": "has_valid_delivery and delay_days = 0 and delivered_ts > estimated_ts",
+    "orders_not_delivered_but_have_delivery_date": "not is_delivered and delivered_ts is not null",
+}
+ITEM_CONDITIONS = {"items_missing_or_non_positive_price": "price is null or price <= 0"}
+REVIEW_CONDITIONS = {
+    "reviews_score_missing_or_out_of_range": "not coalesce(_score between 1 and 5, false)"
+}
+
 SOURCES = (
     Source(
         "raw_orders",
@@ -114,51 +149,18 @@ SOURCES = (
     ),
     Source(
         "clean_orders",
-        lambda t: t["clean_orders"],
-        _count,
-        (
-            Check(
-                "orders_cancelled_or_unavailable",
-                _where("is_cancelled"),
-                "left out of revenue, repeat and delivery figures",
-            ),
-            Check(
-                "orders_still_in_progress",
-                _where("not is_delivered and not is_cancelled"),
-                "not delivered yet, so left out of revenue and delivery figures",
-            ),
-            Check(
-                "orders_delivered_but_no_delivery_date",
-                _where("is_delivered and delivered_ts is null"),
-                "in revenue, not in delivery figures",
-            ),
-            Check(
-                "orders_delivered_before_purchase",
-                _where("is_delivered and delivered_ts < purchase_ts"),
-                "in revenue, not in delivery figures",
-            ),
-            Check(
-                "orders_on_time_by_date_but_late_by_timestamp",
-                _where("has_valid_delivery and delay_days = 0 and delivered_ts > estimated_ts"),
-                "on time, because dates are compared; would be late by the clock",
-            ),
-            Check(
-                "orders_not_delivered_but_have_delivery_date",
-                _where("not is_delivered and delivered_ts is not null"),
-                "the status decides: not delivered",
-            ),
+        lambda t: _looked_up(
+            _by_key(t["clean_orders"], "customer_id", ORDER_CONDITIONS), t["clean_customers"], "customer_id"
         ),
-    ),
-    Source(
-        "clean_orders",
-        lambda t: _by_key(t["clean_orders"], t["clean_customers"], "customer_id"),
         _copies_total,
         (
-            Check(
-                "orders_customer_not_found",
-                _not_found,
-                "in sales totals, not in customer figures",
-            ),
+            Check("orders_cancelled_or_unavailable", _summed("orders_cancelled_or_unavailable"), "left out of revenue, repeat and delivery figures"),
+            Check("orders_still_in_progress", _summed("orders_still_in_progress"), "not delivered yet, so left out of revenue and delivery figures"),
+            Check("orders_delivered_but_no_delivery_date", _summed("orders_delivered_but_no_delivery_date"), "in revenue, not in delivery figures"),
+            Check("orders_delivered_before_purchase", _summed("orders_delivered_before_purchase"), "in revenue, not in delivery figures"),
+            Check("orders_on_time_by_date_but_late_by_timestamp", _summed("orders_on_time_by_date_but_late_by_timestamp"), "on time, because dates are compared; would be late by the clock"),
+            Check("orders_not_delivered_but_have_delivery_date", _summed("orders_not_delivered_but_have_delivery_date"), "the status decides: not delivered"),
+            Check("orders_customer_not_found", _not_found, "in sales totals, not in customer figures"),
         ),
     ),
     Source(
@@ -206,22 +208,19 @@ SOURCES = (
     ),
     Source(
         "clean_order_items",
-        lambda t: t["clean_order_items"],
-        _count,
+        lambda t: _looked_up(
+            _by_key(t["clean_order_items"], "order_id", ITEM_CONDITIONS), t["clean_orders"], "order_id"
+        ),
+        _copies_total,
         (
             Check(
                 "items_missing_or_non_positive_price",
-                _where("price is null or price <= 0"),
+                _summed("items_missing_or_non_positive_price"),
                 "kept; adds nothing to revenue",
             ),
+            Check("items_order_not_found", _not_found, "not in the star schema"),
         ),
     ),
-    Source(
-        "clean_order_items",
-        lambda t: _by_key(t["clean_order_items"], t["clean_orders"], "order_id"),
-        _copies_total,
-        (Check("items_order_not_found", _not_found, "not in the star schema"),),
-    ),
     Source(
         "clean_products",
         lambda t: t["clean_products"],
@@ -241,26 +240,33 @@ SOURCES = (
     ),
     Source(
         "raw_reviews",
-        _raw_reviews,
-        _count,
+        _reviews_by("review_id", REVIEW_CONDITIONS),
+        _copies_total,
         (
             Check(
                 "reviews_review_id_reused",
-                _surplus("review_id"),
+                _surplus_rows,
                 "for information: reviews belong to orders by order_id",
             ),
-            Check(
-                "reviews_extra_reviews_for_same_order",
-                _surplus("order_id"),
-                "latest review of the order kept",
-            ),
             Check(
                 "reviews_score_missing_or_out_of_range",
-                _where("not coalesce(_score between 1 and 5, false)"),
+                _summed("reviews_score_missing_or_out_of_range"),
                 "score left empty",
             ),
         ),
     ),
+    Source(
+        "raw_reviews",
+        _reviews_by("order_id"),
+        _copies_total,
+        (
+            Check(
+                "reviews_extra_reviews_for_same_order",
+                _surplus_rows,
+                "latest review of the order kept",
+            ),
+        ),
+    ),
     Source(
         "clean_payments",
         lambda t: t["clean_payments"],
@@ -315,7 +321,24 @@ SOURCES = (
     ),
 )
 
+#: Checks beside the log, by name only.
+MORE_SOURCES = (
+    Source(
+        "raw_payments",
+        lambda t: _copies(t["raw_payments"]),
+        _copies_total,
+        (
+            Check(
+                "payments_exact_duplicate_rows",
+                lambda box: _copies_total() - F.count(F.lit(1)),
+                "removed",
+            ),
+        ),
+    ),
+)
+
 CHECK_NAMES = tuple(check.name for source in SOURCES for check in source.checks)
+MORE_NAMES = tuple(check.name for source in MORE_SOURCES for check in source.checks)
 
 
 def _table_log(source: Source, checks: list[Check], tables: Tables, box: Box) -> DataFrame:
@@ -342,10 +365,10 @@ def quality_log(
 ) -> DataFrame:
     """One row for each check: rows affected, rows of the table, percentage and what was done."""
     wanted = set(CHECK_NAMES if names is None else names)
-    if unknown := wanted - set(CHECK_NAMES):
+    if unknown := wanted - set(CHECK_NAMES + MORE_NAMES):
         raise ValueError(f"unknown checks: {sorted(unknown)}")
     parts = []
-    for source in SOURCES:
+    for source in SOURCES + MORE_SOURCES:
         checks = [c for c in source.checks if c.name in wanted]
         if checks:
             parts.append(_table_log(source, checks, tables, box))

@@ -26,9 +26,16 @@ MADE_ON = datetime.date(2002, 1, 1)
 _warehouses: dict[tuple, Warehouse] = {}
 
 
+def _state_of(spark: SparkSession, sf_dir: str) -> str:
+    """What a folder holds just now: paths, lengths and times of its files, folded to one mark."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)
+    mark = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+    return str(files.agg(F.count(F.lit(1)), mark).first())
+
+
 def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The stored tables of one input folder; each is built once in a Spark session."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    """The stored tables of one input folder, built once in a session and again if its files change."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, _state_of(spark, sf_dir))
     if key not in _warehouses:
         tables = binding.raw_tables(spark, sf_dir)
         _warehouses[key] = Warehouse(
@@ -176,9 +183,9 @@ for _name, _build in warehouse.MODEL.items():
 
 
 def _model_rows(t: Warehouse) -> DataFrame:
-    """Both stages as one lazy plan, straight from the raw text."""
-    lazy = warehouse.build_model(t.spark, t.raw(), t["states"], t.box)
-    return raw.load_summary(lazy).select(
+    """Both stages from the raw text, stored anew, apart from the tables of the other queries."""
+    made = warehouse.build_model(t.spark, t.raw(), t["states"], t.box)
+    return raw.load_summary(made).select(
         F.regexp_replace("table", "^raw_", "").alias("table"), "rows"
     )
 
@@ -226,14 +233,20 @@ _register("retention_curve", lambda t: dashboard.retention_curve(t, 1))
 
 # --- data quality: the whole log, and each check alone ---
 _register("dq_log", quality.quality_log)
-for _check in quality.CHECK_NAMES:
+for _check in quality.CHECK_NAMES + quality.MORE_NAMES:
     _register(f"dq_{_check}", lambda t, name=_check: quality.quality_log(t, [name]))
 
 # --- exports and reconciliation ---
 
 
+_exports: dict[str, dict[str, DataFrame]] = {}
+
+
 def _export(t: Warehouse) -> dict[str, DataFrame]:
-    return sinks.export_model(t.model(), t.answers(), new_folder(t.spark, "export"))
+    """The export of a warehouse, written once and shared by the queries that look at it."""
+    if t.folder not in _exports:
+        _exports[t.folder] = sinks.export_model(t.model(), t.answers(), f"{t.folder}/export")
+    return _exports[t.folder]
 
 
 def _export_rows(t: Warehouse) -> DataFrame:
@@ -244,7 +257,10 @@ def _export_rows(t: Warehouse) -> DataFrame:
 
 def _export_columns(t: Warehouse) -> DataFrame:
     """What leaves: every exported order line as read back from disk, review text not among it."""
-    return _export(t)["fact_order_items"]
+    if t.folder in _exports:
+        return _exports[t.folder]["fact_order_items"]
+    folder = new_folder(t.spark, "export")
+    return sinks.export_table(t.pick("fact_order_items"), {}, "fact_order_items", folder)
 
 
 _register("export_model", _export_rows)

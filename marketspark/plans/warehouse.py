@@ -113,6 +113,10 @@ def build_model(
     raw: dict[str, DataFrame],
     states: DataFrame | None = None,
     box: Box = BRAZIL,
+    stored: bool = True,
 ) -> dict[str, DataFrame]:
-    """The star schema as lazy plans from the raw tables, nothing stored."""
-    return Warehouse(spark, raw, Params(), states, box, stored=False).model()
+    """The star schema from the raw tables; each table is written once, so later ones read it.
+
+    With stored=False all tables are lazy plans, and each plan holds the ones below it again.
+    """
+    return Warehouse(spark, raw, Params(), states, box, stored=stored).model()

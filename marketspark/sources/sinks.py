@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.sources.store import side_by_side
+from marketspark.sources.store import MONTH_PARTITIONED, PARTITION_COLUMN, side_by_side
 
 # The columns of each exported table. Nothing else leaves, so no review text can.
 EXPORT_COLUMNS: dict[str, tuple[str, ...]] = {
@@ -122,13 +122,43 @@ CSV = {
 }
 
 
-def write_files(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
-    """Write in parallel parts, and return what is on disk, read back with the same schema."""
-    writer, reader = df.write.mode("overwrite"), df.sparkSession.read.schema(df.schema)
+def write_files(
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    multi_line: bool = False,
+    partition_by: str | None = None,
+) -> DataFrame:
+    """Write in parallel parts, and return what is on disk, read back with the same schema.
+
+    `multi_line` is for text columns that may hold line breaks: such CSV files are read unsplit. With
+    `partition_by` there is a folder for each value, gathered into few files, but split if it is large.
+    """
+    reader = df.sparkSession.read.schema(df.schema)
+    if partition_by:
+        writer = df.hint("rebalance", F.col(partition_by)).write.partitionBy(partition_by)
+    else:
+        writer = df.write
+    writer = writer.mode("overwrite")
     if fmt == "csv":
-        writer, reader = writer.options(**CSV), reader.options(**CSV, multiLine=True)
+        writer, reader = writer.options(**CSV), reader.options(**CSV, multiLine=multi_line)
     writer.format(fmt).save(path)
-    return reader.format(fmt).load(path)
+    return reader.format(fmt).load(path).select(df.columns)
+
+
+def export_table(
+    model: Mapping[str, DataFrame],
+    answers: Mapping[str, DataFrame],
+    name: str,
+    folder: str,
+    fmt: str = "csv",
+) -> DataFrame:
+    """Write one exported table; facts have a folder for each purchase month."""
+    if name in AGGREGATES:
+        return write_files(answers[AGGREGATES[name]], f"{folder}/{name}", fmt)
+    df = model[name].select(*EXPORT_COLUMNS[name])
+    month = PARTITION_COLUMN if name in MONTH_PARTITIONED else None
+    return write_files(df, f"{folder}/{name}", fmt, partition_by=month)
 
 
 def export_model(
@@ -138,11 +168,10 @@ def export_model(
     fmt: str = "csv",
 ) -> dict[str, DataFrame]:
     """Write each table under `folder`, and return what is on disk, re-read."""
-    tables = {name: model[name].select(*columns) for name, columns in EXPORT_COLUMNS.items()}
-    tables |= {name: answers[answer] for name, answer in AGGREGATES.items()}
-    spark = next(iter(tables.values())).sparkSession
-    parts = side_by_side(spark, lambda n: write_files(tables[n], f"{folder}/{n}", fmt), tables)
-    return dict(zip(tables, parts, strict=True))
+    names = [*EXPORT_COLUMNS, *AGGREGATES]
+    spark = next(iter(model.values())).sparkSession
+    parts = side_by_side(spark, lambda n: export_table(model, answers, n, folder, fmt), names)
+    return dict(zip(names, parts, strict=True))
 
 
 def results_index(

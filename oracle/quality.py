@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.operators.quality import SOURCES
+from marketspark.operators.quality import MORE_SOURCES, SOURCES
 
 COUNTS = {
     "orders_duplicate_order_id": "SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM raw_orders GROUP BY order_id)",
@@ -26,6 +26,7 @@ COUNTS = {
     "reviews_review_id_reused": "SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM raw_reviews GROUP BY review_id)",
     "reviews_extra_reviews_for_same_order": "SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM raw_reviews GROUP BY order_id)",
     "reviews_score_missing_or_out_of_range": "SELECT count(*) FROM raw_reviews WHERE coalesce(TRY_CAST(review_score AS INTEGER), 0) NOT IN (1, 2, 3, 4, 5)",
+    "payments_exact_duplicate_rows": "SELECT (SELECT count(*) FROM raw_payments) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw_payments))",
     "payments_type_not_defined": "SELECT count(*) FROM clean_payments WHERE payment_type = 'not_defined'",
     "payments_zero_value": "SELECT count(*) FROM clean_payments WHERE payment_value = 0.00",
     "customers_zip_prefix_lost_leading_zero": "SELECT count(*) FROM raw_customers WHERE len(trim(customer_zip_code_prefix)) <= 4",
@@ -44,5 +45,5 @@ FROM (SELECT '{check}' AS check_name, '{table}' AS table_name, ({COUNTS[check]})
              (SELECT count(*) FROM {table}) AS total)"""
 
 
-LINES = {c.name: _line(s.table, c.name, c.action) for s in SOURCES for c in s.checks}
-LOG = "\nUNION ALL\n".join(LINES.values())
+LINES = {c.name: _line(s.table, c.name, c.action) for s in SOURCES + MORE_SOURCES for c in s.checks}
+LOG = "\nUNION ALL\n".join(LINES[c.name] for s in SOURCES for c in s.checks)

@@ -8,11 +8,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from marketspark.__main__ import main
 from marketspark.params import SMALL_DATA
 from marketspark.plans import dashboard, facts
 from marketspark.plans.pipeline import run_pipeline
 from marketspark.sources.contract import SchemaContractError
-from marketspark.sources.sinks import EXPORT_COLUMNS
+from marketspark.sources.sinks import EXPORT_COLUMNS, export_table
 from tests import fixture
 from tests.conftest import keyed, rows, write_files
 
@@ -152,3 +153,24 @@ def test_the_command_line_checks_files_only(tmp_path, capsys):
     Path(raw / "shop_sellers_dataset.csv").write_text("seller_id,seller_city\ns1,x\n")
     assert main([str(raw), str(tmp_path / "out"), "--check-only"]) == 1
     assert "missing columns: seller_zip_code_prefix, seller_state" in capsys.readouterr().err
+
+
+def test_facts_are_exported_by_month(run, tmp_path_factory):
+    for name, fmt in (("fact_orders", "csv"), ("fact_payments", "parquet"), ("dim_seller", "csv")):
+        out = tmp_path_factory.mktemp("export")
+        again = export_table(run.tables.model(), {}, name, str(out), fmt)
+        folders = {p.name.split("=")[0] for p in (out / name).iterdir() if p.is_dir()}
+        assert folders == (set() if name.startswith("dim") else {"purchase_month"})
+        assert again.columns == list(EXPORT_COLUMNS[name])
+        stored = run.tables[name].select(*again.columns)
+        assert sorted(map(str, again.collect())) == sorted(map(str, stored.collect()))
+
+
+def test_command_line_tells_what_differs(spark, tmp_path, capsys):
+    raw = write_files(tmp_path / "raw", fixture.tables())
+    assert main([str(raw), str(tmp_path / "out")]) == 2
+    printed = capsys.readouterr()
+    assert "quality checks have findings" in printed.out
+    assert "mismatch  revenue: " in printed.err and printed.err.count("mismatch") >= 2
+    with pytest.raises(SystemExit):
+        main([str(raw), str(tmp_path / "out"), "--free-text", "reviews,nothing"])

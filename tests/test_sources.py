@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from marketspark.sources import contract, raw, store
 from tests import fixture
 from tests.conftest import rows, write_files
@@ -72,6 +74,118 @@ def test_extra_columns_are_left_out(spark, tmp_path):
     assert raw.read_raw(spark, files["sellers"], "sellers").columns == header
 
 
+def parts_with(spark, folder, table, frames):
+    """A folder of parts of one table, written one after the other."""
+    path = f"{folder}/shop_{contract.CONTRACT[table][0]}"
+    for df in frames:
+        df.coalesce(1).write.mode("append").csv(path, header=True)
+    return path
+
+
+def sellers_of(spark, *rows_):
+    return spark.createDataFrame(rows_, "seller_id string, seller_zip_code_prefix string, seller_city string, seller_state string")
+
+
+def test_two_files_for_one_table_are_reported(spark, tmp_path):
+    folder = write_files(tmp_path / "raw", fixture.tables())
+    for year in ("y2017", "y2018"):
+        (folder / f"{year}_sellers_dataset.csv").write_text("seller_id\n")
+    (folder / "shop_sellers_dataset.csv").unlink()
+    assert "sellers" not in contract.find_files(spark, str(folder))
+    assert [tuple(r) for r in contract.schema_problems(spark, str(folder)).collect()] == [
+        ("sellers_dataset.csv", "more than one file: y2017_sellers_dataset.csv, y2018_sellers_dataset.csv")
+    ]
+
+
+def test_parts_in_another_column_order_are_read_right(spark, tmp_path):
+    one = sellers_of(spark, ("s1", "01", "rio", "RJ"))
+    two = sellers_of(spark, ("s2", "02", "sao", "SP")).select("seller_state", "seller_id", "seller_city", "seller_zip_code_prefix")
+    more = sellers_of(spark, ("s3", "03", "bel", "PA")).selectExpr("'x' AS note", "*")
+    path = parts_with(spark, tmp_path, "sellers", [one, two, more])
+    found = raw.read_raw(spark, path, "sellers")
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("s1", "01", "rio", "RJ"),
+        ("s2", "02", "sao", "SP"),
+        ("s3", "03", "bel", "PA"),
+    ]
+
+
+def test_every_part_is_checked(spark, tmp_path):
+    one = sellers_of(spark, ("s1", "01", "rio", "RJ"), ("s4", "01", "rio", "RJ"))
+    two = sellers_of(spark, ("s2", "02", "sao", "SP")).drop("seller_state")
+    path = parts_with(spark, tmp_path, "sellers", [one, two])
+    problems = [tuple(r) for r in contract.schema_problems(spark, str(tmp_path)).collect()]
+    assert ("sellers_dataset.csv", "missing columns: seller_state") in problems
+    with pytest.raises(ValueError, match="seller_state"):
+        raw.read_raw(spark, path, "sellers")
+    report = raw.part_report(spark, {"sellers": path})
+    assert sorted((r["missing"], r["rows"]) for r in report.collect()) == [("", 2), ("seller_state", 1)]
+
+
+def test_empty_files_are_no_parts(spark, tmp_path):
+    path = parts_with(spark, tmp_path, "sellers", [sellers_of(spark, ("s1", "01", "rio", "RJ"))])
+    (tmp_path / "shop_sellers_dataset.csv" / "part-99999.csv").write_text("")
+    assert raw.read_raw(spark, path, "sellers").count() == 1
+
+
+def test_only_free_text_is_read_unsplit(spark, tmp_path):
+    """One orders file makes several tasks; one reviews file makes one."""
+    big = spark.range(20_000).selectExpr(*[f"cast(id AS string) AS {c}" for c in contract.CONTRACT["orders"][1]])
+    path = parts_with(spark, tmp_path, "orders", [big])
+    text = spark.range(20_000).selectExpr(*[f"cast(id AS string) AS {c}" for c in contract.CONTRACT["reviews"][1]])
+    other = parts_with(spark, tmp_path, "reviews", [text])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        tables = raw.read_all(spark, {"orders": path, "reviews": other})
+        assert tables["orders"].rdd.getNumPartitions() > 4 and tables["reviews"].rdd.getNumPartitions() == 1
+        assert raw.read_all(spark, {"reviews": other}, ())["reviews"].rdd.getNumPartitions() > 4
+        assert tables["orders"].count() == tables["reviews"].count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["Seller_ID", '"seller_id"', "\ufeffseller_id", '\ufeff"seller_id"', '" seller_id "', ' "\ufeff seller_id" ', "'seller_id'"],
+)
+def test_wrapped_names(name):
+    assert contract.normal_name(name) == "seller_id"
+
+
+def test_misspelt_names():
+    assert contract.normal_name('"PRODUCT_DESCRIPTION_LENGHT "') == "product_description_length"
+    assert contract.normal_name("a b", {"a b": "c"}) == "c" and contract.normal_name("lenght") == "lenght"
+
+
+def test_no_shared_folder_is_an_error(spark, monkeypatch):
+    class Bare:
+        sparkContext = property(lambda self: self)
+        conf = property(lambda self: self)
+
+        def getConf(self):
+            return self
+
+        def getCheckpointDir(self):
+            return None
+
+        def get(self, key, default=None):
+            return default
+
+    with pytest.raises(store.NoSharedFolder, match="spark.checkpoint.dir"):
+        store.store_root(Bare())
+
+
+def test_a_finished_run_can_be_dropped(spark):
+    lake = store.Lake(spark, {"numbers": lambda t: t.spark.range(3).toDF("n")})
+    assert lake["numbers"].count() == 3
+    folder = lake.folder
+    assert lake.drop() and not store.drop_folder(spark, folder)
+    for outside in ("/tmp/other", f"{store.store_root(spark)}/../x"):
+        with pytest.raises(ValueError, match="is not below"):
+            store.drop_folder(spark, outside)
+
+
 def test_tables_go_to_the_shared_folder_the_session_names(spark):
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = store.store_root(spark)
