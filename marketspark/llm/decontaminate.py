@@ -40,7 +40,7 @@ from marketspark.llm.common import map_slices, narrow
 Q = 8
 PASSAGE = 80
 EDITS = 6
-BLOCK_CHARS = 4_000_000  # of items indexed and broadcast at a time
+BLOCK_CHARS = 1_000_000  # of items indexed and broadcast at a time: about 40 MB
 TABLE_BITS = 22
 BLANK = 32
 

@@ -6,7 +6,7 @@ as it has more than the budget. If two fingerprints differ in `max_bits` bits, t
 most half of these; so two tries are used, one beginning with each half, and the budget inside the
 first half is halved. The top of the trie spreads the work: each node at a depth that follows the
 number of fingerprints is one group, which also gets the nodes one bit away (or more, for a larger
-budget). A crowded node is cut into blocks.
+budget). A crowded node is cut into blocks that meet in pairs, so no group outgrows two blocks.
 
 Inside a group, nodes that are known to be linked already are not walked again, so a crowd of near
 copies costs little more than its size. A group gives a spanning forest of its links, never all
@@ -33,7 +33,7 @@ SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 NODE_ROWS = 16_384  # fingerprints that a group should own
-BLOCK_ROWS = 262_144  # a node with more is cut into blocks
+BLOCK_ROWS = 262_144  # a group that gets more is cut into blocks
 PAIRS_AT_ONCE = 1 << 15
 LEAF_PAIRS = 64
 HASHES_AT_ONCE = 1 << 16
@@ -186,18 +186,23 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ]
     node = F.shiftrightunsigned("x", BITS - depth) if depth else F.lit(0).cast("long")
     nodes = both[0].unionByName(both[1]).withColumn("node", node)
-    blocks = nodes.groupBy("turn", "node").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     # an own fingerprint, or one of a node a few bits away whose number is larger
     near = F.filter(
         F.array(*(F.col("node").bitwiseXOR(F.lit(m).cast("long")) for m in masks)),
         lambda other: other <= F.col("node"),
     )
     sent = nodes.select("turn", "x", F.col("node").alias("home"), F.explode(near).alias("node"))
-    sent = sent.join(blocks, ["turn", "node"])
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mine = (F.col("home") == F.col("node")) & (F.pmod(F.xxhash64("x"), "blocks") == F.col("block"))
-    sent = sent.select("turn", "node", "block", "x", mine.alias("own"))
-    groups = sent.groupBy("turn", "node", "block")
+    blocks = sent.groupBy("turn", "node").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sent = sent.join(blocks, ["turn", "node"]).withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
+    mine = F.col("home") == F.col("node")
+    place = lambda left, right, own: F.struct(left.alias("left"), right.alias("right"), own.alias("own"))
+    every, block = F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")
+    # every block of own fingerprints meets every block of all: a row is on the right of each pair of
+    # its column, and, if it is an own one, on the left of each pair of its row
+    rights = F.transform(every, lambda i: place(i, block, mine & (i == block)))
+    lefts = F.transform(F.filter(every, lambda j: mine & (j != block)), lambda j: place(block, j, F.lit(True)))
+    sent = sent.select("turn", "node", "x", F.inline(F.concat(rights, lefts)))
+    groups = sent.groupBy("turn", "node", "left", "right")
     return groups.applyInPandas(_links_of_group(max_bits, depth), "u long, v long")
 
 

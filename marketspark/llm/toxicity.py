@@ -338,10 +338,9 @@ def train(df: DataFrame, labels: DataFrame, learn_from: Column) -> Field:
 def score(df: DataFrame, field: Field) -> DataFrame:
     """(doc_id, text) -> doc_id, score, spans: array of (start_at, end_at, chance)."""
     shared = df.sparkSession.sparkContext.broadcast(field)
-    taggers: dict[int, Tagger] = {}
 
     def work():
-        tagger = taggers.setdefault(0, Tagger(shared.value))
+        tagger = Tagger(shared.value)
         item = pa.struct([("start_at", pa.int64()), ("end_at", pa.int64()), ("chance", pa.float64())])
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
