@@ -7,21 +7,25 @@ ordered by residual, and the search goes on to the next larger residual while a
 bins carry bitmaps of the sources and of the duplicate clusters that they hold, and two pieces of
 one source, or of one cluster, never share a bin. A new bin is opened only if no bin is compatible.
 
-Edge cases: pieces of one row share its source and cluster and are kept apart; an empty or null text
-has length 0 and takes a place in a bin all the same; a null source or cluster is in conflict with
+Edge cases: pieces of one row share its source and cluster and are kept apart; a row of length null or
+0 takes a place in a bin all the same (an empty or null text is one token, the end mark); a null source or cluster is in conflict with
 nothing; repeated rows are packed each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketspark.llm.common import stored
+from marketspark.llm.shards import token_ids
 
-CAPACITY = 8192
+CAPACITY = 2048  # tokens
 GROUP_PIECES = 20_000
 SEARCH_BINS = 64
 
@@ -153,7 +157,27 @@ def text_cluster(text: Column) -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
-def pack_texts(df: DataFrame, capacity: int = CAPACITY, text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """Pack whole texts by their UTF-8 bytes; copies and texts of one source are kept apart."""
+@F.pandas_udf(T.LongType())
+def _tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for some in texts:
+        yield pd.Series([len(token_ids(t)) for t in some], dtype="int64")
+
+
+def token_length(text: Column) -> Column:
+    """Tokens of a text with its end mark; an empty or null text is the end mark alone."""
+    return _tokens(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def pack_texts(
+    df: DataFrame,
+    capacity: int = CAPACITY,
+    length: Column | None = None,
+    text_col: str = "text",
+    source_col: str = "source",
+    **settings,
+) -> DataFrame:
+    """Pack whole texts by their tokens, or by another length; copies and texts of one source are kept
+    apart."""
     text = df[text_col].cast("string")
-    return pack(df, F.octet_length(text), df[source_col], text_cluster(text), capacity, **settings)
+    length = token_length(df[text_col]) if length is None else length
+    return pack(df, length, df[source_col], text_cluster(text), capacity, **settings)

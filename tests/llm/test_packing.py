@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketspark.llm import packing
+from marketspark.llm.shards import token_ids
 
 
 def slow_best_fit(lengths, sources, clusters, capacity):
@@ -89,7 +90,8 @@ def test_pieces_cover_every_row(spark):
     texts = [(i, "x" * random.choice([0, 5, 90, 100, 101, 250, 1000]), "hot" if i % 3 else f"s{i}") for i in range(300)]
     texts += [(300, None, None), (300, None, None), (None, "abc", "hot"), (301, "Same Text", "a"), (302, "same  text", "b")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string, source string")
-    rows = packing.pack_texts(df, capacity=100, group_pieces=150).collect()
+    bytes_ = F.octet_length("text")
+    rows = packing.pack_texts(df, capacity=100, length=bytes_, group_pieces=150).collect()
     source = {i: s for i, _, s in texts}
     by_doc, by_bin = {}, {}
     for r in rows:
@@ -113,5 +115,9 @@ def test_pieces_cover_every_row(spark):
 def test_awkward_rows(awkward):
     rows = packing.pack_texts(awkward).collect()
     assert {r["doc_id"] for r in rows} == {1, 2, None, 3, 4, 5, 6}
-    assert sum(r["length"] for r in rows) == awkward.agg(F.sum(F.octet_length("text"))).first()[0]
+    tokens = [len(token_ids(r["text"] or "")) for r in awkward.collect()]
+    assert sum(r["length"] for r in rows) == sum(tokens) and max(r["pieces"] for r in rows) > 10
+    assert sorted(r["length"] for r in rows if r["doc_id"] in (2, 3)) == [1, 1]
+    in_bytes = packing.pack_texts(awkward, length=F.octet_length("text")).collect()
+    assert sum(r["length"] for r in in_bytes) == awkward.agg(F.sum(F.octet_length("text"))).first()[0]
     assert packing.pack_texts(awkward.limit(0)).count() == 0

@@ -13,6 +13,7 @@ import corpus_pipeline
 from marketspark.llm import decontaminate, quality, secrets
 from marketspark.llm.common import read, stored
 from marketspark.llm.queries import ORACLES, QUERIES
+from marketspark.llm.shards import token_ids
 from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -79,7 +80,7 @@ def test_secrets_stage(outputs):
 
 def test_packing_stage(outputs):
     before, after = outputs["packing"]
-    size = {r["doc_id"]: len(r["text"].encode()) for r in before.collect()}
+    size = {r["doc_id"]: len(token_ids(r["text"])) for r in before.collect()}
     source = {r["doc_id"]: r["source"] for r in before.collect()}
     packed, bins = {}, {}
     for r in after.collect():
@@ -88,7 +89,7 @@ def test_packing_stage(outputs):
     assert packed == size
     for members in bins.values():
         own = [source[r["doc_id"]] for r in members]
-        assert sum(r["length"] for r in members) <= 8192 and len(own) == len(set(own))
+        assert sum(r["length"] for r in members) <= 2048 and len(own) == len(set(own))
 
 
 def test_run_gives_the_last_stage(spark, outputs):
