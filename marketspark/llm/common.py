@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marketspark.sources.store import store_root
 
@@ -41,6 +43,23 @@ def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def text_function(work: Callable[[], Callable[[list[str | None]], pa.Array]], returns: T.DataType) -> Callable[[Column], Column]:
+    """A column function of a text column, on slices of a few hundred rows of an Arrow batch.
+
+    `work` is called once in each task and returns the function from a list of texts to an array.
+    """
+    kind = to_arrow_type(returns)
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = work()
+        for batch in batches:
+            parts = [each(batch.slice(i, SLICE_ROWS).to_pylist()) for i in range(0, len(batch), SLICE_ROWS)]
+            yield pa.concat_arrays([part.cast(kind) for part in parts]) if parts else pa.array([], kind)
+
+    return run
+
+
 def folder(spark: SparkSession, label: str) -> str:
     """A new folder in the shared place that the session names."""
     return f"{store_root(spark)}/llm/{label}-{uuid.uuid4().hex}"

@@ -29,13 +29,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.common import map_slices, narrow
+from marketspark.llm.common import map_slices, narrow, text_function
 
 Q = 8
 PASSAGE = 80
@@ -321,12 +320,10 @@ def find_leaks(
 def _clean_of(shared):
     """A column function: does a text hold no passage of the broadcast items?"""
 
-    @F.pandas_udf(T.BooleanType())
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in texts:
-            yield pd.Series([not leaks(shared.value, t) for t in some], dtype=bool)
+    def work():
+        return lambda texts: pa.array([not leaks(shared.value, t) for t in texts], pa.bool_())
 
-    return clean
+    return text_function(work, T.BooleanType())
 
 
 def drop_leaking(

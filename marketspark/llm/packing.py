@@ -14,15 +14,14 @@ nothing; repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.common import stored
+from marketspark.llm.common import stored, text_function
 from marketspark.llm.shards import token_ids
 
 CAPACITY = 2048  # tokens
@@ -157,15 +156,13 @@ def text_cluster(text: Column) -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
-@F.pandas_udf(T.LongType())
-def _tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in texts:
-        yield pd.Series([len(token_ids(t)) for t in some], dtype="int64")
+def _tokens():
+    return lambda texts: pa.array([len(token_ids(t)) for t in texts], pa.int64())
 
 
 def token_length(text: Column) -> Column:
     """Tokens of a text with its end mark; an empty or null text is the end mark alone."""
-    return _tokens(F.coalesce(text.cast("string"), F.lit("")))
+    return text_function(_tokens, T.LongType())(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def pack_texts(

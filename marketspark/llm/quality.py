@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.common import map_slices, narrow
+from marketspark.llm.common import map_slices, narrow, text_function
 
 SAMPLE_ROWS = 4096  # labelled rows that are kept as neighbours
 SHAPE_TERMS, PAIR_TERMS, WORD_TERMS = 512, 1024, 512
@@ -231,12 +231,9 @@ def keep_good(
     model = train(narrow(df, id_col, text_col), labels, "quality", learn)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work():
         terms = terms_of_worker()
-        for some in texts:
-            parts_of = [some.iloc[i : i + 512] for i in range(0, len(some), 512)]
-            found = [shared.value.scores(np.array([terms.counts(t) for t in p], np.float32)) for p in parts_of]
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+        return lambda texts: pa.array(shared.value.scores(np.array([terms.counts(t) for t in texts], np.float32)))
 
+    scored = text_function(work, T.DoubleType())
     return df.where(scored(F.coalesce(df[text_col].cast("string"), F.lit(""))) >= threshold)

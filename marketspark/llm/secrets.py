@@ -20,16 +20,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.common import map_slices, narrow
+from marketspark.llm.common import map_slices, narrow, text_function
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(
@@ -223,13 +221,12 @@ def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = None,
     `chars_col`, if given, is set to the length of the new text where the text has changed.
     """
 
-    @F.pandas_udf(T.StringType())
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work():
         scanner = Scanner(**settings)
-        for some in texts:
-            yield pd.Series([None if t is None else redacted(t, scanner.spans(t)[1], mark) for t in some], dtype=object)
+        clean = lambda t: None if t is None else redacted(t, scanner.spans(t)[1], mark)
+        return lambda texts: pa.array([clean(t) for t in texts], pa.string())
 
-    new = clean(df[text_col].cast("string"))
+    new = text_function(work, T.StringType())(df[text_col].cast("string"))
     changed = df.withColumn(text_col, new)
     if chars_col:
         return changed.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType))

@@ -15,17 +15,17 @@ pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.common import narrow, stored
+from marketspark.llm.common import narrow, stored, text_function
 from marketspark.llm.components import components
 
 BITS = 64
@@ -54,14 +54,12 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in texts:
-        yield pd.Series([fingerprint(t) for t in some], dtype="int64")
+def _fingerprints():
+    return lambda texts: pa.array([fingerprint(t) for t in texts], pa.int64())
 
 
 def fingerprint_of(text: Column) -> Column:
-    return _fingerprints(text)
+    return text_function(_fingerprints, T.LongType())(text)
 
 
 def labels_of(n: int, u: np.ndarray, v: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
