@@ -5,11 +5,12 @@ foreign keys and only that result meets a dimension. A hot state, seller or day
 map-side aggregation before any shuffle, and no fact row is ever joined.
 
 Attributes are written `table.column`. A filter on a table that is not related to the measure's
-fact has no effect on it, as in a star-schema filter context.
+fact has no effect on it, as in a star-schema filter context; a table that the model lacks is an error.
 """
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -216,16 +217,30 @@ def measure(
     return measures(model, [name], by, where)
 
 
+def _with_months_before(model: Model, where: Where) -> Model:
+    """The model with only those months of the revenue fact that hold a wanted day, or precede one."""
+    days = model["dim_date"]
+    for attribute, values in where.items():
+        table, column = _split(attribute)
+        if table == "dim_date":
+            days = days.filter(F.col(column).isin(*values))
+    earlier = days.select(F.add_months("month_start", -1).alias("month_start"))
+    fact = MEASURES["revenue"].table
+    return ChainMap({fact: _within_months(model[fact], days.select("month_start").union(earlier))}, model)
+
+
 def revenue_mom(model: Model, by: Sequence[str] = (), where: Where | None = None) -> DataFrame:
     """Revenue growth over the previous calendar month; NULL where that month has no revenue.
 
-    The previous month is looked up beyond the date filters, within all the others.
+    The previous month is looked up beyond the date filters, within all the others; both reads of the
+    fact are pruned to their months.
     """
-    month = "dim_date.month_start"
-    others = {a: v for a, v in (where or {}).items() if _split(a)[0] != "dim_date"}
+    month, where = "dim_date.month_start", where or {}
+    others = {a: v for a, v in where.items() if _split(a)[0] != "dim_date"}
     columns = [_split(a)[1] for a in by]
     now = measure(model, "revenue", [month, *by], where).filter(F.col("month_start").isNotNull())
-    before = measure(model, "revenue", [month, *by], others).select(
+    wide = model if len(others) == len(where) else _with_months_before(model, where)
+    before = measure(wide, "revenue", [month, *by], others).select(
         F.add_months("month_start", 1).alias("_month"),
         *[F.col(c).alias(f"_{c}") for c in columns],
         F.col("revenue").alias("_before"),
