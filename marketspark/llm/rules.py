@@ -44,6 +44,7 @@ COMMON = {
     "es": ("el", "la", "de", "que", "y", "los", "las", "en", "un", "una", "por", "con"),
 }
 COMMON_WORDS = 12
+LONGEST_COMMON = max(len(word) for words in COMMON.values() for word in words)
 
 LEAST_CHARS = 400
 LEAST_HISTOGRAM_WORDS = 100
@@ -123,7 +124,9 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         *(F.regexp_count("text", F.lit(pattern)).cast("long").alias(f"c_{name}") for name, pattern in CLASSES.items()),
     )
-    plain = F.transform("words", lambda w: F.lower(w))
+    # lower case never has fewer characters, so a longer word is on no list
+    short = F.filter("words", lambda w: F.length(w) <= LONGEST_COMMON)
+    plain = F.transform(short, lambda w: F.lower(w))
     lists = F.coalesce(
         *(F.when(F.col("lang") == lang, F.array(*map(F.lit, words))) for lang, words in COMMON.items()),
         F.array().cast("array<string>"),
