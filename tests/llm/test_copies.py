@@ -1,0 +1,84 @@
+"""Near copies against all pairs compared by brute force."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from marketspark.llm import copies
+from marketspark.llm.common import read
+from marketspark.llm.simhash import fingerprint
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def sets_of(texts):
+    found = []
+    for text in texts:
+        words = (text or "").lower().split()
+        runs = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)}
+        found.append(runs)
+    return found
+
+
+def slow_roots(texts):
+    sets, root = sets_of(texts), list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pipeline_stage_against_brute_force(spark):
+    docs = read(spark, SF_DIR, "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    kept = corpus_pipeline.one_of_each(spark, docs, SF_DIR)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({rows[i][0] for i in slow_roots([t for _, t in rows])})
+
+
+def edited(rng, words, at_least, at_most):
+    words = list(words)
+    for _ in range(rng.randint(at_least, at_most)):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_edited_copies_that_three_bits_miss(docs_of):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(base), edited(rng, base, 1, 2), edited(rng, base, 1, 3), edited(rng, base, 8, 12)]
+    rng.shuffle(texts)
+    texts += ["", None, " \n", "Two words", "two  WORDS", "two other"]
+    roots = slow_roots(texts)
+    assert [r["doc_id"] for r in copies.drop_copies(docs_of(*texts)).orderBy("doc_id").collect()] == sorted(set(roots))
+    near = [(i, r) for i, r in enumerate(roots) if i != r and texts[i]]
+    assert any(bin((fingerprint(texts[i]) ^ fingerprint(texts[r])) & (2**64 - 1)).count("1") > 3 for i, r in near)
+
+
+def test_crowd_around_a_text_is_one_group_where_its_pairs_are(docs_of):
+    """Copies that are near their origin, but not all near each other."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)] + [edited(rng, base, 2, 3) for _ in range(60)]
+    rng.shuffle(texts)
+    grouped = copies.with_group(docs_of(*texts)).collect()
+    roots = slow_roots(texts)
+    pairs = {(roots[r["doc_id"]], r["_group"]) for r in grouped}
+    assert len({r for r, _ in pairs}) == len({g for _, g in pairs}) == len(pairs)
+
+
+def test_awkward_rows(awkward):
+    assert copies.drop_copies(awkward).columns == awkward.columns
+    assert sorted(r["doc_id"] or 0 for r in copies.drop_copies(awkward).collect()) == [0, 1, 2, 5, 6]
+    assert copies.drop_copies(awkward.limit(0)).count() == 0
+    assert {r["doc_id"] for r in copies.with_group(awkward).where("_group is null").collect()} == {2, 3, 4}
