@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketspark.llm.common import stored, text_function
+from marketspark.llm.copies import with_group
 from marketspark.llm.shards import token_ids
 
 CAPACITY = 2048  # tokens
@@ -103,10 +104,12 @@ def pack(
     capacity: int = CAPACITY,
     group_pieces: int = GROUP_PIECES,
     id_col: str = "doc_id",
+    row: Column | None = None,
 ) -> DataFrame:
     """doc_id, piece, pieces, start (in the row), length, bin, offset: one row for each piece.
 
-    `length` counts the units of a row that a bin holds `capacity` of.
+    `length` counts the units of a row that a bin holds `capacity` of. `row` is a different number for
+    each row, by default its place in the table.
     """
     size = F.coalesce(length.cast("long"), F.lit(0).cast("long"))
     narrow = rows.select(
@@ -114,7 +117,7 @@ def pack(
         size.alias("size"),
         source.cast("string").alias("source"),
         cluster.cast("long").alias("cluster"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
     last = F.greatest(F.ceil(F.col("size") / capacity).cast("long"), F.lit(1).cast("long")) - 1
     narrow = stored(narrow.withColumn("last", last), "lengths")
@@ -150,12 +153,6 @@ def pack(
     return pieces.groupBy("group").applyInPandas(work, schema)
 
 
-def text_cluster(text: Column) -> Column:
-    """A number that texts share if they are equal but for letter case and white space; null if blank."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(plain != "", F.xxhash64(plain))
-
-
 def _tokens():
     return lambda texts: pa.array([len(token_ids(t)) for t in texts], pa.int64())
 
@@ -173,8 +170,9 @@ def pack_texts(
     source_col: str = "source",
     **settings,
 ) -> DataFrame:
-    """Pack whole texts by their tokens, or by another length; copies and texts of one source are kept
-    apart."""
-    text = df[text_col].cast("string")
+    """Pack whole texts by their tokens, or by another length; near copies (five-word shingles,
+    similarity 0.8 or more, directly or through others) and texts of one source are kept apart."""
     length = token_length(df[text_col]) if length is None else length
-    return pack(df, length, df[source_col], text_cluster(text), capacity, **settings)
+    sized = df.select("*", length.alias("_length"))
+    rows = with_group(sized, text_col)
+    return pack(rows, F.col("_length"), F.col(source_col), F.col("_group"), capacity, row=F.col("_row"), **settings)

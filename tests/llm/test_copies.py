@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from marketspark.llm import copies
+from marketspark.llm import copies, packing
 from marketspark.llm.common import read
 from marketspark.llm.simhash import fingerprint
 
@@ -82,3 +82,18 @@ def test_awkward_rows(awkward):
     assert sorted(r["doc_id"] or 0 for r in copies.drop_copies(awkward).collect()) == [0, 1, 2, 5, 6]
     assert copies.drop_copies(awkward.limit(0)).count() == 0
     assert {r["doc_id"] for r in copies.with_group(awkward).where("_group is null").collect()} == {2, 3, 4}
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(10 * k + i, edited(rng, base, 0, 1), f"s{10 * k + i}") for i in range(4)]
+    roots = dict(zip([i for i, _, _ in rows], slow_roots([t for _, t, _ in rows]), strict=True))
+    assert len(set(roots.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    bins = {}
+    for r in packing.pack_texts(df).collect():
+        bins.setdefault(r["bin"], []).append(roots[r["doc_id"]])
+    assert all(len(b) == len(set(b)) for b in bins.values()) and max(map(len, bins.values())) > 1
