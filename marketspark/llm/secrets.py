@@ -8,8 +8,9 @@ Base kinds are found by pattern, leftmost and non-overlapping for each kind:
 The method adds `entropy`: a window slides over every long run of key characters. Character counts,
 and with them the sum of c*log2(c), change by one character at each step. A window counts if its
 entropy reaches the threshold of its character class; overlapping windows make one span. Spans on
-the allow list (well-known examples, identifiers in canonical form, alphabets, parts of web
-addresses) and spans inside a base span are left out; base spans always stay.
+the allow list (well-known examples, identifiers in canonical form, alphabets, host and path of a web
+address that isn't a web hook) and spans inside a base span are left out; base spans always stay.
+User-info, query and fragment of an address are no part of the allow list.
 
 Edge cases: a null or empty text has no span; positions are code points, end exclusive; repeated
 rows are scanned each; a very long run costs linear time and constant memory.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,7 +42,14 @@ LEAST_RUN = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits for each character class of a window; a class that isn't named has no secrets.
-THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.7}
+THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.7, "mixed": 3.8}
+#: A window without digits has a class if it has so many letters of either case.
+LEAST_CASE = 5
+#: A web address from its separator to a blank, quote, comma or bracket; its parts that may hold keys.
+ADDRESS = re.compile(r"""://[^\s"'`,;<>()\[\]{}\\]*""")
+USER_INFO = re.compile(r"://(?:[^/?#@:]*:[^?#@]*@|[^/?#@]*@)")
+QUERY = re.compile(r"[?#]")
+HOOK = re.compile(r"(?i:hook)")
 #: Examples and shapes that are public by their nature.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
@@ -78,8 +87,10 @@ def class_of(kinds: list[int]) -> str:
     """Character class of a window from the counts of its kinds."""
     digits, low_hex, high_hex, low, high, signs = kinds
     letters = low_hex + high_hex + low + high
-    if not digits or not letters:
-        return "words" if not digits else "number"
+    if not digits:
+        return "mixed" if min(low_hex + low, high_hex + high) >= LEAST_CASE else "words"
+    if not letters:
+        return "number"
     if not low and not high and not signs and not (low_hex and high_hex):
         return "hex"
     return "base64" if signs else "alphanumeric"
@@ -115,6 +126,19 @@ def hot_windows(run: str, window: int = WINDOW, thresholds: dict[str, float] | N
     return found
 
 
+def public_parts(text: str) -> list[tuple[int, int]]:
+    """Host and path of each web address that isn't a web hook, in order."""
+    found = []
+    for m in ADDRESS.finditer(text) if "://" in text else ():
+        user = USER_INFO.match(m[0])
+        start = user.end() if user else 0
+        query = QUERY.search(m[0], start)
+        end = query.start() if query else len(m[0])
+        if not HOOK.search(m[0], start, end):
+            found.append((m.start() + start, m.start() + end))
+    return found
+
+
 class Scanner:
     def __init__(self, window: int = WINDOW, thresholds: dict[str, float] | None = None, allowed: tuple[str, ...] = ALLOWED):
         self.window = window
@@ -132,24 +156,25 @@ class Scanner:
             found += [(*m.span(), "hex") for m in HEX.finditer(text)]
         return in_order(found)
 
-    def suppressed(self, text: str, run: tuple[int, int], start: int, end: int) -> bool:
-        """On the allow list: the run or the span in it, or a part of a web address."""
+    def suppressed(self, text: str, run: tuple[int, int], start: int, end: int, open_parts: list[tuple[int, int]]) -> bool:
+        """On the allow list: the run or the span in it, or a public part of a web address."""
         if self.allowed and (self.allowed.fullmatch(text[run[0] : run[1]]) or self.allowed.fullmatch(text[start:end])):
             return True
-        word = max(text.rfind(c, 0, start) for c in " \t\n\r\v\f") + 1
-        return "://" in text[word:start]
+        at = bisect_right(open_parts, (start, len(text))) - 1
+        return at >= 0 and start < open_parts[at][1]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         if max(map(len, text.split()), default=0) < self.window:
             return []
         found = []
+        open_parts = public_parts(text)
         for m in RUN.finditer(text):
-            if not any(c.isdigit() for c in m[0]):
-                continue  # no class without digits has secrets
+            if not any(c.isdigit() for c in m[0]) and (m[0].islower() or m[0].isupper()):
+                continue  # no class without digits has secrets in one case
             for a, b in hot_windows(m[0], self.window, self.thresholds):
                 start, end = m.start() + a, m.start() + b
                 inside = any(s <= start and end <= e for s, e, _ in base)
-                if not inside and not self.suppressed(text, m.span(), start, end):
+                if not inside and not self.suppressed(text, m.span(), start, end, open_parts):
                     found.append((start, end, "entropy"))
         return found
 
