@@ -35,8 +35,8 @@ SIMILARITY = 0.8
 BANDS, BAND_HASHES = 25, 4
 SEED = 7
 HASHES_AT_ONCE = 4096
-KNOWN_WORDS = 1 << 18
-KNOWN_TEXTS = 64
+KNOWN_WORDS = 1 << 14
+KNOWN_TEXTS = 8
 STAR_TURNS = 2
 
 _random = np.random.default_rng(SEED)
