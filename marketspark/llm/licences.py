@@ -1,6 +1,6 @@
 """Licence scans: canonical digests of entire texts, joined to digests of known licences.
 
-A text is brought to a canonical form: lower case, lines with a copyright notice left out, signs of
+A text is brought to a canonical form: lower case, a title line and copyright notices left out, signs of
 comments, lists and punctuation dropped, white space made single blanks, equivalent spellings made
 one. Its SHA-256 is joined by equality to the digests of the known texts, which get the same
 treatment. Only whole texts match: a licence inside another text has another digest.
@@ -15,6 +15,8 @@ names; an empty table gives no rows.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,9 +102,32 @@ POSSIBILITY OF SUCH DAMAGE.""",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
 }
 
-#: A line that begins, after signs of comments, with a copyright notice. Every line has a line break
-#: before it and a blank at its end.
-NOTICE_LINE = r"\n[^a-z0-9\n]*(?:(?:copyright|copr|all rights reserved)[^a-z0-9\n]|\(c\)|©)[^\n]*"
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace(
+    "\nTHIS SOFTWARE",
+    """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.
+THIS SOFTWARE""",
+)
+#: Full texts as they are published, by file name.
+NAMES = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}
+for _file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+    KNOWN[NAMES.get(_file.stem, _file.stem)] = _file.read_text(encoding="utf-8")
+
+#: A notice at the beginning of a line, after signs of comments, up to the end of the line or the first
+#: words of a licence. Every line has a line break before it and a blank at its end. "(c)" alone may mark
+#: a list.
+NOTICE_LINE = (
+    r"\n[^a-z0-9\n]*(?:(?:copyright(?![ \t]+(?:notice|holder|owner|law|licen))|copr|all rights reserved)[^a-z0-9\n]"
+    r"|\(c\)[^a-z0-9\n]*(?:copyright|[0-9]{4})|©)[^\n]*?"
+    r"(?=\n|$|permission is hereby|permission to use|redistribution and use|this software is provided"
+    r"|licen[sc]ed under|released under|this work is)"
+)
+#: A line at the beginning that only names a licence.
+TITLE = (
+    r"^[^a-z0-9]*(?:the )?(?:mit|isc|x11|expat|zlib|0bsd|bsd zero[- ]clause|(?:new |simplified |modified )?bsd(?:[- ][0-9])?(?:[- ]clause)?)"
+    r"(?: \"?(?:new|revised|simplified|modified|freebsd)\"?(?: or \"?revised\"?)?)? licen[sc]e(?: \([^)\n]*\))?[^a-z0-9\n]*\n"
+)
 #: A numbered or lettered list mark at the beginning of a line.
 LIST_MARK = r"\n[ \t]*(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
 
@@ -111,6 +136,7 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text; words stand two blanks apart."""
     plain = F.replace(F.replace(F.lower(text), F.lit("\r"), F.lit("\n")), F.lit("\n"), F.lit(" \n"))
     plain = F.concat(F.lit("\n"), plain, F.lit(" "))
+    plain = F.regexp_replace(F.regexp_replace(plain, NOTICE_LINE, "\n"), TITLE, "\n")
     plain = F.regexp_replace(F.regexp_replace(plain, NOTICE_LINE, "\n"), LIST_MARK, "\n")
     plain = F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for spelling, common in EQUIVALENT:

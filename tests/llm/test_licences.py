@@ -73,3 +73,24 @@ def test_awkward_rows(spark, awkward, known):
     twins = spark.createDataFrame([("b", "x y"), ("a", "X, y!"), ("c", ""), ("d", None)], "licence string, text string")
     docs = spark.createDataFrame([(1, "x Y"), (2, "")], "doc_id bigint, text string")
     assert found(docs, twins) == {1: "a", 2: None}
+
+
+def test_whole_files(docs_of, known):
+    mit, bsd = licences.KNOWN["MIT"], licences.KNOWN["BSD-2-Clause"]
+    notice = "Copyright (c) 2020 X"
+    marked = "Terms\n{} use it\n(c) {}"
+    docs = docs_of(
+        f"MIT License\n\n{notice}\n\n{mit}",
+        f"The MIT License (MIT)\n{notice}\n{mit}",
+        f"ISC License\n\n{notice}\n\n{licences.KNOWN['ISC']}",
+        f"BSD 2-Clause License\n\n{notice}\nAll rights reserved.\n\n{bsd}",
+        f'BSD 3-Clause "New" or "Revised" License\n{notice}\n' + licences.KNOWN["BSD-3-Clause"],
+        f"{notice} " + mit.replace("\n", " "),
+        marked.format("(b)", "you must share it"),
+        marked.format("(b)", "you must not share it"),
+    )
+    names = found(docs, known)
+    assert [names[i] for i in range(6)] == ["MIT", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MIT"]
+    digests = dict(docs.select("doc_id", licences.digest(F.col("text"))).collect())
+    assert digests[6] != digests[7]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(licences.KNOWN)
