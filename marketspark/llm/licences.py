@@ -1,9 +1,10 @@
-"""Licence scans: canonical digests of entire texts, joined to digests of known licences.
+"""Licence scans: canonical digests of texts and of their lines and paragraphs, joined to those of known licences.
 
 A text is brought to a canonical form: lower case, a title line and copyright notices left out, signs of
 comments, lists and punctuation dropped, white space made single blanks, equivalent spellings made
 one. Its SHA-256 is joined by equality to the digests of the known texts, which get the same
-treatment. Only whole texts match: a licence inside another text has another digest.
+treatment. So are the digests of each line and each paragraph (lines without an empty one between
+them). A licence of several paragraphs inside another text has another digest and isn't found.
 
 The known texts are a table; those here are a start. Join sides are left to Spark's own checks of
 their size.
@@ -144,6 +145,28 @@ def canonical(text: Column) -> Column:
     return F.trim(plain)
 
 
+def parts(text: Column) -> Column:
+    """Canonical forms of the lines and paragraphs of a text, each once; with empty ones."""
+    plain = F.replace(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    plain = F.concat(F.lit("\n"), F.replace(plain, F.lit("\n"), F.lit(" \n")), F.lit(" "))
+    plain = F.regexp_replace(F.regexp_replace(plain, NOTICE_LINE, "\n"), LIST_MARK, "\n")
+    plain = F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", "  ")
+    plain = F.concat(F.lit(" "), F.replace(plain, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    for spelling, common in EQUIVALENT:
+        plain = F.replace(plain, F.lit(f" {spelling} "), F.lit(f" {common} "))
+    plain = F.regexp_replace(plain, " *\n *", "\n")
+    across = [(a, b) for a, b in EQUIVALENT if "  " in a]
+
+    def whole(paragraph: Column) -> Column:
+        one = F.concat(F.lit(" "), F.replace(paragraph, F.lit("\n"), F.lit("  ")), F.lit(" "))
+        for spelling, common in across:
+            one = F.replace(one, F.lit(f" {spelling} "), F.lit(f" {common} "))
+        return F.trim(one)
+
+    lines = F.transform(F.split(plain, "\n"), lambda line: F.trim(line))
+    return F.array_distinct(F.concat(lines, F.transform(F.split(plain, "\n\n+"), whole)))
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null if nothing is left of the text."""
     form = canonical(text)
@@ -157,8 +180,22 @@ def known_licences(spark: SparkSession) -> DataFrame:
 def find_licences(
     df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, digest, licence (null where the whole text is no known licence)."""
-    names = known.select(digest(known["text"]).alias("digest"), "licence").where("digest is not null")
-    names = names.groupBy("digest").agg(F.min("licence").alias("licence"))
-    rows = narrow(df, id_col, text_col).select("doc_id", digest(F.col("text")).alias("digest"))
-    return rows.join(names, "digest", "left").select("doc_id", "digest", "licence")
+    """doc_id, digest, licence, inside.
+
+    `licence` is that of the whole text, or else the smallest name of those `inside`: the known licences
+    that are a line or a paragraph of the text, sorted. Null and empty if there is none.
+    """
+    names = known.select(digest(known["text"]).alias("part"), "licence").where("part is not null")
+    names = names.groupBy("part").agg(F.min("licence").alias("licence"))
+    rows = narrow(df, id_col, text_col).select(
+        "doc_id",
+        digest(F.col("text")).alias("digest"),
+        F.transform(F.filter(parts(F.col("text")), lambda p: p != ""), lambda p: F.sha2(p.cast("binary"), 256)).alias("parts"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    found = rows.select("row", "doc_id", "digest", F.explode_outer(F.array_union("parts", F.array("digest"))).alias("part"))
+    found = found.join(names, "part", "left").groupBy("row", "doc_id", "digest").agg(
+        F.min(F.when(F.col("part") == F.col("digest"), F.col("licence"))).alias("whole"),
+        F.array_sort(F.collect_set("licence")).alias("inside"),
+    )
+    return found.select("doc_id", "digest", F.coalesce("whole", F.get("inside", F.lit(0))).alias("licence"), "inside")

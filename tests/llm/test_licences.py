@@ -94,3 +94,20 @@ def test_whole_files(docs_of, known):
     digests = dict(docs.select("doc_id", licences.digest(F.col("text"))).collect())
     assert digests[6] != digests[7]
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(licences.KNOWN)
+
+
+def test_lines_and_paragraphs(docs_of, known):
+    mit, notices = licences.KNOWN["MIT"], [licences.KNOWN[f"{n} notice"] for n in ("MIT", "GPL-3.0")]
+    docs = docs_of(
+        f"A long text.\nMore of it.\n{notices[0]}",
+        f"{notices[1]}\r\nA text\r\n{notices[0].upper()}",
+        f"Readme\n\n{mit}\n\nThe end.",
+        f"A text. {notices[0]}",
+    )
+    rows = {r["doc_id"]: (r["licence"], r["inside"]) for r in licences.find_licences(docs, known).collect()}
+    assert rows == {
+        0: ("MIT notice", ["MIT notice"]),
+        1: ("GPL-3.0 notice", ["GPL-3.0 notice", "MIT notice"]),
+        2: ("MIT", ["MIT"]),
+        3: (None, []),
+    }
