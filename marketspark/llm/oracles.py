@@ -75,3 +75,20 @@ def quality_rules_sql() -> str:
         AND NOT (n_words >= 100 AND coalesce(w, 0) > 0.27) AS kept
     FROM judged LEFT JOIN far USING (r)
     """
+
+
+def warc_sql() -> str:
+    """What a reader finds in the archives: digests from the pages, copies by a window over equal payloads."""
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)"
+    return f"""
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+        max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id
+      FROM pages
+    )
+    SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+      list_aggregate([{digit} FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id IS NOT DISTINCT FROM last_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to
+    FROM p
+    """

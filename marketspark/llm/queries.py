@@ -19,6 +19,7 @@ from marketspark.llm import (
     simhash,
     tokens,
     toxicity,
+    warc,
 )
 from marketspark.llm.common import read
 
@@ -89,3 +90,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(read(spark, sf_dir, "documents"))
+
+
+@query("op13_warc")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op13_warc"] = oracles.warc_sql()
