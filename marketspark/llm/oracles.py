@@ -92,3 +92,45 @@ def warc_sql() -> str:
       CASE WHEN page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to
     FROM p
     """
+
+
+def divergence_sql() -> str:
+    """Every kept term beside every source of its language, and every two sources over all these terms."""
+    share = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * v)"
+    f = "((p - q) * (p - q)) // (p + q)"
+    return f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+      FROM documents
+    ), tokens AS MATERIALIZED (
+      SELECT r, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+      FROM (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d)
+    ), kept AS MATERIALIZED (
+      SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+    ), langs AS (
+      SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+    ), sources AS (
+      SELECT DISTINCT lang, source FROM d
+    ), counts AS (
+      SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY ALL
+    ), totals AS (
+      SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL
+    ), shares AS MATERIALIZED (
+      SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {share.format(n="coalesce(c.n, 0)", total="coalesce(t.n, 0)")} AS p,
+        {share.format(n="k.n", total="l.n")} AS q
+      FROM sources s JOIN kept k USING (lang) JOIN langs l USING (lang)
+        LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+        LEFT JOIN totals t ON t.lang = s.lang AND t.source = s.source
+    ), pairs AS (
+      SELECT a.lang, a.source, b.source AS item, sum({f.replace("q", "b.p").replace("(p", "(a.p")}) AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), found AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+      FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, {f} FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (
+      SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM found
+    ) WHERE part = 'pair' OR rank <= 10
+    """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketspark.llm import (
     decontaminate,
+    divergence,
     licences,
     oracles,
     packing,
@@ -98,3 +99,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_warc"] = oracles.warc_sql()
+
+
+@query("op12_source_divergence")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = oracles.divergence_sql()
