@@ -119,13 +119,12 @@ def write_archives(
     again, so no payload is shuffled where these are few enough for Spark to broadcast.
     """
     pages = _pages(df, id_col, url_col, payload_col)
-    by_payload = pages.groupBy("same").agg(
-        F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("rows"), F.max(F.octet_length("payload")).alias("size")
-    )
-    payloads = stored(by_payload, "payloads")
-    total = payloads.agg(F.sum("rows"), F.sum(F.col("size") * F.col("rows"))).first()
-    each = (total[1] or 0) / max(total[0] or 0, 1) + 512  # heads are about so long
-    copied = payloads.where((F.col("rows") > 1) & (F.col("size") >= least)).select("same", "last_id")
+    size = F.octet_length("payload")
+    by_payload = pages.groupBy("same").agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("rows"), F.max(size).alias("size"))
+    copies = by_payload.where((F.col("rows") > 1) & (F.col("size") >= least))
+    copied = stored(copies.select("same", "last_id"), "copied-payloads")  # its size on disk decides how it is joined
+    rows, total = pages.agg(F.count(F.lit(1)), F.sum(size)).first()
+    each = (total or 0) / max(rows, 1) + 512  # heads are about so long
     joined = pages.join(copied, "same", "left").withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last_id")), F.col("last_id"))
     )
