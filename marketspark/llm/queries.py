@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.llm import (
+    alignment,
     decontaminate,
     divergence,
     licences,
@@ -107,3 +108,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_source_divergence"] = oracles.divergence_sql()
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
