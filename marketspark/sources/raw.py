@@ -8,42 +8,66 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.sources.contract import CONTRACT, FREE_TEXT, normalise_columns, parts_of
+from marketspark.sources.contract import CONTRACT, FREE_TEXT, Header, headers_of, normalise_columns, paths_with
+from marketspark.sources.records import free_text_records, parsed, range_edges
+from marketspark.sources.store import new_folder, read_back, write_table
 
 #: Fields may be quoted, with quotes doubled inside.
 QUOTING = {"quote": '"', "escape": '"'}
 
 
-def _read(spark: SparkSession, paths: list[str], columns: tuple[str, ...], multi_line: bool) -> DataFrame:
-    """CSV files that share a header, every column as text."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
+def _read(
+    spark: SparkSession, paths: list[str], header: Header, multi_line: bool, cut_above: int | None
+) -> DataFrame:
+    """CSV files that share a header, every column as text. Files with line breaks inside fields are read
+    whole, one by each task, or cut into records by many if one of them is longer than `cut_above` bytes."""
+    if cut_above is None:  # a range of Spark's own splits
+        most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        cut_above = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most)
+    if multi_line and header.largest > cut_above:
+        edges, folder = range_edges(spark, paths), new_folder(spark, "edges")
+        write_table(edges, folder)
+        return parsed(free_text_records(spark, paths, read_back(spark, folder, edges)), header.columns, QUOTING)
+    schema = ", ".join(f"`{c}` string" for c in header.columns)
     return spark.read.csv(paths, schema=schema, header=True, multiLine=multi_line, **QUOTING)
 
 
+def _frames(
+    spark: SparkSession, path: str, table: str | None, multi_line: bool, cut_above: int | None = None
+) -> list[tuple[Header, DataFrame]]:
+    """Each different header of a file or of the parts of a folder, with the rows below it."""
+    headers = headers_of(spark, {table or "": path})[table or ""]
+    one = len(headers) == 1  # the folder in the plan instead of all its parts
+    return [(h, _read(spark, [path] if one else paths_with(spark, path, h), h, multi_line, cut_above)) for h in headers]
+
+
 def read_raw(
-    spark: SparkSession, path: str, table: str | None = None, multi_line: bool | None = None
+    spark: SparkSession,
+    path: str,
+    table: str | None = None,
+    multi_line: bool | None = None,
+    cut_above: int | None = None,
 ) -> DataFrame:
     """One CSV file, or a folder of parts, with every column as text under normalised names.
 
     Parts are grouped by their headers, so columns may stand in another order in each part. Quoted
-    line breaks are read only with `multi_line`, and such files are read by one task each; the
-    default asks for it where the table holds free text, or where no table is named. All other
-    files are split by Spark. With `table`, the contract's columns come in the contract's order and
+    line breaks are read only with `multi_line`; the default asks for it where the table holds free
+    text, or where no table is named. Such files are read by one task each if all are at most `cut_above` bytes
+    long (a range of Spark's own splits), else they are cut at record ends (`records`). All other files
+    are split by Spark. With `table`, the contract's columns come in the contract's order and
     extra ones are left out; without it, all parts must have the same columns. Blank fields are NULL.
     """
     if multi_line is None:
         multi_line = table is None or table in FREE_TEXT
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for part in parts_of(spark, path):
-        by_header.setdefault(part.columns, []).append(part.path)
-    wanted = CONTRACT[table][1] if table else next(iter(by_header))
+    found = _frames(spark, path, table, multi_line, cut_above)
+    if not found:
+        raise ValueError(f"{path} has no header")
+    wanted = CONTRACT[table][1] if table else found[0][0].columns
     frames = []
-    for columns, paths in by_header.items():
-        if not set(wanted) <= set(columns) or not table and set(columns) != set(wanted):
-            raise ValueError(f"{paths[0]} has the columns {list(columns)}, not {list(wanted)}")
-        # one folder in the plan instead of all its parts
-        whole = [path] if len(by_header) == 1 else paths
-        frames.append(_read(spark, whole, columns, multi_line).select(*wanted))
+    for header, rows in found:
+        if not set(wanted) <= set(header.columns) or not table and set(header.columns) != set(wanted):
+            raise ValueError(f"{path} has a part with the columns {list(header.columns)}, not {list(wanted)}")
+        frames.append(rows.select(*wanted))
     return normalise_columns(reduce(DataFrame.unionByName, frames))
 
 
@@ -71,15 +95,11 @@ def part_report(spark: SparkSession, files: dict[str, str], free_text: Collectio
     """
     counts = []
     for table, path in files.items():
-        by_missing: dict[str, dict[tuple[str, ...], list[str]]] = {}
-        for part in parts_of(spark, path):
-            missing = ", ".join(c for c in CONTRACT[table][1] if c not in part.columns)
-            by_missing.setdefault(missing, {}).setdefault(part.columns, []).append(part.path)
-        for missing, headers in by_missing.items():
-            lines = [
-                _read(spark, paths, columns, table in free_text).select(F.lit(1).alias("one"))
-                for columns, paths in headers.items()
-            ]
+        by_missing: dict[str, list[DataFrame]] = {}
+        for header, rows in _frames(spark, path, table, table in free_text):
+            missing = ", ".join(c for c in CONTRACT[table][1] if c not in header.columns)
+            by_missing.setdefault(missing, []).append(rows.select(F.lit(1).alias("one")))
+        for missing, lines in by_missing.items():
             counted = reduce(DataFrame.unionByName, lines).agg(F.count("one").alias("rows"))
             name = path.rstrip("/").rpartition("/")[2]
             counts.append(

@@ -67,12 +67,16 @@ def read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path).select(like.columns)
 
 
+#: Jobs that run at the same time.
+MOST_JOBS = 16
+
+
 def side_by_side(spark: SparkSession, work: Callable, names: Iterable[str]) -> list:
     """Run independent jobs at the same time, so the last tasks of one leave no executor idle."""
     names = list(names)
     if len(names) < 2:
         return [work(name) for name in names]
-    with ThreadPoolExecutor(len(names), "job") as threads:
+    with ThreadPoolExecutor(min(len(names), MOST_JOBS), "job") as threads:
         return list(threads.map(inheritable_thread_target(spark)(work), names))
 
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import csv
+import random
+
 import pytest
 
 from marketspark.sources import contract, raw, store
@@ -48,8 +51,9 @@ def test_one_folder_below_and_parts(spark, tmp_path):
 def test_headers_are_normalised(spark, tmp_path):
     folder = write_files(tmp_path / "raw", fixture.tables())
     files = contract.find_files(spark, str(folder))
-    assert "product_name_length" in contract.header(spark, files["products"])
-    assert contract.header(spark, files["category_translation"])[0] == "product_category_name"
+    (products,), (translation,) = contract.headers_of(spark, files)["products"], contract.headers_of(spark, files)["category_translation"]
+    assert "product_name_length" in products.columns
+    assert translation.columns[0] == "product_category_name"
     assert contract.normal_name('﻿ "Product_Name_Lenght" ') == "product_name_length"
 
 
@@ -128,21 +132,112 @@ def test_empty_files_are_no_parts(spark, tmp_path):
     assert raw.read_raw(spark, path, "sellers").count() == 1
 
 
-def test_only_free_text_is_read_unsplit(spark, tmp_path):
-    """One orders file makes several tasks; one reviews file makes one."""
+@pytest.fixture
+def small_ranges(spark):
+    """Files are split every so many bytes."""
+    keys = [f"spark.sql.files.{k}" for k in ("maxPartitionBytes", "openCostInBytes")]
+    before = {k: spark.conf.get(k) for k in keys}
+
+    def split(size: str) -> None:
+        spark.conf.set(keys[0], size)
+        spark.conf.set(keys[1], "1")
+
+    yield split
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_long_files_are_split(spark, tmp_path, small_ranges):
+    """A long orders file makes several tasks, and so does a long reviews file; a short one is read whole."""
     big = spark.range(20_000).selectExpr(*[f"cast(id AS string) AS {c}" for c in contract.CONTRACT["orders"][1]])
     path = parts_with(spark, tmp_path, "orders", [big])
     text = spark.range(20_000).selectExpr(*[f"cast(id AS string) AS {c}" for c in contract.CONTRACT["reviews"][1]])
     other = parts_with(spark, tmp_path, "reviews", [text])
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    small_ranges("100k")
+    tables = raw.read_all(spark, {"orders": path, "reviews": other})
+    assert all(df.rdd.getNumPartitions() > 4 for df in tables.values())
+    assert raw.read_raw(spark, other, "reviews", cut_above=10**9).rdd.getNumPartitions() == 1
+    assert raw.read_all(spark, {"reviews": other}, ())["reviews"].rdd.getNumPartitions() > 4
+    assert tables["orders"].count() == tables["reviews"].count() == 20_000
+
+
+def text_file(path, seed, rows=50):
+    """A CSV file of fields with line breaks, quotes and commas; the line ends of the file follow the seed."""
+    dice = random.Random(seed)
+    marks = ["x", '"', "\n", "\r\n", ",", "ä", '""', "line ", " ", ""]
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        out.write("\ufeff" * (seed % 2))
+        quoting = csv.QUOTE_ALL if seed % 3 == 1 else csv.QUOTE_MINIMAL
+        writer = csv.writer(out, lineterminator="\r\n" if seed % 4 > 1 else "\n", quoting=quoting)
+        writer.writerow(["id", "text", "more"])
+        for i in range(rows):
+            text = "".join(dice.choice(marks) for _ in range(dice.choice([0, 3, 30, 300])))
+            writer.writerow([f"{path.name}-{i}", text, dice.choice(["", "z", '"q"', "a,b", "\n"])])
+
+
+@pytest.mark.parametrize("size", ["150", "5k"])
+@pytest.mark.parametrize("seed", [0, 3, 7])
+def test_cut_records_equal_the_multi_line_reader(spark, tmp_path, small_ranges, seed, size):
+    for k in range(2):
+        text_file(tmp_path / f"part {k}+.csv", seed + k)
+    path = str(tmp_path)
+    whole = sorted(map(tuple, raw.read_raw(spark, path, cut_above=10**9).collect()), key=repr)
+    small_ranges(size)
+    cut = raw.read_raw(spark, path, cut_above=0)
+    assert cut.columns == ["id", "text", "more"] and cut.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, cut.collect()), key=repr) == whole and len(whole) == 100
+
+
+def test_stray_quotes_stay_in_their_record(spark, tmp_path, small_ranges):
+    """A quote inside a field that is not quoted is a character, and no later record suffers."""
+    lines = [f'{i},{chr(34) if i % 7 == 0 else ""}line {i}\nnext{chr(34) if i % 7 == 0 else ""},5" screen' for i in range(200)]
+    lines = [line if i % 7 == 0 else line.replace("\n", " ") for i, line in enumerate(lines)]
+    (tmp_path / "a.csv").write_text("id,text,more\n" + "\n".join(lines))
+    whole = sorted(map(tuple, raw.read_raw(spark, str(tmp_path), cut_above=10**9).collect()))
+    small_ranges("97")
+    assert sorted(map(tuple, raw.read_raw(spark, str(tmp_path), cut_above=0).collect())) == whole and len(whole) == 200
+
+
+def test_a_record_longer_than_many_ranges(spark, tmp_path, small_ranges):
+    long = "\n".join(f"line {i}" for i in range(500))
+    (tmp_path / "a.csv").write_text(f'id,text\n1,"{long}"\n2,b\n3,"open')
+    small_ranges("100")
+    got = {r["id"]: r["text"] for r in raw.read_raw(spark, str(tmp_path), cut_above=0).collect()}
+    assert got["1"] == long and got["2"] == "b" and set(got) == {"1", "2", "3"}
+
+
+def test_ranges_that_change_are_an_error(spark, tmp_path, small_ranges):
+    text_file(tmp_path / "a.csv", 0)
+    small_ranges("300")
+    cut = raw.read_raw(spark, str(tmp_path), cut_above=0)
+    small_ranges("200")
+    with pytest.raises(Exception, match="split anew"):
+        raw.read_raw(spark, str(tmp_path), cut_above=10**9).join(cut, "id").count()
+
+
+def jobs_of(spark, work):
+    """Number of Spark jobs that some work starts."""
+    spark.sparkContext.setJobGroup("counted", "")
     try:
-        tables = raw.read_all(spark, {"orders": path, "reviews": other})
-        assert tables["orders"].rdd.getNumPartitions() > 4 and tables["reviews"].rdd.getNumPartitions() == 1
-        assert raw.read_all(spark, {"reviews": other}, ())["reviews"].rdd.getNumPartitions() > 4
-        assert tables["orders"].count() == tables["reviews"].count() == 20_000
+        found = work()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.sparkContext._jsc.clearJobGroup()
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_headers_of_many_parts_take_one_job(spark, tmp_path):
+    path = tmp_path / "shop_sellers_dataset.csv"
+    path.mkdir()
+    header = "seller_id,seller_zip_code_prefix,seller_city,seller_state"
+    for i in range(90):
+        named = header.upper() if i % 3 else ",".join(reversed(header.split(",")))
+        (path / f"part-{i:05d}.csv").write_text(f"{named}\n" + "a,b,c,d\n" * 5)
+    (path / "part-empty.csv").write_text("")
+    found, jobs = jobs_of(spark, lambda: contract.headers_of(spark, {"sellers": str(path)})["sellers"])
+    assert [(h.parts, h.columns[0]) for h in found] == [(60, "seller_id"), (30, "seller_state")]
+    assert jobs <= 2  # the shuffle of the fold is a job of its own under adaptive execution
+    rows = raw.read_raw(spark, str(path), "sellers")
+    assert rows.count() == 450 and rows.where("seller_id = 'd'").count() == 150
 
 
 @pytest.mark.parametrize(
