@@ -14,16 +14,16 @@ from marketspark.sources.store import new_folder, read_back, write_table
 
 #: Fields may be quoted, with quotes doubled inside.
 QUOTING = {"quote": '"', "escape": '"'}
+#: A longer file with line breaks in fields is cut into records by many tasks. They do more work for each byte than
+#: one task that reads a whole file, so short files are not cut: those are spread over tasks anyway.
+CUT_ABOVE = 512 << 20
 
 
 def _read(
-    spark: SparkSession, paths: list[str], header: Header, multi_line: bool, cut_above: int | None
+    spark: SparkSession, paths: list[str], header: Header, multi_line: bool, cut_above: int
 ) -> DataFrame:
     """CSV files that share a header, every column as text. Files with line breaks inside fields are read
     whole, one by each task, or cut into records by many if one of them is longer than `cut_above` bytes."""
-    if cut_above is None:  # a range of Spark's own splits
-        most = spark.conf.get("spark.sql.files.maxPartitionBytes")
-        cut_above = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most)
     if multi_line and header.largest > cut_above:
         edges, folder = range_edges(spark, paths), new_folder(spark, "edges")
         write_table(edges, folder)
@@ -33,7 +33,7 @@ def _read(
 
 
 def _frames(
-    spark: SparkSession, path: str, table: str | None, multi_line: bool, cut_above: int | None = None
+    spark: SparkSession, path: str, table: str | None, multi_line: bool, cut_above: int = CUT_ABOVE
 ) -> list[tuple[Header, DataFrame]]:
     """Each different header of a file or of the parts of a folder, with the rows below it."""
     headers = headers_of(spark, {table or "": path})[table or ""]
@@ -46,14 +46,14 @@ def read_raw(
     path: str,
     table: str | None = None,
     multi_line: bool | None = None,
-    cut_above: int | None = None,
+    cut_above: int = CUT_ABOVE,
 ) -> DataFrame:
     """One CSV file, or a folder of parts, with every column as text under normalised names.
 
     Parts are grouped by their headers, so columns may stand in another order in each part. Quoted
     line breaks are read only with `multi_line`; the default asks for it where the table holds free
     text, or where no table is named. Such files are read by one task each if all are at most `cut_above` bytes
-    long (a range of Spark's own splits), else they are cut at record ends (`records`). All other files
+    long, else they are cut at record ends (`records`). All other files
     are split by Spark. With `table`, the contract's columns come in the contract's order and
     extra ones are left out; without it, all parts must have the same columns. Blank fields are NULL.
     """

@@ -13,14 +13,18 @@ Both scans must split the files alike. Spark's split size depends on the number
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 #: A field that ends on its line, quoted or not; quotes inside quotes are doubled.
 _FIELD = r'(?:[^",][^,]*|"(?:[^"]|"")*"[^",]*)?'
 _OPEN = r'"(?:[^"]|"")*$'
@@ -29,7 +33,8 @@ OPENS = f"^(?:{_FIELD},)*{_OPEN}"
 STAYS = rf'^(?:[^"]|"")*$|^(?:[^"]|"")*"[^",]*,(?:{_FIELD},)*{_OPEN}'
 
 MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
-RANGE = "path string, start long"
+#: Of its file a line has a digest, which is shorter than the path; ranges of two files that share one are an error.
+RANGE = "file long, start long"
 EDGES = f"{RANGE}, crlf boolean, from_outside boolean, from_inside boolean, tail binary, closes boolean, head_outside binary, head_inside binary"
 
 
@@ -121,15 +126,14 @@ def line_functions(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return opens, stays
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
-    """(path, start, rows) of one range at a time; a range may come in several pieces."""
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(file, start, rows) of one range at a time; a range may come in several pieces."""
     for batch in batches:
-        path, start = batch.column(0), batch.column(1).to_numpy()
-        paths = path.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(paths) != 0)) + 1
+        file, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(file) != 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             if b > a:
-                yield path[a].as_py(), int(start[a]), batch.slice(a, b - a)
+                yield int(file[a]), int(start[a]), batch.slice(a, b - a)
 
 
 def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +144,15 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         outside, inside = both
         values = (*key, crlf, outside.inside, inside.inside, edge(inside.tail if inside.begun else inside.pending), inside.begun)
         values += (edge(outside.pending) if outside.inside else None, edge(inside.pending) if inside.begun and inside.inside else None)
-        kinds = (pa.string(), pa.int64(), *[pa.bool_()] * 3, pa.binary(), pa.bool_(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), *[pa.bool_()] * 3, pa.binary(), pa.bool_(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in EDGES.split(", ")])
 
-    for path, start, rows in _ranges(batches):
-        if (path, start) != key:
+    for file, start, rows in _ranges(batches):
+        if (file, start) != key:
             if key:
                 [c.finish() for c in both]
                 yield row()
-            key, both = (path, start), (Cutter(False), Cutter(True))
+            key, both = (file, start), (Cutter(False), Cutter(True))
             crlf = rows.column(2)[0].as_py().endswith("\r") if start == 0 else None
         lines = rows.column(2).cast(pa.binary())
         functions = line_functions(lines)
@@ -173,11 +177,11 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(records):
                 yield pa.RecordBatch.from_arrays([records], ["record"])
 
-    for path, start, rows in _ranges(batches):
-        if (path, start) != key:
+    for file, start, rows in _ranges(batches):
+        if (file, start) != key:
             if key:
                 yield from out(cutter.finish())
-            key, cutter, header = (path, start), Cutter(rows.column(3)[0].as_py()), start == 0
+            key, cutter, header = (file, start), Cutter(rows.column(3)[0].as_py()), start == 0
             crlf = rows.column(4)[0].as_py()
         lines = rows.column(2).cast(pa.binary())
         yield from out(cutter.feed(lines, *line_functions(lines)))
@@ -189,7 +193,7 @@ def _lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     if not spark.conf.get(MIN_PARTITIONS, None):
         spark.conf.set(MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     text = spark.read.text(paths, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="*.csv")
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
 def range_edges(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -201,7 +205,9 @@ def range_edges(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def states_of(edges: DataFrame) -> DataFrame:
     """The edges with `inside`: does the range begin inside quotes? `crlf` is that of the whole file, by its first line. A window
     has the ranges of one file."""
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    twice = F.count(F.lit(1)).over(Window.partitionBy("file", "start")) > 1
+    edges = edges.withColumn("start", F.when(twice, F.raise_error(F.lit("two files share a digest")).cast("long")).otherwise(F.col("start")))
     sets = F.col("from_outside") == F.col("from_inside")
     turns = F.coalesce(F.sum(F.when(~sets & F.col("from_outside"), 1).otherwise(0)).over(before), F.lit(0))
     upto = turns + F.when(~sets & F.col("from_outside"), 1).otherwise(0)
@@ -209,24 +215,24 @@ def states_of(edges: DataFrame) -> DataFrame:
     last = F.last("last", ignorenulls=True).over(before)
     base = F.coalesce(last["state"], F.lit(False))
     odd = (F.col("turns") - F.coalesce(last["turns"], F.lit(0))) % 2 == 1
-    crlf = F.max("crlf").over(Window.partitionBy("path"))
+    crlf = F.max("crlf").over(Window.partitionBy("file"))
     return known.withColumns({"inside": base != odd, "crlf": F.coalesce(crlf, F.lit(False))}).drop("turns", "last")
 
 
 def crossing_records(states: DataFrame) -> DataFrame:
     """(record) of the records that cross an edge: heads, ranges inside one, tails, put together in order."""
-    order = Window.partitionBy("path").orderBy("start", "side")
+    order = Window.partitionBy("file").orderBy("start", "side")
     inside = F.col("inside")
     head = F.when(inside, F.col("head_inside")).otherwise(F.col("head_outside"))
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.when(inside, F.col("tail")).alias("text"), F.lit(False).alias("head")),
         F.struct(F.lit(1).alias("side"), head.alias("text"), F.lit(True).alias("head")),
     )
-    pieces = states.select("path", "start", "crlf", F.inline(sides)).where("text is not null")
+    pieces = states.select("file", "start", "crlf", F.inline(sides)).where("text is not null")
     chained = pieces.withColumn("record_no", F.count_if("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     texts = F.sort_array(F.collect_list(F.struct("start", "side", F.col("text").cast("string").alias("text"))))
     text = F.array_join(F.transform(texts, lambda t: t["text"]), "\n")
-    whole = chained.groupBy("path", "record_no", "crlf").agg(text.alias("text"))
+    whole = chained.groupBy("file", "record_no", "crlf").agg(text.alias("text"))
     plain = F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\r$", "")
     return whole.select(F.when(F.col("crlf"), plain).otherwise(F.col("text")).alias("record"))
 
@@ -235,12 +241,12 @@ def free_text_records(spark: SparkSession, paths: list[str] | str, edges: DataFr
     """(record) of every record but the headers. `edges` is the stored result of `range_edges`."""
     states = states_of(edges)
     # at most one short row for each byte range of the files, of which there are few for each gigabyte
-    begins = F.broadcast(states.select(F.col("path").alias("_path"), F.col("start").alias("_start"), "inside", "crlf"))
+    begins = F.broadcast(states.select(F.col("file").alias("_file"), F.col("start").alias("_start"), "inside", "crlf"))
     lines = _lines(spark, paths)
-    known = lines.join(begins, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")), "left")
-    unseen = F.raise_error(F.concat(F.lit(f"files were split anew since they were scanned; set {MIN_PARTITIONS}: "), F.col("path")))
+    known = lines.join(begins, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")), "left")
+    unseen = F.raise_error(F.lit(f"files were split anew since they were scanned; set {MIN_PARTITIONS}"))
     inside = F.when(F.col("inside").isNull(), unseen.cast("boolean")).otherwise(F.col("inside"))
-    whole = known.select("path", "start", "value", inside.alias("inside"), "crlf").mapInArrow(_whole, "record binary")
+    whole = known.select("file", "start", "value", inside.alias("inside"), "crlf").mapInArrow(_whole, "record binary")
     return whole.select(F.col("record").cast("string").alias("record")).unionByName(crossing_records(states))
 
 
