@@ -232,26 +232,37 @@ def _with_months_before(model: Model, where: Where) -> Model:
 def revenue_mom(model: Model, by: Sequence[str] = (), where: Where | None = None) -> DataFrame:
     """Revenue growth over the previous calendar month; NULL where that month has no revenue.
 
-    The previous month is looked up beyond the date filters, within all the others; both reads of the
-    fact are pruned to their months.
+    The previous month is looked up beyond the date filters, within all the others. The fact is read once, in
+    the months that are wanted or precede one: each day's sum goes to its own month if the day is wanted, and to the next
+    month as that of the month before.
     """
-    month, where = "dim_date.month_start", where or {}
-    others = {a: v for a, v in where.items() if _split(a)[0] != "dim_date"}
+    where = where or {}
+    dates = {a: v for a, v in where.items() if _split(a)[0] == "dim_date"}
+    others = {a: v for a, v in where.items() if a not in dates}
     columns = [_split(a)[1] for a in by]
-    now = measure(model, "revenue", [month, *by], where).filter(F.col("month_start").isNotNull())
-    wide = model if len(others) == len(where) else _with_months_before(model, where)
-    before = measure(wide, "revenue", [month, *by], others).select(
-        F.add_months("month_start", 1).alias("_month"),
-        *[F.col(c).alias(f"_{c}") for c in columns],
-        F.col("revenue").alias("_before"),
+    fact = MEASURES["revenue"].table
+    day = "purchase_date"
+    attributes = dict.fromkeys(["dim_date.month_start", f"{fact}.{day}", *by])
+    daily = measure(_with_months_before(model, where) if dates else model, "revenue", list(attributes), others)
+    days = model["dim_date"]
+    for attribute, values in dates.items():
+        days = days.filter(F.col(_split(attribute)[1]).isin(*values))
+    wanted = days.select(F.col("date").alias("_day"), F.lit(True).alias("_wanted"))
+    known = daily.join(wanted, F.col(day) == F.col("_day"), "left").filter(F.col("month_start").isNotNull())
+    none = F.lit(None).cast(dict(daily.dtypes)["revenue"])
+    is_wanted = F.coalesce("_wanted", F.lit(False))
+    sides = F.array(
+        F.struct(
+            F.col("month_start").alias("_month"), F.when(is_wanted, F.col("revenue")).alias("_now"), none.alias("_before"), is_wanted.alias("_own")
+        ),
+        F.struct(F.add_months("month_start", 1).alias("_month"), none.alias("_now"), F.col("revenue").alias("_before"), F.lit(False).alias("_own")),
     )
-    same = F.col("month_start") == F.col("_month")
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    growth = ratio(F.col("revenue") - F.col("_before"), F.col("_before"))
-    return now.join(before, same, "left").select(
-        "month_start", *columns, growth.alias("revenue_mom")
+    spread = known.select(*[F.col(c) for c in columns], F.inline(sides))
+    now, before = F.sum("_now"), F.sum("_before")
+    grown = spread.groupBy(F.col("_month").alias("month_start"), *columns).agg(
+        F.max("_own").alias("_own"), ratio(now - before, before).alias("revenue_mom")
     )
+    return grown.filter("_own").select("month_start", *columns, "revenue_mom")
 
 
 # --- page queries ---

@@ -6,7 +6,7 @@ rows and every join below has a unique key on its lookup side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.columns import flag, month_start
@@ -80,22 +80,27 @@ def items_per_order(items: DataFrame) -> DataFrame:
 
 
 def payments_per_order(payments: DataFrame) -> DataFrame:
-    """Total paid and the type of the largest payment line (earliest line, then name, on a tie)."""
+    """Total paid and the type of the largest payment line (earliest line, then name, on a tie).
+
+    The different types are numbered by name, so the first line of an order is the smallest of whole numbers made of
+    value, sequence and that number. Sum and minimum then have a fixed width and are hashed, not sorted; the text of
+    the type is looked up by its number afterwards.
+    """
     value, kind = F.col("payment_value"), F.col("payment_type")
-    eligible = kind.isNotNull() & value.isNotNull()
-    # The smallest (-value, sequence, type): the type is read back from the winning struct.
-    best = F.min(
-        F.when(
-            eligible,
-            F.struct(
-                (-value).alias("v"),
-                F.coalesce("payment_sequential", F.lit(2**31 - 1)).alias("s"),
-                kind.alias("t"),
-            ),
-        )
+    numbered = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("payment_type")).alias("_number")
+    kinds = payments.select("payment_type").where(kind.isNotNull()).distinct().select("payment_type", numbered)
+    whole = lambda c, digits: c.cast(f"decimal({digits},0)")
+    below = whole(F.lit(10**13), 14) - whole(value * 100, 14)  # larger values first
+    sequence = F.coalesce(F.col("payment_sequential"), F.lit(2**31 - 1)).cast("bigint") + 2**31
+    place = (below * whole(F.lit(2**32), 10) + whole(sequence, 10)) * whole(F.lit(2**31), 10) + whole(F.col("_number"), 10)
+    numbers = kinds.select(F.col("payment_type").alias("_type"), "_number")
+    lines = payments.join(numbers, kind == F.col("_type"), "left")
+    best = lines.groupBy("order_id").agg(
+        F.sum(value).alias("payment_value"), F.min(F.when(value.isNotNull(), place)).alias("_place")
     )
-    return payments.groupBy("order_id").agg(
-        F.sum(value).alias("payment_value"), best["t"].alias("main_payment_type")
+    winner = kinds.select(F.col("payment_type").alias("main_payment_type"), whole(F.col("_number"), 38).alias("_winner"))
+    return best.join(winner, F.col("_place") % whole(F.lit(2**31), 38) == F.col("_winner"), "left").select(
+        "order_id", "payment_value", "main_payment_type"
     )
 
 

@@ -75,3 +75,20 @@ def test_dimensions(run):
     assert (first["weekday_number"], first["weekday_name"]) == (3, "Wed")
     assert (first["month_name"], first["year_month"], first["quarter"]) == ("Jan", "2020-01", 1)
     assert len(rows(run.tables["dim_seller"])) == 2 and len(rows(run.tables["dim_product"])) == 5
+
+
+def test_main_payment_type_is_hashed_not_sorted(spark):
+    lines = [
+        ("a", 1, "x", "5.00"), ("a", 2, "b", "5.00"), ("a", 1, "a", "5.00"), ("a", 0, "z", "4.99"),
+        ("b", None, "z", "-3.10"), ("b", 5, "y", "-3.10"),
+        ("c", 1, None, "9.99"), ("c", 2, "q", None),
+        ("d", -4, "k", "0.00"), ("d", -4, "j", "0.00"), ("d", 3, "i", "-0.01"),
+        ("e", 1, "m", "9999999999.99"), ("e", 2, "l", "-9999999999.99"),
+    ]
+    df = spark.createDataFrame(lines, "order_id string, payment_sequential int, payment_type string, value string")
+    best = model.payments_per_order(df.selectExpr("*", "cast(value AS decimal(12,2)) AS payment_value"))
+    got = {r["order_id"]: (str(r["payment_value"]), r["main_payment_type"]) for r in best.collect()}
+    assert got == {
+        "a": ("19.99", "a"), "b": ("-6.20", "y"), "c": ("9.99", None), "d": ("-0.01", "j"), "e": ("0.00", "m"),
+    }
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
