@@ -4,7 +4,9 @@
 row from each map task. `exact_median` and `global_rank` work on value counts: equal values
 collapse before the first shuffle, and a fixed-width magnitude histogram (at most 4096 steps for
 each power of two) tells every band of values how many rows lie below it. Only that histogram is
-ever ordered as a whole.
+ever ordered as a whole. The median then cuts its one or two middle bands by 20 further bits of the
+value. A double has 52, so at most 2^20 different ones are left to be ordered in one task, and at
+most 2^20 cuts of a band, however many values crowd there.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEP_BITS = 12
+_FINE_BITS = 20
 _CODE_BITS = 14
 _LOWEST, _HIGHEST = -40, 1000
 _NULL_BAND = -(2**62)
@@ -37,6 +40,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(ordered)).filter("_n = 1").drop("_n")
 
 
+def _step(value: Column) -> tuple[Column, Column, Column]:
+    """(size scaled so that a band is one wide, the band's step as a whole number, power of two of the size)."""
+    size = F.abs(value.cast("double"))
+    finite = size < F.lit(float("inf"))
+    power = F.floor(F.log2(F.when(finite & (size > 0), size))).cast("int")
+    power = F.greatest(F.lit(_LOWEST), F.least(F.lit(_HIGHEST), power))
+    scaled = F.when(finite, size) * F.pow(F.lit(2.0), _STEP_BITS - power)
+    step = F.least(F.floor(scaled).try_cast("bigint"), F.lit(2**_CODE_BITS - 1).cast("bigint"))
+    return scaled, step, power
+
+
 def magnitude_band(value: Column) -> Column:
     """A bigint that never decreases as the value grows: sign, power of two, 4096 linear steps.
 
@@ -44,14 +58,9 @@ def magnitude_band(value: Column) -> Column:
     The number of different bands is bounded by the number format, not by the data.
     """
     d = value.cast("double")
-    size = F.abs(d)
-    finite = size < F.lit(float("inf"))
-    power = F.floor(F.log2(F.when(finite & (size > 0), size))).cast("int")
-    power = F.greatest(F.lit(_LOWEST), F.least(F.lit(_HIGHEST), power))
-    step = F.floor(F.when(finite, size) * F.pow(F.lit(2.0), _STEP_BITS - power))
-    step = F.least(step.try_cast("bigint"), F.lit(2**_CODE_BITS - 1).cast("bigint"))
+    _, step, power = _step(value)
     code = F.when(
-        finite, (power - _LOWEST + 1).cast("bigint") * F.lit(2**_CODE_BITS) + step
+        F.abs(d) < F.lit(float("inf")), (power - _LOWEST + 1).cast("bigint") * F.lit(2**_CODE_BITS) + step
     ).otherwise(F.lit(_ENDLESS))
     return (
         F.when(d.isNull(), F.lit(_NULL_BAND))
@@ -63,6 +72,14 @@ def magnitude_band(value: Column) -> Column:
     )
 
 
+def fine_band(value: Column) -> Column:
+    """A bigint of 20 bits that never decreases as the value grows inside its magnitude band."""
+    scaled, step, _ = _step(value)
+    part = F.least(F.floor((scaled - step) * F.lit(float(2**_FINE_BITS))), F.lit(2**_FINE_BITS - 1).cast("bigint"))
+    part = F.coalesce(part.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.when(value.cast("double") < 0, -part).otherwise(part)
+
+
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     condition = F.lit(True)
     for name in names:
@@ -73,18 +90,19 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
 def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median"):
     """Median as double of the non-NULL values, for the whole frame or for each key.
 
-    Pass 1 counts equal values, pass 2 finds the one or two bands that hold the middle ranks,
-    pass 3 orders the distinct values of those bands only.
+    Pass 1 counts equal values, pass 2 finds the one or two bands that hold the middle ranks, pass 3
+    the one or two fine bands of these, pass 4 orders the distinct values of those fine bands only.
     """
     keys = list(keys)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", magnitude_band(F.col(value)))
+        .withColumns({"_band": magnitude_band(F.col(value)), "_fine": fine_band(F.col(value))})
     )
     by_band = Window.partitionBy(*(keys or [F.lit(0)]))
     up_to = by_band.orderBy("_band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_middle = (F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_n") <= F.col("_hi"))
     bands = (
         counts.groupBy(*keys, "_band")
         .agg(F.sum("_n").alias("_n"))
@@ -92,34 +110,45 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
         .withColumn("_rows", F.sum("_n").over(by_band))
         .withColumn("_lo", F.expr("(_rows - 1) div 2"))
         .withColumn("_hi", F.expr("_rows div 2"))
-        .filter((F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_n") <= F.col("_hi")))
-    )
-    middle = bands.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("_band").alias("__band"),
-        (F.col("_upto") - F.col("_n")).alias("_below"),
-        "_lo",
-        "_hi",
+        .filter(in_middle)
     )
-    if not keys:
-        middle = F.broadcast(middle)  # at most two rows: the bands of the two middle ranks
-    inside = counts.join(middle, _same(counts, middle, [*keys, "_band"])).select(
-        *[counts[c] for c in [*keys, value, "_n", "_band"]], "_below", "_lo", "_hi"
+    inside = _only(counts, bands, keys, ["_band"], [*keys, value, "_n", "_band", "_fine"])
+    ranks = ["_below", "_lo", "_hi"]
+    fine_up_to = Window.partitionBy(*keys, "_band").orderBy("_fine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = (
+        inside.groupBy(*keys, "_band", "_fine", *ranks)
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_upto", F.col("_below") + F.sum("_n").over(fine_up_to))
+        .filter(in_middle)
     )
+    inside = _only(inside.drop(*ranks), fine, keys, ["_band", "_fine"], [*keys, value, "_n", "_band", "_fine"])
     in_band = (
-        Window.partitionBy(*keys, "_band")
+        Window.partitionBy(*keys, "_band", "_fine")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = F.col("_below") + F.sum("_n").over(in_band)
     return (
         inside.withColumn("_upto", upto)
-        .filter((F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_n") <= F.col("_hi")))
+        .filter(in_middle)
         .groupBy(*keys)
         .agg(_between(F.min(value).cast("double"), F.max(value).cast("double")).alias(name))
     )
 
 
+def _only(counts: DataFrame, middle: DataFrame, keys: list[str], parts: list[str], columns: list[str]) -> DataFrame:
+    """The counts in the middle parts, with the number of rows below the part and both middle ranks."""
+    chosen = middle.select(
+        *[F.col(k).alias(f"_{k}") for k in [*keys, *parts]],
+        (F.col("_upto") - F.col("_n")).alias("_below"),
+        "_lo",
+        "_hi",
+    )
+    if not keys:
+        chosen = F.broadcast(chosen)  # at most two rows: the parts with the two middle ranks
+    return counts.join(chosen, _same(counts, chosen, [*keys, *parts])).select(*[counts[c] for c in columns], "_below", "_lo", "_hi")
+
+
 def _between(low: Column, high: Column) -> Column:
     """The mean of two numbers; a number itself if both are equal, however large it is."""
     return F.when(low == high, low).otherwise((low + high) / 2)

@@ -54,9 +54,21 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
-def _copies(raw: DataFrame) -> DataFrame:
-    """Equal rows collapse to one row with its number of copies."""
-    return raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"))
+def _copies(raw: DataFrame, *keep: str) -> DataFrame:
+    """Equal rows collapse to one row of the columns to `keep` with its number of copies.
+
+    Rows are folded by those columns and two digests of 64 bits, so the shuffle carries no wide rows. Only rows that share
+    both digests with another one are compared whole: rows that merely look alike are told apart there.
+    """
+    missing = [F.col(c).isNull() for c in raw.columns]  # a hash passes over NULLs
+    marked = raw.withColumns(
+        {"_one": F.xxhash64(*raw.columns, *missing), "_two": F.xxhash64(F.lit(1), *missing, *raw.columns)}
+    )
+    folded = marked.groupBy(*keep, "_one", "_two").agg(F.count(F.lit(1)).alias("_copies"))
+    met = folded.filter("_copies > 1").select("_one", "_two").distinct()
+    whole = marked.join(met, ["_one", "_two"], "left_semi").groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    alone = folded.filter("_copies = 1").join(met, ["_one", "_two"], "left_anti")
+    return alone.select(*keep, "_copies").unionByName(whole.select(*keep, "_copies"))
 
 
 def _by_key(df: DataFrame, key: str, conditions: Mapping[str, str] | None = None) -> DataFrame:
@@ -98,7 +110,7 @@ def _reviews_by(key: str, conditions: Mapping[str, str] | None = None) -> Callab
 
 
 def _raw_geolocation(t: Tables) -> DataFrame:
-    return _copies(t["raw_geolocation"]).withColumns(
+    return _copies(t["raw_geolocation"], "geolocation_lat", "geolocation_lng").withColumns(
         {
             "_lat": try_double(F.col("geolocation_lat")),
             "_lng": try_double(F.col("geolocation_lng")),
@@ -190,7 +202,7 @@ SOURCES = (
     ),
     Source(
         "raw_order_items",
-        lambda t: _copies(t["raw_order_items"]),
+        lambda t: _copies(t["raw_order_items"], "order_id", "order_item_id"),
         _copies_total,
         (
             Check(

@@ -172,3 +172,18 @@ def test_an_empty_table_gives_zero_percent(spark, run):
     empty = {"clean_payments": run.tables["clean_payments"].limit(0)}
     (line,) = rows(quality.quality_log(empty, ["payments_zero_value"]))
     assert (line["rows_affected"], line["table_rows"], line["pct_of_table"]) == (0, 0, 0)
+
+
+def test_copies_are_told_apart_from_rows_that_look_alike(spark, monkeypatch):
+    """With digests that are all equal every row is compared whole; NULLs in other columns are other rows."""
+    from pyspark.sql import functions as F
+
+    from marketspark.operators import quality
+
+    rows = [("a", None, "1"), (None, "a", "1"), ("a", None, "1"), ("b", "c", "2"), ("b", "c", "3"), ("b", "c", "2"), (None, None, None)]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    counted = lambda: sorted((r["x"] or "", r["_copies"]) for r in quality._copies(df, "x").collect())
+    expected = [("", 1), ("", 1), ("a", 2), ("b", 1), ("b", 2)]
+    assert counted() == expected
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    assert counted() == expected

@@ -8,6 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from marketspark.functions import ordering
 from marketspark.functions.ordering import exact_median, global_rank, magnitude_band
 
 random.seed(7)
@@ -92,3 +93,27 @@ def test_rank_with_ties_and_nulls(spark):
     }
     found = {r["id"]: r["r"] for r in global_rank(df, "v", "r").collect()}
     assert found == expected
+
+
+def test_a_crowded_band_is_cut_before_it_is_ordered(spark):
+    """Doubles that differ in their last bits only: one band, many fine bands, each with a few values."""
+    rows = spark.range(40_000).selectExpr("1000.0D + id * 1e-9 AS v", "if(id % 2 = 0, 'a', 'b') AS k", "id")
+    bands = rows.select(ordering.magnitude_band(F.col("v")).alias("b"), ordering.fine_band(F.col("v")).alias("f"), "v")
+    assert bands.select("b").distinct().count() == 1
+    sizes = bands.groupBy("f").agg(F.count_distinct("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("f").collect()
+    assert len(sizes) > 100 and max(r["n"] for r in sizes) < 1000
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    values = sorted(r["v"] for r in rows.collect())
+    assert ordering.exact_median(rows, "v").first()[0] == (values[19_999] + values[20_000]) / 2
+    got = {r["k"]: r["median"] for r in ordering.exact_median(rows, "v", ["k"]).collect()}
+    for k, odd in (("a", 0), ("b", 1)):
+        own = sorted(r["v"] for r in rows.where(f"id % 2 = {odd}").collect())
+        assert got[k] == (own[9_999] + own[10_000]) / 2
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_fine_bands_never_fall(spark, sign):
+    values = [sign * v for v in (0.0, 5e-324, 1e-300, 2**-60, 2**-41, 1.5, 1.5 + 2**-40, 2.0, 1e15, 1e300, 1.7e308, float("inf"))]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordering.magnitude_band(F.col("v")), ordering.fine_band(F.col("v")))
+    codes = [tuple(r)[1:] for r in df.orderBy("v").collect()]
+    assert codes == sorted(codes) and all(abs(f) < 2**20 for _, f in codes)
