@@ -81,6 +81,7 @@ class Warehouse(Lake):
         store_raw: bool = False,
         label: str = "",
         made_on: datetime.date | None = None,
+        buckets: int | None = None,
     ):
         self.box = box
         self.label = label
@@ -95,7 +96,7 @@ class Warehouse(Lake):
             views = frozenset(builders)
         else:
             views = frozenset({"states"} if store_raw else plans)
-        super().__init__(spark, builders, views, folder)
+        super().__init__(spark, builders, views, folder, buckets)
 
     def raw(self) -> dict[str, DataFrame]:
         frames = self.together(*[f"raw_{name}" for name in self.raw_names])

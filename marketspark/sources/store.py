@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 MONTH_PARTITIONED = ("fact_orders", "fact_order_items", "fact_payments")
 PARTITION_COLUMN = "purchase_month"
 
+#: Tables with one row for each value of a key, stored in buckets by it, so that joins on the key read them without a
+#: shuffle. No key is hot in them: tables where one order may have very many rows are not bucketed.
+BUCKETED = {"clean_orders": "order_id", "clean_reviews": "order_id"}
+
 class NoSharedFolder(Exception):
     """The session names no folder that all executors share."""
 
@@ -62,6 +66,13 @@ def write_table(df: DataFrame, path: str, name: str = "") -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> str:
+    """Write Parquet in buckets by a key; the name of the table that knows of them. Spark keeps buckets in its catalog."""
+    table = f"lake_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return table
+
+
 def read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Read with the schema that was written: no inference, same column order."""
     return spark.read.schema(like.schema).parquet(path).select(like.columns)
@@ -83,7 +94,9 @@ def side_by_side(spark: SparkSession, work: Callable, names: Iterable[str]) -> l
 class Lake:
     """Tables by name, each built on first use from the tables before it, written, and re-read.
 
-    `builders` maps a name to a function of the lake. Names in `views` stay lazy plans.
+    `builders` maps a name to a function of the lake. Names in `views` stay lazy plans. `buckets` is the number of
+    buckets of the tables in BUCKETED: by default that of shuffle partitions, which the other sides of joins have; with 0
+    no table needs the catalog.
     """
 
     def __init__(
@@ -92,8 +105,11 @@ class Lake:
         builders: dict[str, Callable[[Lake], DataFrame]],
         views: frozenset[str] = frozenset(),
         folder: str | None = None,
+        buckets: int | None = None,
     ):
         self.spark = spark
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
+        self._tables: list[str] = []
         self.folder = folder or new_folder(spark, "lake")
         self._builders = builders
         self._views = views
@@ -105,12 +121,18 @@ class Lake:
             if name not in self._ready:
                 df = self._builders[name](self)
                 if name not in self._views:
-                    path = f"{self.folder}/{name}"
-                    write_table(df, path, name)
-                    df = read_back(self.spark, path, df)
+                    df = self._store(df, name)
                 self._ready[name] = df
             return self._ready[name]
 
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        if name in BUCKETED and self.buckets:
+            self._tables.append(write_buckets(df, path, BUCKETED[name], self.buckets))
+            return self.spark.table(self._tables[-1]).select(df.columns)
+        write_table(df, path, name)
+        return read_back(self.spark, path, df)
+
     def __contains__(self, name: str) -> bool:
         return name in self._builders
 
@@ -123,6 +145,8 @@ class Lake:
     def drop(self) -> bool:
         """Delete the stored tables; the lake can't be read afterwards."""
         self._ready.clear()
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         return drop_folder(self.spark, self.folder)
 
     def pick(self, *names: str) -> dict[str, DataFrame]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 
 from marketspark.operators import model
+from marketspark.sources import store
 from tests.conftest import keyed, rows
 
 
@@ -92,3 +93,39 @@ def test_main_payment_type_is_hashed_not_sorted(spark):
         "a": ("19.99", "a"), "b": ("-6.20", "y"), "c": ("9.99", None), "d": ("-0.01", "j"), "e": ("0.00", "m"),
     }
     assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orders_and_reviews_meet_without_a_shuffle(spark, run):
+    """They lie in buckets by order; what is shuffled by order is folded lines, to the same buckets."""
+    names = ("clean_orders", "clean_customers", "clean_order_items", "clean_payments", "clean_reviews")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        plan = model.fact_orders(*run.tables.together(*names))._jdf.queryExecution().executedPlan()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    lines = str(plan.toString()).splitlines()
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line]
+    assert len(scans) == 2 and all("SelectedBucketsCount" in lines[i] for i in scans)
+    for i in scans:  # the nodes above a scan, up to the join: fewer bars and colons stand before them
+        depth = len(lines[i]) - len(lines[i].lstrip(" :+-*()0123456789"))
+        above = []
+        for line in reversed(lines[:i]):
+            own = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if own < depth:
+                depth = own
+                above.append(line)
+                if "Join" in line:
+                    break
+        assert "Join" in above[-1] and not any("Exchange" in line for line in above)
+
+
+def test_buckets_are_dropped_with_the_run(spark):
+    lake = store.Lake(spark, {"clean_orders": lambda t: spark.range(9).selectExpr("cast(id AS string) AS order_id")}, buckets=3)
+    assert lake["clean_orders"].count() == 9
+    (table,) = lake._tables
+    assert spark.catalog.tableExists(table) and lake.drop() and not spark.catalog.tableExists(table)
+    plain = store.Lake(spark, {"clean_orders": lambda t: spark.range(9).selectExpr("cast(id AS string) AS order_id")}, buckets=0)
+    assert plain["clean_orders"].count() == 9 and plain._tables == [] and plain.drop()
