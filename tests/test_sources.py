@@ -307,3 +307,18 @@ def test_each_table_is_built_once_and_facts_are_split_by_month(spark, tmp_path):
     assert [p.name.split("=")[0] for p in (tmp_path / "lake" / "fact_orders").glob("purchase*")] == [
         "purchase_month"
     ]
+
+
+def test_headers_where_files_are_split_and_share_tasks(spark, tmp_path):
+    """As if the size of splits could not be set: only the first range of each file has its header."""
+    import pyarrow as pa
+
+    first = contract._first_lines(alone=False)
+    row = lambda path, start, line: {"path": path, "size": 99, "line": line, "start": start}
+    rows_ = [row("a", 0, "h,a"), row("a", 0, "1,2"), row("a", 50, "3,4"), row("b", 7, "5,6"), row("c", 0, " "), row("c", 0, "h,c"), row("d", 0, "h,d"), row("d", 0, "7,8")]
+    for size in (1, 3, 8):
+        batches = [pa.RecordBatch.from_pylist(rows_[i : i + size]) for i in range(0, 8, size)]
+        assert [(r["path"], r["line"]) for b in first(iter(batches)) for r in b.to_pylist()] == [("a", "h,a"), ("c", "h,c"), ("d", "h,d")]
+    long = [pa.RecordBatch.from_pylist([{**r, "size": 1 << 40}]) for r in rows_[:2]]
+    left = iter(long)
+    assert len(list(contract._first_lines(alone=True)(left))) == 1 and len(list(left)) == 1
