@@ -77,7 +77,7 @@ def run_pipeline(
         label=label,
         made_on=made_on,
     )
-    summary = write_files(load_summary(tables.raw()).coalesce(1), f"{out_dir}/load_summary")
+    summary = write_files(load_summary(tables.raw(), tables.rows_written()).coalesce(1), f"{out_dir}/load_summary")
     dq_log = write_files(tables["dq_log"].coalesce(1), f"{out_dir}/dq_log")
     answers = tables.answers()
     index = export_results(answers, QUESTION_TEXTS, ANSWER_FILES, f"{out_dir}/results", fmt)

@@ -6,10 +6,11 @@ import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketspark.operators import clean, model
 from marketspark.operators.clean import BRAZIL, Box
-from marketspark.operators.quality import quality_log
+from marketspark.operators.quality import counted_on_write, quality_log
 from marketspark.params import Params
 from marketspark.plans.facts import memo_facts
 from marketspark.plans.questions import QUESTIONS, seller_stats
@@ -96,12 +97,20 @@ class Warehouse(Lake):
             views = frozenset(builders)
         else:
             views = frozenset({"states"} if store_raw else plans)
-        super().__init__(spark, builders, views, folder, buckets)
+        counts = counted_on_write(box)
+        for name in (f"raw_{n}" for n in raw):
+            counts[name] = counts.get(name, {}) | {"rows": F.count(F.lit(1))}
+        super().__init__(spark, builders, views, folder, buckets, counts)
 
     def raw(self) -> dict[str, DataFrame]:
         frames = self.together(*[f"raw_{name}" for name in self.raw_names])
         return dict(zip(self.raw_names, frames, strict=True))
 
+    def rows_written(self) -> dict[str, int]:
+        """Rows of the raw tables that were stored, counted on the way."""
+        self.raw()
+        return {name: self.seen[f"raw_{name}"]["rows"] for name in self.raw_names if f"raw_{name}" in self.seen}
+
     def model(self) -> dict[str, DataFrame]:
         return self.pick(*MODEL)
 

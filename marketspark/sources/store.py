@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from threading import RLock
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MONTH_PARTITIONED = ("fact_orders", "fact_order_items", "fact_payments")
@@ -96,7 +96,9 @@ class Lake:
 
     `builders` maps a name to a function of the lake. Names in `views` stay lazy plans. `buckets` is the number of
     buckets of the tables in BUCKETED: by default that of shuffle partitions, which the other sides of joins have; with 0
-    no table needs the catalog.
+    no table needs the catalog. `observed` names counts that are taken of a table while it is written; they are found in
+    `seen`. The tasks that write a table count once each, however often one is tried; tasks before a shuffle, which may run
+    again after an executor is lost, would not, so counts are of the written rows only.
     """
 
     def __init__(
@@ -106,8 +108,11 @@ class Lake:
         views: frozenset[str] = frozenset(),
         folder: str | None = None,
         buckets: int | None = None,
+        observed: dict[str, dict[str, Column]] | None = None,
     ):
         self.spark = spark
+        self._observed = observed or {}
+        self.seen: dict[str, dict[str, int]] = {}  # what was counted while a table was written
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
         self._tables: list[str] = []
         self.folder = folder or new_folder(spark, "lake")
@@ -126,7 +131,13 @@ class Lake:
             return self._ready[name]
 
     def _store(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
+        path, counts = f"{self.folder}/{name}", self._observed.get(name)
+        if counts:
+            observation = Observation()
+            found = df.observe(observation, *[c.alias(n) for n, c in counts.items()])
+            write_table(found, path, name)
+            self.seen[name] = observation.get
+            return read_back(self.spark, path, df)
         if name in BUCKETED and self.buckets:
             self._tables.append(write_buckets(df, path, BUCKETED[name], self.buckets))
             return self.spark.table(self._tables[-1]).select(df.columns)

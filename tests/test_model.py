@@ -129,3 +129,22 @@ def test_buckets_are_dropped_with_the_run(spark):
     assert spark.catalog.tableExists(table) and lake.drop() and not spark.catalog.tableExists(table)
     plain = store.Lake(spark, {"clean_orders": lambda t: spark.range(9).selectExpr("cast(id AS string) AS order_id")}, buckets=0)
     assert plain["clean_orders"].count() == 9 and plain._tables == [] and plain.drop()
+
+
+def test_counts_are_taken_while_tables_are_written(spark, run):
+    """The numbers of the summary and of plain checks equal those of scans, and no scan of the tables is in the plans."""
+    from marketspark.operators import quality
+    from marketspark.sources import raw
+
+    tables = run.tables
+    assert set(tables.rows_written()) == set(tables.raw_names)
+    known, scanned = raw.load_summary(tables.raw(), tables.rows_written()), raw.load_summary(tables.raw())
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, scanned.collect()))
+    assert "FileScan" not in known._jdf.queryExecution().executedPlan().toString()
+    names = ["products_missing_category", "products_category_without_english_name", "payments_type_not_defined", "payments_zero_value"]
+    names += ["customers_zip_prefix_lost_leading_zero", "sellers_zip_prefix_lost_leading_zero"]
+    log = quality.quality_log(tables, names)
+    assert "FileScan" not in log._jdf.queryExecution().executedPlan().toString()
+    plain = quality.quality_log({n: tables[n] for n in ("clean_products", "clean_payments", "raw_customers", "raw_sellers")}, names)
+    assert sorted(map(tuple, log.collect())) == sorted(map(tuple, plain.collect()))
+    assert any(r["rows_affected"] for r in log.collect())
