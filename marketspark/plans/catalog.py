@@ -266,12 +266,27 @@ def _export_columns(t: Warehouse) -> DataFrame:
 
 _register("export_model", _export_rows)
 _register("export_privacy", _export_columns)
-_register(
-    "export_results",
-    lambda t: sinks.export_results(
-        t.answers(), QUESTION_TEXTS, ANSWER_FILES, new_folder(t.spark, "results")
-    ),
-)
+for _name in (*sinks.EXPORT_COLUMNS, *sinks.AGGREGATES):
+    _register(f"exported_{_name}", lambda t, n=_name: _export(t)[n])
+
+_results: dict[str, str] = {}
+
+
+def _result_files(t: Warehouse) -> str:
+    """The folder of the answers of a warehouse, written once and shared by the queries that look at them."""
+    if t.folder not in _results:
+        folder = f"{t.folder}/results"
+        sinks.export_results(t.answers(), QUESTION_TEXTS, ANSWER_FILES, folder)
+        _results[t.folder] = folder
+    return _results[t.folder]
+
+
+_register("export_results", lambda t: sinks.read_index(t.spark, _result_files(t)))
+for _q in questions.QUESTIONS:
+    _register(
+        f"exported_{_q.name}",
+        lambda t, key=_q.answer.__name__: sinks.read_results(t.answers(), ANSWER_FILES, _result_files(t))[key],
+    )
 _register("reconciliation", lambda t: reconcile(t, _export(t)))
 
 # --- semantic layer ---

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from marketspark.plans.pipeline import ANSWER_FILES, QUESTION_TEXTS
 from marketspark.sources.binding import PARAMS, RAW
+from marketspark.sources.sinks import AGGREGATES, EXPORT_COLUMNS
 from oracle.questions import QUESTIONS
 from oracle.tables import TABLES
 
@@ -119,6 +120,11 @@ SHOWN |= {
     ),
 }
 
+# What the exports hold, as read back from disk: the same rows, column by column.
+SHOWN |= {f"exported_{name}": f"SELECT {', '.join(columns)} FROM {name}" for name, columns in EXPORT_COLUMNS.items()}
+SHOWN |= {f"exported_{name}": QUESTIONS[answer] for name, answer in AGGREGATES.items()}
+SHOWN |= {f"exported_{ANSWER_FILES[name]}": sql for name, sql in QUESTIONS.items()}
+
 _DELIVERED = "fact_orders WHERE is_delivered = 1"
 _PAIRS = [
     ("delivered_orders", "sum(orders_delivered) FROM q_monthly", "monthly_orders_revenue: sum of orders_delivered", f"count(*) FROM {_DELIVERED}", "fact_orders: rows delivered"),
