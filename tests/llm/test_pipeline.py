@@ -115,3 +115,17 @@ def test_entry_without_the_subpackage(monkeypatch):
     alone = importlib.import_module("__spark_entry__")
     assert not any(name.startswith("op") for name in alone.queries()) and "pipeline" not in alone.queries()
     assert len(alone.queries()) > 100
+
+
+@pytest.mark.parametrize("package", ["ahocorasick", "sentencepiece"])
+def test_entry_without_a_package_of_the_text_operators(monkeypatch, package):
+    """The other queries stay, and a warning says what is missing."""
+    gone = [m for m in sys.modules if re.match(rf"corpus_pipeline$|marketspark\.llm(\.|$)|{package}(\.|$)", m)]
+    for name in [*gone, "__spark_entry__"]:
+        monkeypatch.delitem(sys.modules, name)
+    real = importlib.machinery.PathFinder.find_spec
+    hide = lambda name, *a, **k: None if name == package else real(name, *a, **k)
+    monkeypatch.setattr(importlib.machinery.PathFinder, "find_spec", hide)
+    with pytest.warns(UserWarning, match=package):
+        alone = importlib.import_module("__spark_entry__")
+    assert not any(name.startswith("op") for name in alone.queries()) and len(alone.queries()) > 100
