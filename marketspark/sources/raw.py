@@ -33,10 +33,9 @@ def _read(
 
 
 def _frames(
-    spark: SparkSession, path: str, table: str | None, multi_line: bool, cut_above: int = CUT_ABOVE
+    spark: SparkSession, path: str, headers: list[Header], multi_line: bool, cut_above: int = CUT_ABOVE
 ) -> list[tuple[Header, DataFrame]]:
     """Each different header of a file or of the parts of a folder, with the rows below it."""
-    headers = headers_of(spark, {table or "": path})[table or ""]
     one = len(headers) == 1  # the folder in the plan instead of all its parts
     return [(h, _read(spark, [path] if one else paths_with(spark, path, h), h, multi_line, cut_above)) for h in headers]
 
@@ -47,6 +46,7 @@ def read_raw(
     table: str | None = None,
     multi_line: bool | None = None,
     cut_above: int = CUT_ABOVE,
+    headers: list[Header] | None = None,
 ) -> DataFrame:
     """One CSV file, or a folder of parts, with every column as text under normalised names.
 
@@ -54,12 +54,13 @@ def read_raw(
     line breaks are read only with `multi_line`; the default asks for it where the table holds free
     text, or where no table is named. Such files are read by one task each if all are at most `cut_above` bytes
     long, else they are cut at record ends (`records`). All other files
-    are split by Spark. With `table`, the contract's columns come in the contract's order and
+    are split by Spark. `headers` are those of `headers_of`, if they are known. With `table`, the contract's columns come in the contract's order and
     extra ones are left out; without it, all parts must have the same columns. Blank fields are NULL.
     """
     if multi_line is None:
         multi_line = table is None or table in FREE_TEXT
-    found = _frames(spark, path, table, multi_line, cut_above)
+    known = headers_of(spark, {"": path})[""] if headers is None else headers
+    found = _frames(spark, path, known, multi_line, cut_above)
     if not found:
         raise ValueError(f"{path} has no header")
     wanted = CONTRACT[table][1] if table else found[0][0].columns
@@ -75,7 +76,10 @@ def read_all(
     spark: SparkSession, files: dict[str, str], free_text: Collection[str] = FREE_TEXT
 ) -> dict[str, DataFrame]:
     """All tables; those named in `free_text` may hold line breaks inside fields."""
-    return {table: read_raw(spark, path, table, table in free_text) for table, path in files.items()}
+    headers = headers_of(spark, files)  # of all tables in one job
+    return {
+        table: read_raw(spark, path, table, table in free_text, headers=headers[table]) for table, path in files.items()
+    }
 
 
 def load_summary(raw: dict[str, DataFrame], known: Mapping[str, int] | None = None) -> DataFrame:
@@ -96,10 +100,10 @@ def part_report(spark: SparkSession, files: dict[str, str], free_text: Collectio
     `missing` lists the contract's columns that the header lacks; `rows` counts the lines of all
     parts that have it.
     """
-    counts = []
+    counts, headers = [], headers_of(spark, files)
     for table, path in files.items():
         by_missing: dict[str, list[DataFrame]] = {}
-        for header, rows in _frames(spark, path, table, table in free_text):
+        for header, rows in _frames(spark, path, headers[table], table in free_text):
             missing = ", ".join(c for c in CONTRACT[table][1] if c not in header.columns)
             by_missing.setdefault(missing, []).append(rows.select(F.lit(1).alias("one")))
         for missing, lines in by_missing.items():
