@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marketspark.sources.store import store_root
+from marketspark.sources.store import drop_folder, store_root
 
 SLICE_ROWS = 512
 
@@ -71,3 +71,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that one step needs and that can be dropped once its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        path = folder(self.spark, label)
+        self.folders.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; what was read from them and not stored can't be read afterwards."""
+        while self.folders:
+            drop_folder(self.spark, self.folders.pop())

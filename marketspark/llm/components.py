@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import stored
+from marketspark.llm.common import Scratch
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -36,12 +36,18 @@ def components(links: DataFrame) -> DataFrame:
     """(u, v) links between whole numbers -> (node, root): root is the component's smallest node.
 
     Links are rewritten until every node points at its root. A node with very many links meets only
-    partial minima and joins that Spark can split; nothing but two numbers reaches the driver.
+    partial minima and joins that Spark can split; nothing but two numbers reaches the driver. The
+    tables of a turn are dropped after the next one.
     """
-    edges = stored(links.where("u != v").select("u", "v").distinct(), "links")
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.store(links.where("u != v").select("u", "v").distinct(), "links")
     mark = _mark(edges)
     while mark[0]:
-        edges = stored(_small_star(stored(_large_star(edges), "links")), "links")
+        turn = Scratch(links.sparkSession)
+        between = scratch.store(_large_star(edges), "links")
+        edges = turn.store(_small_star(between), "links")
+        scratch.drop()  # the tables of the turn before
+        scratch = turn
         before, mark = mark, _mark(edges)
         if mark == before:
             break

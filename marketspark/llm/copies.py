@@ -1,43 +1,45 @@
 """Near copies by similarity: texts that share at least 0.8 of their five-word shingles (Jaccard).
 
 Minimum hashes only propose pairs: 25 bands of 4 hashes, so a pair at exactly 0.8 is missed with a
-chance of 2 in a million and a closer one less often. Texts in one band meet; every pair is then
-compared on all its shingles (64-bit hashes of them), and only pairs that reach the similarity are
-links.
+chance of 2 in a million and a closer one less often. Twice, similar sets meet in blocks of bounded
+size (`blocks`), each time only as spanning forests, never as rows of pairs:
 
-A band that is shared by a crowd is not paired all with all. First everyone meets one text of the
-band, then another one, each time only where the links known so far leave a band in several parts;
-last, all pairs of texts of one band that are still in different parts. So every pair of a band is
-compared or linked through others, and a crowd of near copies costs what its size is. A crowd that
-shares a band without being similar is compared pair by pair.
+1. The texts of a band compare sketches, one byte of each of the 100 minimum hashes. A pair is
+   likely if the share of equal bytes is at most five standard deviations below the similarity (a pair
+   at 0.8 falls below with a chance of about one in 100,000). Likely pairs join to parts.
+2. The texts of a part compare all their shingles (64-bit hashes of them). Only these links count.
+
+So unlike texts that share a band cost a few bytes each, and a text's shingles are sent once for each
+block that its part is cut into. A crowd of near copies costs what its size is.
 
 Edge cases: letter case and white space don't count; fewer words than a shingle has are one shingle;
-null, empty and blank texts are copies of each other.
+null, empty and blank texts are copies of each other; an empty table gives no rows; repeated rows and
+equal texts are one set, whatever their number; very long texts are compared whole, a block holds as
+many sets as fit its bytes; there are no ties, as links have no order. Columns of any name are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.common import stored, text_function
+from marketspark.llm.blocks import forest
+from marketspark.llm.common import Scratch, stored, text_function
 from marketspark.llm.components import components
+from marketspark.llm.simhash import unused
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_HASHES = 25, 4
 SEED = 7
 HASHES_AT_ONCE = 4096
-KNOWN_WORDS = 1 << 14
-KNOWN_TEXTS = 8
-STAR_TURNS = 2
+WORDS_AT_ONCE = 1 << 16
+DEVIATIONS = 5
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 1 << 32, (BANDS * BAND_HASHES, 1), np.uint32) | np.uint32(1)
@@ -45,24 +47,20 @@ OFFSETS = _random.integers(0, 1 << 32, (BANDS * BAND_HASHES, 1), np.uint32)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED)
-        return found
+def hashes_of(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words."""
+    some = (words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE))
+    return np.concatenate([pd.util.hash_array(np.array(part, object), categorize=False) for part in some])
 
 
-def shingles(text: str | None, known: Words) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """Sorted, distinct hashes of the shingles of a text; none for a blank text."""
     found = (text or "").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
     if len(found) < SHINGLE_WORDS:
         return np.array([xxhash.xxh64_intdigest(" ".join(found).encode("utf-8", "surrogatepass"), SEED + 1)], np.uint64)
-    hashes = np.fromiter((known[w] for w in found), np.uint64, len(found))
+    hashes = hashes_of(found)
     n = len(found) - SHINGLE_WORDS + 1
     runs = hashes[:n].copy()
     for i in range(1, SHINGLE_WORDS):
@@ -70,16 +68,27 @@ def shingles(text: str | None, known: Words) -> np.ndarray:
     return np.unique(runs)
 
 
-def bands_of(parts: np.ndarray) -> list[int]:
-    """Signed keys of the bands of a set of shingles; none for an empty set."""
-    if not len(parts):
-        return []
+def minima(parts: np.ndarray) -> np.ndarray:
+    """The minimum hashes of a set of shingles."""
     mixed = ((parts ^ (parts >> np.uint64(31))) * STEP >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * BAND_HASHES, np.iinfo(np.uint32).max, np.uint32)
     for start in range(0, len(mixed), HASHES_AT_ONCE):
         np.minimum(least, (FACTORS * mixed[start : start + HASHES_AT_ONCE] + OFFSETS).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_HASHES))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return least
+
+
+def bands_of(least: np.ndarray) -> np.ndarray:
+    """Signed keys of the bands."""
+    hashes = least.reshape(BANDS, BAND_HASHES).astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * STEP
+    for i in range(BAND_HASHES):
+        keys = ((keys ^ (keys >> np.uint64(32))) * STEP) ^ (hashes[:, i] * FACTORS[i, 0])
+    return ((keys ^ (keys >> np.uint64(29))) * STEP).view(np.int64)
+
+
+def sketch_of(least: np.ndarray) -> bytes:
+    """One byte of each minimum hash."""
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -88,111 +97,102 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def likely_at(least: float):
+    """Whether sets can reach a similarity, by their sizes, and probably do, by their sketches."""
+    hashes = BANDS * BAND_HASHES
+    need = int(hashes * least - DEVIATIONS * (hashes * least * (1 - least)) ** 0.5)
+
+    def likely(sketches, sizes, other_sketches, other_sizes) -> np.ndarray:
+        sized = np.minimum(sizes, other_sizes) >= np.maximum(sizes, other_sizes) * (least - 1e-9)
+        return sized & ((sketches == other_sketches).sum(axis=-1) >= need)
+
+    return likely
+
+
 SIGNATURE = T.StructType(
-    [T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    [
+        T.StructField("fp", T.LongType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("sketch", T.BinaryType()),
+    ]
 )
 
 
 def _signatures():
-    known = Words()
+    kind = pa.struct([("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def each(texts: list[str | None]) -> pa.Array:
         found = []
         for text in texts:
-            parts = shingles(text, known)
+            parts = shingles(text)
             fp = int(np.uint64(xxhash.xxh64_intdigest(parts.tobytes(), SEED)).view(np.int64))
-            found.append({"fp": fp, "size": len(parts), "bands": bands_of(parts)})
-        kind = pa.struct([("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+            least = minima(parts)
+            bands = bands_of(least) if len(parts) else []
+            found.append({"fp": fp, "size": len(parts), "bands": bands, "sketch": sketch_of(least)})
         return pa.array(found, kind)
 
     return each
 
 
-def signed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The table, stored, with columns `_row`, `_fp` (equal for equal sets of shingles), `_size`, `_bands`."""
-    marked = df.withColumn("_sign", text_function(_signatures, SIGNATURE)(F.coalesce(df[text_col].cast("string"), F.lit(""))))
-    marked = marked.select(
-        *df.columns,
-        F.monotonically_increasing_id().alias("_row"),
-        F.col("_sign.fp").alias("_fp"),
-        F.col("_sign.size").alias("_size"),
-        F.col("_sign.bands").alias("_bands"),
-    )
-    return stored(marked, "signed")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b) candidates -> (u, v), those that are similar, compared on all their shingles."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        parts = lru_cache(KNOWN_TEXTS)(lambda text: shingles(text, known))
-        for batch in batches:
-            a, b, one, other = (batch.column(i) for i in range(4))
-            near = [
-                similarity(parts(x.as_py()), parts(y.as_py())) >= least for x, y in zip(one, other, strict=True)
-            ]
-            keep = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["u", "v"])
-
-    both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "other"), "b")
-    return both.select("a", "b", "one", "other").mapInArrow(work, "u long, v long")
-
-
-def groups(marked: DataFrame, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Stored rows of `signed` -> (fp, root) for each fingerprint that has a near copy other than itself."""
-    one = marked.groupBy("_fp").agg(F.min("_row").alias("row"), F.min("_size").alias("size"), F.min("_bands").alias("bands"))
-    one = stored(one.withColumnRenamed("_fp", "fp"), "fingerprints")
-    every = one.select("fp", "size", F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high")
-    meet = stored(every.join(shared.select("band"), "band"), "bands")
-    chosen = meet.select("fp").distinct().join(one.select("fp", "row"), "fp")
-    texts = marked.select(F.col("_row").alias("row"), F.coalesce(marked[text_col].cast("string"), F.lit("")).alias("text"))
-    texts = stored(texts.join(chosen, "row").select("fp", "text"), "texts")
-
-    comparable = F.least("size", "other_size") >= F.greatest("size", "other_size") * (least - 1e-9)
-    pair = (F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    done = known = None  # compared pairs; links
-    parts = meet.withColumn("root", F.col("fp"))
-
-    def compare(candidates: DataFrame) -> None:
-        nonlocal done, known, parts
-        new = candidates.where(comparable).select(*pair).distinct()
-        new = stored(new if done is None else new.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = stored(_similar(new, texts, least), "similar")
-        done = new if done is None else done.unionByName(new)
-        known = links if known is None else known.unionByName(links)
-        roots = stored(components(known), "parts").withColumnRenamed("node", "fp")
-        whole = meet.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        split = whole.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        parts = stored(whole.join(split.select("band"), "band"), "open")
-
-    for turn in range(STAR_TURNS):  # everyone and one text of the band; the second time another one in each
-        order = F.col("fp") if turn == 0 else F.xxhash64("fp", "band")
-        centre = parts.groupBy("band").agg(F.min(F.struct(order.alias("order"), "fp", "size", "root")).alias("c"))
-        centre = centre.select("band", *(F.col(f"c.{x}").alias(y) for x, y in (("fp", "other"), ("size", "other_size"), ("root", "other_root"))))
-        compare(parts.join(centre, "band").where("root != other_root"))
-    places = parts.select("band", "root").distinct()
-    across = places.join(places.withColumnRenamed("root", "other_root"), "band").where("root < other_root")
-    others = parts.select("band", *(F.col(x).alias(y) for x, y in (("fp", "other"), ("size", "other_size"), ("root", "other_root"))))
-    compare(across.join(parts, ["band", "root"]).join(others, ["band", "other_root"]))
-    return stored(components(known), "groups").withColumnRenamed("node", "fp")
-
-
-def with_group(df: DataFrame, text_col: str = "text", name: str = "_group", least: float = SIMILARITY) -> DataFrame:
-    """The table with `_row`, a number for each row, and a number that near copies share; null if blank."""
-    marked = signed(df, text_col)
-    found = marked.join(groups(marked, text_col, least).withColumnRenamed("fp", "_fp"), "_fp", "left")
-    group = F.when(F.col("_size") > 0, F.coalesce("root", "_fp"))
-    return found.select(*df.columns, "_row", group.alias(name))
+def _shingle_bytes():
+    return lambda texts: pa.array([shingles(text).tobytes() for text in texts], pa.binary())
+
+
+def signed(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """The table, stored, with a column of (row, fp, size, bands, sketch): a number for each row, one
+    that is equal for equal sets of shingles, and what is known of the set."""
+    sign = text_function(_signatures, SIGNATURE)(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    marked = df.withColumn(name, sign)
+    number = F.monotonically_increasing_id()
+    return stored(marked.withColumn(name, F.col(f"`{name}`").withField("row", number)), "signed")
+
+
+def groups(marked: DataFrame, name: str, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """Rows of `signed` -> stored (fp, root) for each fingerprint that has a near copy other than itself."""
+    scratch = Scratch(marked.sparkSession)
+    text = F.coalesce(marked[text_col].cast("string"), F.lit(""))
+    rows = marked.select(F.inline(F.array(F.col(f"`{name}`"))), text.alias("text"))
+    one = rows.drop("text").join(rows.groupBy("fp").agg(F.min("row").alias("row")), ["fp", "row"])
+    one = scratch.store(one.withColumnRenamed("fp", "node"), "fingerprints")
+    keys = one.select(F.explode("bands").alias("key"), "node", F.lit(0).alias("bytes"))
+    likely = likely_at(least)
+    parts = components(forest(scratch, keys, one.select("node", "size", "sketch"), likely))
+    parts = scratch.store(parts.withColumnRenamed("root", "key"), "parts")
+
+    chosen = one.select("node", "row", "size", "sketch").join(parts.select("node"), "node")
+    whole = rows.select("row", "text").join(chosen, "row")
+    whole = whole.withColumn("parts", text_function(_shingle_bytes, T.BinaryType())(F.col("text")))
+    whole = scratch.store(whole.select("node", "size", "sketch", "parts"), "sets")
+    keys = parts.join(whole.select("node", (F.col("size") * 8).alias("bytes")), "node").select("key", "node", "bytes")
+    links = forest(scratch, keys, whole, likely, lambda a, b: similarity(a, b) >= least)
+    found = stored(components(links), "groups").withColumnRenamed("node", "fp")
+    scratch.drop()
+    return found
+
+
+def with_group(
+    df: DataFrame, text_col: str = "text", name: str = "_group", least: float = SIMILARITY, row: str = "_row"
+) -> DataFrame:
+    """The table with `row`, a number for each row, and a number that near copies share; null if blank."""
+    sign, fp, root = (unused(df, x) for x in ("sign", "fp", "root"))
+    marked = signed(df, sign, text_col)
+    found = groups(marked, sign, text_col, least).toDF(fp, root)
+    marked = marked.withColumn(fp, F.col(f"`{sign}`.fp")).join(found, fp, "left")
+    group = F.when(F.col(f"`{sign}`.size") > 0, F.coalesce(F.col(root), F.col(fp)))
+    columns = [marked[f"`{c}`"] for c in df.columns]
+    return marked.select(*columns, F.col(f"`{sign}`.row").alias(row), group.alias(name))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of `df`, one for each group of near copies: the one with the smallest id, nulls last; of
     repeated rows any one. Blank texts are one group."""
-    marked = signed(df, text_col)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), "_row")).alias("first")
-    firsts = marked.groupBy("_fp").agg(first)
-    found = firsts.join(groups(marked, text_col, least).withColumnRenamed("fp", "_fp"), "_fp", "left")
-    kept = found.groupBy(F.coalesce("root", "_fp").alias("root")).agg(F.min("first").alias("first"))
-    return marked.join(kept.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*df.columns)
+    sign, row = unused(df, "sign"), unused(df, "row")
+    marked = signed(df, sign, text_col)
+    number = marked.withColumn(row, F.col(f"`{sign}`.row"))
+    ids = marked.select(marked[id_col].cast("long").alias("id"), F.col(f"`{sign}`.fp").alias("fp"), F.col(f"`{sign}`.row").alias("row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    firsts = ids.groupBy("fp").agg(first)
+    found = firsts.join(groups(marked, sign, text_col, least), "fp", "left")
+    kept = found.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return number.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

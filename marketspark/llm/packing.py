@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from marketspark.llm.common import stored, text_function
 from marketspark.llm.copies import with_group
 from marketspark.llm.shards import token_ids
+from marketspark.llm.simhash import unused
 
 CAPACITY = 2048  # tokens
 GROUP_PIECES = 20_000
@@ -173,6 +174,7 @@ def pack_texts(
     """Pack whole texts by their tokens, or by another length; near copies (five-word shingles,
     similarity 0.8 or more, directly or through others) and texts of one source are kept apart."""
     length = token_length(df[text_col]) if length is None else length
-    sized = df.select("*", length.alias("_length"))
-    rows = with_group(sized, text_col)
-    return pack(rows, F.col("_length"), F.col(source_col), F.col("_group"), capacity, row=F.col("_row"), **settings)
+    name, group, row = (unused(df, x) for x in ("length", "group", "row"))
+    sized = df.select("*", length.alias(name))
+    rows = with_group(sized, text_col, group, row=row)
+    return pack(rows, F.col(name), rows[source_col], F.col(group), capacity, row=F.col(row), **settings)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from marketspark.llm import copies, packing
+from marketspark.llm import blocks, copies, packing
 from marketspark.llm.common import read
 from marketspark.llm.simhash import fingerprint
 
@@ -97,3 +99,64 @@ def test_packing_keeps_near_copies_apart(spark):
     for r in packing.pack_texts(df).collect():
         bins.setdefault(r["bin"], []).append(roots[r["doc_id"]])
     assert all(len(b) == len(set(b)) for b in bins.values()) and max(map(len, bins.values())) > 1
+
+
+def test_blocks_of_a_crowd_meet(docs_of, monkeypatch):
+    """Groups and unlike texts that share one band, cut into many blocks, give the groups of brute force."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(copies, "bands_of", lambda least: np.zeros(1, np.int64))
+    rng = random.Random(6)
+    texts = []
+    for size in (40, 12, 9, 3, 2, *[1] * 25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(base)] + [edited(rng, base, 1, 2) for _ in range(size - 1)]
+    for i in range(20):  # a chain: neighbours are near, ends are not
+        base = [f"c{j}" for j in range(4 * i, 4 * i + 100)]
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    roots = slow_roots(texts)
+    assert [r["doc_id"] for r in copies.drop_copies(docs_of(*texts)).orderBy("doc_id").collect()] == sorted(set(roots))
+
+
+def test_forest_in_a_block_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(rng.integers(2, 60))
+        place = rng.integers(0, 200, n)
+        left, right = rng.random(n) < 0.6, rng.random(n) < 0.6
+        part = np.where(rng.random(n) < 0.3, 0, np.arange(1, n + 1))
+        rows = {"node": np.arange(n), "size": np.ones(n, np.int64), "part": part, "first": np.arange(n) == 0, "left": left, "right": right}
+        rows["sketch"] = place.astype(np.uint8)[:, None]
+        near = lambda a, x, b, y: (np.abs(a.astype(int) - b.astype(int)) <= 2).all(axis=-1)
+
+        def parts(pairs, n=n, part=part):
+            label = np.unique(part, return_inverse=True)[1]
+            for i, j in pairs:
+                label[label == label[j]] = label[i]
+            return {tuple(np.flatnonzero(label == x)) for x in set(label)}
+
+        pairs = [(i, j) for i in range(n) for j in range(n) if left[i] and right[j] and i != j and abs(place[i] - place[j]) <= 2]
+        found = blocks.forest_of(rows, near, None)
+        assert parts(found) == parts(pairs) and len(found) < n
+
+
+def test_helper_columns_do_not_clash(spark):
+    names = ["_row", "_fp", "_size", "_sign", "_sign_", "root", "fp", "_group", "_length", "bands", "node", "a.b"]
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "s", *names), (2, text, "t", *names)], ["doc_id", "text", "source", *names])
+    kept = copies.drop_copies(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, text, "s", *names)]
+    assert sorted(r["doc_id"] for r in packing.pack_texts(df).collect()) == [1, 2]
+
+
+def test_intermediate_tables_are_dropped(docs_of, spark):
+    from marketspark.sources.store import store_root
+
+    def tables():
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{store_root(spark)}/llm")
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {str(f.getPath().getName()).rsplit("-", 1)[0] for f in files.listStatus(root)} if files.exists(root) else set()
+
+    before = tables()
+    copies.drop_copies(docs_of("a b c d e f g h", "a b c d e f g h", "other words")).collect()
+    assert not tables() - before - {"signed", "groups", "links"}
