@@ -65,7 +65,8 @@ def shingles(text: str | None) -> np.ndarray:
     runs = hashes[:n].copy()
     for i in range(1, SHINGLE_WORDS):
         runs = (runs ^ (runs >> np.uint64(29))) * STEP + hashes[i : i + n]
-    return np.unique(runs)
+    runs.sort()
+    return runs[np.append(True, runs[1:] != runs[:-1])]
 
 
 def minima(parts: np.ndarray) -> np.ndarray:
