@@ -195,15 +195,6 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX).options(**CSV).csv(f"{folder}/index")
 
 
-def read_results(answers: Mapping[str, DataFrame], names: Mapping[str, str], folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
-    """What `export_results` wrote for each answer, re-read."""
-    found = {}
-    for key, df in answers.items():
-        reader = df.sparkSession.read.schema(df.schema)
-        found[key] = (reader.options(**CSV) if fmt == "csv" else reader).format(fmt).load(f"{folder}/{names[key]}").select(df.columns)
-    return found
-
-
 def export_results(
     answers: Mapping[str, DataFrame],
     texts: Mapping[str, str],
