@@ -9,6 +9,9 @@ size (`blocks`), each time only as spanning forests, never as rows of pairs:
    at 0.8 falls below with a chance of about one in 100,000). Likely pairs join to parts.
 2. The texts of a part compare all their shingles (64-bit hashes of them). Only these links count.
 
+With `prints`, the fingerprints of `simhash` propose as well: texts of one of its components meet in step 1,
+beside those of a band. What either proposes is decided by all shingles.
+
 So unlike texts that share a band cost a few bytes each, and a text's shingles are sent once for each
 block that its part is cut into. A crowd of near copies costs what its size is.
 
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 from marketspark.llm.blocks import forest
 from marketspark.llm.common import Scratch, stored, text_function
 from marketspark.llm.components import components
-from marketspark.llm.simhash import unused
+from marketspark.llm.simhash import fingerprint_of, grouped, unused
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -149,7 +152,17 @@ def signed(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     return stored(marked.withColumn(name, F.col(f"`{name}`").withField("row", number)), "signed")
 
 
-def groups(marked: DataFrame, name: str, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def print_keys(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """(fp, size, text) -> (key, node) for each set in a component of linked `simhash` fingerprints of its texts."""
+    some = rows.where("size > 0").select(F.col("fp").alias("node"), fingerprint_of(F.col("text")).alias("fp"))
+    prints = scratch.store(some.distinct(), "prints")
+    found = grouped(prints.select(F.col("node").alias("doc_id"), "fp"))
+    return prints.join(found, "fp").select(F.col("root").alias("key"), "node").distinct()
+
+
+def groups(
+    marked: DataFrame, name: str, text_col: str = "text", least: float = SIMILARITY, prints: bool = False
+) -> DataFrame:
     """Rows of `signed` -> stored (fp, root) for each fingerprint that has a near copy other than itself."""
     scratch = Scratch(marked.sparkSession)
     text = F.coalesce(marked[text_col].cast("string"), F.lit(""))
@@ -157,6 +170,8 @@ def groups(marked: DataFrame, name: str, text_col: str = "text", least: float =
     one = rows.drop("text").join(rows.groupBy("fp").agg(F.min("row").alias("row")), ["fp", "row"])
     one = scratch.store(one.withColumnRenamed("fp", "node"), "fingerprints")
     keys = one.select(F.explode("bands").alias("key"), "node", F.lit(0).alias("bytes"))
+    if prints:
+        keys = keys.unionByName(print_keys(scratch, rows).withColumn("bytes", F.lit(0)))
     likely = likely_at(least)
     parts = components(forest(scratch, keys, one.select("node", "size", "sketch"), likely))
     parts = scratch.store(parts.withColumnRenamed("root", "key"), "parts")
@@ -185,7 +200,9 @@ def with_group(
     return marked.select(*columns, F.col(f"`{sign}`.row").alias(row), group.alias(name))
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def drop_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, prints: bool = False
+) -> DataFrame:
     """The rows of `df`, one for each group of near copies: the one with the smallest id, nulls last; of
     repeated rows any one. Blank texts are one group."""
     sign, row = unused(df, "sign"), unused(df, "row")
@@ -194,6 +211,6 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ids = marked.select(marked[id_col].cast("long").alias("id"), F.col(f"`{sign}`.fp").alias("fp"), F.col(f"`{sign}`.row").alias("row"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     firsts = ids.groupBy("fp").agg(first)
-    found = firsts.join(groups(marked, sign, text_col, least), "fp", "left")
+    found = firsts.join(groups(marked, sign, text_col, least, prints), "fp", "left")
     kept = found.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     return number.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
