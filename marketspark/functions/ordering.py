@@ -7,6 +7,9 @@ each power of two) tells every band of values how many rows lie below it. Only t
 ever ordered as a whole. The median then cuts its one or two middle bands by 20 further bits of the
 value. A double has 52, so at most 2^20 different ones are left to be ordered in one task, and at
 most 2^20 cuts of a band, however many values crowd there.
+
+`first_per_key_by` is for large tables whose tasks read more rows than they can sort in memory, `distinct_rows` for
+large tables where few rows have a copy.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: More rows than this of one value are a crowd: they don't meet in one task. N rows have at most N/1024 such values.
+CROWD = 1024
 _STEP_BITS = 12
 _FINE_BITS = 20
 _CODE_BITS = 14
@@ -40,6 +45,41 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(ordered)).filter("_n = 1").drop("_n")
 
 
+def crowds(df: DataFrame, by: str, most: int = CROWD) -> DataFrame:
+    """(_mark): the 64-bit digests of a column that more than `most` rows have; they fold to a count before the shuffle."""
+    folded = df.groupBy(F.xxhash64(by).alias("_mark")).agg(F.count(F.lit(1)).alias("_n"))
+    return folded.filter(F.col("_n") > most).select("_mark")
+
+
+def first_per_key_by(df: DataFrame, by: str, keys: Sequence[str], *order: str, crowded: DataFrame | None = None) -> DataFrame:
+    """`first_per_key` where `by` is one of the keys: rows meet by that column, so it lies together in the result.
+
+    Rows are sorted after the shuffle, in parts that Spark sizes, and not in the tasks that read them. Only values that
+    very many rows have, `crowded`, go by `first_per_key`, which sends one row of each key from each task. Digests that
+    merely meet put a value among the crowded ones, where it gets the same rows.
+    """
+    crowded = crowds(df, by) if crowded is None else crowded
+    marked = df.withColumn("_mark", F.xxhash64(by))
+    calm = marked.join(crowded, "_mark", "left_anti").select(*df.columns)
+    rest = marked.join(crowded, "_mark", "left_semi").select(*df.columns)
+    return first_per_key(calm.repartition(F.col(by)), keys, *order).unionByName(first_per_key(rest, keys, *order))
+
+
+def marks_of_copies(df: DataFrame) -> DataFrame:
+    """(_mark): the 64-bit digests that more than one row has. A row with any other digest has no equal row."""
+    return crowds(df.select(F.xxhash64(*df.columns).alias("_row")), "_row", 1)
+
+
+def distinct_rows(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """DISTINCT that compares only rows with the digests of `marks_of_copies`; the others keep their place.
+
+    It pays if the marks are few enough to broadcast: no other row is then hashed, sorted or shuffled.
+    """
+    marked = df.withColumn("_mark", F.xxhash64(F.xxhash64(*df.columns)))
+    alone = marked.join(marks, "_mark", "left_anti").select(*df.columns)
+    return alone.unionByName(marked.join(marks, "_mark", "left_semi").select(*df.columns).distinct())
+
+
 def _step(value: Column) -> tuple[Column, Column, Column]:
     """(size scaled so that a band is one wide, the band's step as a whole number, power of two of the size)."""
     size = F.abs(value.cast("double"))

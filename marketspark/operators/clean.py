@@ -22,7 +22,7 @@ from marketspark.functions.columns import (
     try_timestamp,
     upper_trim,
 )
-from marketspark.functions.ordering import exact_median, first_per_key
+from marketspark.functions.ordering import crowds, distinct_rows, exact_median, first_per_key, first_per_key_by, marks_of_copies
 
 # Statuses that end an order without a delivery, and the label of a missing category.
 CANCELLED_STATUSES = ("canceled", "unavailable")
@@ -160,13 +160,19 @@ def clean_orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_order_items(raw: DataFrame) -> DataFrame:
+def crowded_orders(raw: DataFrame) -> DataFrame:
+    """Digests of orders with very many lines."""
+    return crowds(raw, "order_id")
+
+
+def clean_order_items(raw: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
     """One row per (order_id, order_item_id).
 
     The kept row is the first one under a total order of all columns, so exact copies fall out of
-    the same pass and no separate DISTINCT shuffle is needed.
+    the same pass and no separate DISTINCT shuffle is needed. Lines of an order come to lie together, so sums for each
+    order fold before they are shuffled; only orders with very many lines, `crowded`, are spread.
     """
-    one = first_per_key(raw, ["order_id", "order_item_id"], "product_id")
+    one = first_per_key_by(raw, "order_id", ["order_id", "order_item_id"], "product_id", crowded=crowded)
     return one.select(
         "order_id",
         try_int(F.col("order_item_id")).alias("order_item_id"),
@@ -178,19 +184,31 @@ def clean_order_items(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_payments(raw: DataFrame) -> DataFrame:
-    """Normalised payment lines; lines that become equal after normalisation are one line."""
-    return drop_exact_duplicates(
-        raw.select(
-            "order_id",
-            try_int(F.col("payment_sequential")).alias("payment_sequential"),
-            lower_trim(F.col("payment_type")).alias("payment_type"),
-            try_int(F.col("payment_installments")).alias("payment_installments"),
-            try_money(F.col("payment_value")).alias("payment_value"),
-        )
+def payment_lines(raw: DataFrame) -> DataFrame:
+    """Normalised payment lines."""
+    return raw.select(
+        "order_id",
+        try_int(F.col("payment_sequential")).alias("payment_sequential"),
+        lower_trim(F.col("payment_type")).alias("payment_type"),
+        try_int(F.col("payment_installments")).alias("payment_installments"),
+        try_money(F.col("payment_value")).alias("payment_value"),
     )
 
 
+def payment_marks(raw: DataFrame) -> DataFrame:
+    """Digests that several normalised payment lines have."""
+    return marks_of_copies(payment_lines(raw))
+
+
+def clean_payments(raw: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Normalised payment lines; lines that become equal after normalisation are one line.
+
+    With `marks`, the digests that several lines have, only lines with these are compared.
+    """
+    lines = payment_lines(raw)
+    return drop_exact_duplicates(lines) if marks is None else distinct_rows(lines, marks)
+
+
 def clean_reviews(raw: DataFrame) -> DataFrame:
     """The latest review of each order; review text stops here.
 

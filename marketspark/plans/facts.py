@@ -60,7 +60,9 @@ def _pick(column: str, group: str) -> Column:
 
 def last_full_month(answers: Answers) -> DataFrame:
     """The latest month that is not partial."""
-    full = answers["monthly_orders_revenue"].filter("is_partial_month = 0")
+    # A warehouse tells months apart without their revenue.
+    months = answers["months_placed" if "months_placed" in answers else "monthly_orders_revenue"]
+    full = months.filter("is_partial_month = 0")
     return full.agg(F.max("purchase_month").alias("last_full_month"))
 
 
@@ -330,6 +332,15 @@ def overview_facts(answers: Answers, label: str, made_on: Column) -> DataFrame:
     )
 
 
+#: The checks that facts quote.
+QUOTED_CHECKS = (
+    "orders_delivered_but_no_delivery_date",
+    "orders_delivered_before_purchase",
+    "products_missing_category",
+    "orders_on_time_by_date_but_late_by_timestamp",
+)
+
+
 def quality_facts(dq_log: DataFrame) -> DataFrame:
     def affected(check: str) -> Column:
         return text_int(F.max(F.when(F.col("check") == check, F.col("rows_affected"))))

@@ -38,6 +38,19 @@ def _avg(column: str, digits: int) -> Column:
     return rounded(F.avg(F.col(column).cast("double")), digits)
 
 
+def _with_partial(monthly: DataFrame) -> DataFrame:
+    """A month with few orders next to the typical month is partial. One row for each month from here on."""
+    typical = F.median("orders_placed").over(Window.partitionBy(F.lit(0)))
+    partial = flag(F.col("orders_placed") < F.col("_typical") * PARTIAL_MONTH_SHARE)
+    return monthly.withColumn("_typical", typical).withColumn("is_partial_month", partial).drop("_typical")
+
+
+def months_placed(model: Model) -> DataFrame:
+    """What `monthly_orders_revenue` says of whole months, without revenue: orders are enough to tell."""
+    orders = model["fact_orders"].filter(F.col("purchase_month").isNotNull())
+    return _with_partial(orders.groupBy("purchase_month").agg(F.count(F.lit(1)).alias("orders_placed")))
+
+
 def monthly_orders_revenue(model: Model, params: Params) -> DataFrame:
     orders = model["fact_orders"].filter(F.col("purchase_month").isNotNull())
     done = F.col("is_delivered") == 1
@@ -49,19 +62,13 @@ def monthly_orders_revenue(model: Model, params: Params) -> DataFrame:
             "revenue_delivered"
         ),
     )
-    # One row for each month from here on.
-    typical = F.median("orders_placed").over(Window.partitionBy(F.lit(0)))
     by_month = Window.partitionBy(F.lit(0)).orderBy("purchase_month")
     revenue = F.col("revenue_delivered")
     before = F.lag(revenue).over(by_month)
     partial = F.col("is_partial_month")
     both_full = (partial == 0) & (F.lag(partial).over(by_month) == 0)
     return (
-        monthly.withColumn("_typical", typical)
-        .withColumn(
-            "is_partial_month",
-            flag(F.col("orders_placed") < F.col("_typical") * PARTIAL_MONTH_SHARE),
-        )
+        _with_partial(monthly)
         .select(
             "purchase_month",
             "orders_placed",
@@ -144,7 +151,12 @@ def repeat_customer_rate(model: Model, params: Params) -> DataFrame:
 
 
 def category_orders(model: Model) -> DataFrame:
-    """Delivered items by category and order; the order's review score is the same on each item."""
+    """Delivered items by category and order; the order's review score is the same on each item.
+
+    Two questions read it, so a warehouse keeps it as a table.
+    """
+    if "category_orders" in model:
+        return model["category_orders"]
     return (
         delivered(model["fact_order_items"])
         .groupBy("category", "order_id")
@@ -486,6 +498,11 @@ ORDERS_ALONE = (
     cohort_retention,
     review_by_delay_bucket,
 )
+#: Questions that read few columns of the fact of orders, sums of lines among them, and no other table.
+ORDERS_WITH = {
+    monthly_orders_revenue: ("purchase_month", "is_delivered", "is_cancelled", "item_revenue"),
+    basket_size: ("is_delivered", "items_count", "distinct_products", "item_revenue"),
+}
 
 
 @dataclass(frozen=True)

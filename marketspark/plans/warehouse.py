@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +12,19 @@ from marketspark.operators import clean, model
 from marketspark.operators.clean import BRAZIL, Box
 from marketspark.operators.quality import counted_on_write, quality_log
 from marketspark.params import Params
-from marketspark.plans.facts import memo_facts
-from marketspark.plans.questions import ORDERS_ALONE, QUESTIONS, seller_stats
+from marketspark.plans.facts import QUOTED_CHECKS, memo_facts
+from marketspark.plans.questions import ORDERS_ALONE, ORDERS_WITH, QUESTIONS, basket_size, category_orders, months_placed, seller_stats
 from marketspark.sources.store import Lake
 
 Builder = Callable[[Lake], DataFrame]
 
+
+def _marks_if_few(t: Lake) -> DataFrame | None:
+    """Digests of payment lines that may have copies; none if they are too many to broadcast."""
+    marks = t.few("payment_marks")
+    return marks if t.is_few("payment_marks") else None
+
+
 CLEAN: dict[str, Builder] = {
     "clean_customers": lambda t: clean.clean_customers(t["raw_customers"]),
     "clean_sellers": lambda t: clean.clean_sellers(t["raw_sellers"]),
@@ -25,8 +32,8 @@ CLEAN: dict[str, Builder] = {
         t["raw_products"], t["raw_category_translation"]
     ),
     "clean_orders": lambda t: clean.clean_orders(t["raw_orders"]),
-    "clean_order_items": lambda t: clean.clean_order_items(t["raw_order_items"]),
-    "clean_payments": lambda t: clean.clean_payments(t["raw_payments"]),
+    "clean_order_items": lambda t: clean.clean_order_items(t["raw_order_items"], t.few("crowded_orders")),
+    "clean_payments": lambda t: clean.clean_payments(t["raw_payments"], _marks_if_few(t)),
     "clean_reviews": lambda t: clean.clean_reviews(t["raw_reviews"]),
     "clean_state_centroids": lambda t: clean.clean_state_centroids(t["raw_geolocation"], t.box),
 }
@@ -38,7 +45,25 @@ def _orders_alone(t: Lake) -> str:
     return "fact_orders" if t.ready("fact_orders") else "order_columns"
 
 
+def orders_with(t: Lake, *columns: str) -> DataFrame:
+    """Some columns of the fact of orders: from the fact if it is there, else from the tables that they need."""
+    if t.ready("fact_orders"):
+        return t["fact_orders"].select(*columns)
+    parts = model.parts_of(columns)
+    kinds = ["payment_kinds"] if "payments" in parts else []
+    tables = t.together("clean_orders", *[f"clean_{ORDER_SOURCES.get(p, p)}" for p in parts], *kinds)
+    return model.orders_with(columns, **dict(zip(["orders", *parts, *(["kinds"] if kinds else [])], tables, strict=True)))
+
+
+ORDER_SOURCES = {"items": "order_items"}
+#: Digests that others are made with: orders with very many lines, payment lines that may have copies.
+MARKS: dict[str, Builder] = {
+    "crowded_orders": lambda t: clean.crowded_orders(t["raw_order_items"]),
+    "payment_marks": lambda t: clean.payment_marks(t["raw_payments"]),
+}
 LOOKUPS: dict[str, Builder] = {
+    "payment_kinds": lambda t: model.payment_kinds(t["clean_payments"]),
+    "basket_orders": lambda t: orders_with(t, *ORDERS_WITH[basket_size]),  # read twice, for the median
     "order_columns": lambda t: model.order_columns(
         *t.together("clean_orders", "clean_customers", "clean_reviews")
     ),
@@ -51,29 +76,86 @@ MODEL: dict[str, Builder] = {
             "clean_order_items",
             "clean_payments",
             "clean_reviews",
+            "payment_kinds",
         )
     ),
     "fact_order_items": lambda t: model.fact_order_items(
         *t.together("clean_order_items", _orders_alone(t), "clean_products", "clean_sellers")
     ),
     "fact_payments": lambda t: model.fact_payments(*t.together("clean_payments", _orders_alone(t))),
-    "dim_customer": lambda t: model.dim_customer(t["fact_orders"]),
+    "dim_customer": lambda t: model.dim_customer(t[_orders_alone(t)]),
     "dim_product": lambda t: model.dim_product(t["clean_products"]),
     "dim_seller": lambda t: model.dim_seller(t["clean_sellers"]),
     "dim_state": lambda t: model.dim_state(t["states"], t["clean_state_centroids"]),
-    "dim_date": lambda t: model.dim_date(t["fact_orders"]),
+    "dim_date": lambda t: model.dim_date(orders_with(t, "purchase_date")),
 }
 
-SUMMARIES: dict[str, Builder] = {"seller_stats": seller_stats}
+
+
+def _months_placed(t: Lake) -> DataFrame:
+    answer = "monthly_orders_revenue"
+    if t.ready(answer):
+        return t[answer].select("purchase_month", "orders_placed", "is_partial_month")
+    return months_placed({"fact_orders": orders_with(t, "purchase_month")})
+
+
+def _category_orders(t: Lake) -> DataFrame:
+    if t.ready("fact_order_items"):
+        return category_orders({"fact_order_items": t["fact_order_items"]})
+    columns = ("order_id", "is_delivered", "review_score")
+    lines, products = t.together("clean_order_items", "clean_products")
+    orders = t["order_columns"].select(*columns) if t.ready("order_columns") else orders_with(t, *columns)
+    return category_orders({"fact_order_items": model.lines_with_category(lines, orders, products)})
+
+
+SUMMARIES: dict[str, Builder] = {
+    "seller_stats": seller_stats,
+    "months_placed": _months_placed,
+    "category_orders": _category_orders,
+}
+
+
+def _orders_for(t: Lake, question: Callable) -> Mapping[str, DataFrame]:
+    """The tables of a question: only the columns of orders that it reads, if it says so."""
+    if question in ORDERS_ALONE:
+        return {"fact_orders": t[_orders_alone(t)]}
+    if question is basket_size and not t.ready("fact_orders"):
+        return {"fact_orders": t["basket_orders"]}
+    if question in ORDERS_WITH:
+        return {"fact_orders": orders_with(t, *ORDERS_WITH[question])}
+    return t
+
+
 ANSWERS: dict[str, Builder] = {
-    q.answer.__name__: (
-        lambda t, q=q: q.answer({"fact_orders": t[_orders_alone(t)]} if q.answer in ORDERS_ALONE else t, t.params)
-    )
-    for q in QUESTIONS
+    q.answer.__name__: (lambda t, q=q: q.answer(_orders_for(t, q.answer), t.params)) for q in QUESTIONS
 }
+
+
+def _quoted_checks(t: Lake) -> DataFrame:
+    """The checks that facts quote: lines of the log if it is there, else these checks alone."""
+    return t["dq_log"].filter(F.col("check").isin(*QUOTED_CHECKS)) if t.ready("dq_log") else quality_log(t, QUOTED_CHECKS, t.box)
+
+
+def _memo_facts(t: Lake) -> DataFrame:
+    t.together("quoted_checks", *FACT_ANSWERS)
+    return memo_facts(t, t["quoted_checks"], t.params, t.label, t.made_on)
+
+
+#: The answers that facts quote.
+FACT_ANSWERS = (
+    "monthly_orders_revenue",
+    "repeat_customer_rate",
+    "top_categories",
+    "late_delivery_by_state",
+    "review_late_vs_on_time",
+    "freight_share",
+    "cohort_retention",
+    "review_by_delay_bucket",
+)
 REPORTS: dict[str, Builder] = {
     "dq_log": lambda t: quality_log(t, box=t.box),
-    "memo_facts": lambda t: memo_facts(t, t["dq_log"], t.params, t.label, t.made_on),
+    "quoted_checks": _quoted_checks,
+    "memo_facts": _memo_facts,
 }
 
 
@@ -107,12 +189,12 @@ class Warehouse(Lake):
         given = {f"raw_{name}": df for name, df in raw.items()}
         given["states"] = model.brazil_states(spark) if states is None else states
         plans = {name: (lambda lake, df=df: df) for name, df in given.items()}
-        builders = plans | CLEAN | LOOKUPS | MODEL | SUMMARIES | ANSWERS | REPORTS
+        builders = plans | MARKS | CLEAN | LOOKUPS | MODEL | SUMMARIES | ANSWERS | REPORTS
         if not stored:
             views = frozenset(builders)
         else:
             views = frozenset({"states"} if store_raw else plans)
-        counts = counted_on_write(box)
+        counts = counted_on_write(box) | {name: {"rows": F.count(F.lit(1))} for name in MARKS}
         for name in (f"raw_{n}" for n in raw):
             counts[name] = counts.get(name, {}) | {"rows": F.count(F.lit(1))}
         super().__init__(spark, builders, views, folder, buckets, counts)

@@ -81,6 +81,9 @@ def read_back(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 #: Jobs that run at the same time.
 MOST_JOBS = 16
 
+#: Rows of one whole number that a task may hold as a table, about 100 MB.
+MOST_BROADCAST = 2**21
+
 
 def side_by_side(spark: SparkSession, work: Callable, names: Iterable[str]) -> list:
     """Run independent jobs at the same time, so the last tasks of one leave no executor idle."""
@@ -148,6 +151,15 @@ class Lake:
         """Whether a table is there already."""
         return name in self._ready
 
+    def is_few(self, name: str) -> bool:
+        """Whether a table was seen to have few enough rows to be broadcast when it was written."""
+        return self.seen.get(name, {}).get("rows", MOST_BROADCAST + 1) <= MOST_BROADCAST
+
+    def few(self, name: str) -> DataFrame:
+        """A table of one number a row, to be broadcast if that is known to be possible."""
+        df = self[name]
+        return F.broadcast(df) if self.is_few(name) else df
+
     def __contains__(self, name: str) -> bool:
         return name in self._builders
 
