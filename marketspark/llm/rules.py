@@ -44,7 +44,6 @@ COMMON = {
     "es": ("el", "la", "de", "que", "y", "los", "las", "en", "un", "una", "por", "con"),
 }
 COMMON_WORDS = 12
-LONGEST_COMMON = max(len(word) for words in COMMON.values() for word in words)
 
 LEAST_CHARS = 400
 LEAST_HISTOGRAM_WORDS = 100
@@ -56,38 +55,34 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def repeated_words(words: str = "words", n: int = WINDOW_WORDS) -> Column:
+def window_hashes(hashes: str = "hashes", n: int = WINDOW_WORDS) -> Column:
+    """A hash of every window of `n` words, from the hashes of the words; none for fewer words."""
+    after = lambda i: (F.get(hashes, i + k) for k in range(1, n))
+    every = F.transform(hashes, lambda h, i: F.xxhash64(h, *after(i)))
+    return F.slice(every, F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+
+
+def ranked_windows(windows: str = "windows") -> Column:
+    """Windows sorted by (hash, place from 1) if two hashes are equal, else null."""
+    ranked = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), ranked)
+
+
+def repeated_words(words: str = "words", ranked: str = "ranked", n: int = WINDOW_WORDS) -> Column:
     """Words covered by windows of `n` words that stand in the text twice or more.
 
     Windows are compared by hash first. Only if two hashes are equal are windows sorted by (hash,
     place); neighbours with equal hash then count if their words are equal, too.
     """
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
     at = lambda i: F.slice(words, i, n)
-    hashes = F.transform(starts, lambda i: F.xxhash64(at(i)))
-    ranked = F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(at(i)).alias("h"), i.alias("i"))))
-    return F.when(F.size(words) < n, 0).otherwise(
-        F.when(F.size(F.array_distinct(hashes)) == F.size(words) - (n - 1), 0).otherwise(
-            _covered(_repeated_starts(ranked, at), n)
-        )
-    )
-
-
-def _repeated_starts(ranked: Column, at) -> Column:
-    """Places of windows that equal the one before or after them in the ranked order."""
     same = lambda a, b: (a["h"] == b["h"]) & (at(a["i"]) == at(b["i"]))
-    start = F.struct(
-        F.array().cast("array<int>").alias("found"),
-        F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("i")).alias("last"),
+    pairs = F.zip_with(
+        F.slice(ranked, F.lit(1), F.size(ranked) - 1),
+        F.slice(ranked, F.lit(2), F.size(ranked) - 1),
+        lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])),
     )
-
-    def step(state, window):
-        last = state["last"]
-        twin = last["i"].isNotNull() & F.coalesce(same(last, window), F.lit(False))
-        more = F.when(twin, F.array(last["i"], window["i"])).otherwise(F.array().cast("array<int>"))
-        return F.struct(F.concat(state["found"], more).alias("found"), window.alias("last"))
-
-    return F.array_sort(F.array_distinct(F.aggregate(ranked, start, step, lambda s: s["found"])))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
+    return F.when(F.col(ranked).isNull(), 0).otherwise(_covered(starts, n))
 
 
 def _covered(starts: Column, n: int) -> Column:
@@ -101,9 +96,12 @@ def _covered(starts: Column, n: int) -> Column:
     )
 
 
-def _is_word(place: int):
-    """A condition: the word is the one at a place of the language's list."""
-    return lambda word: word == F.get("listed", F.lit(place))
+def _listed(place: int) -> Column:
+    """The word at a place of the language's list; empty without a list, which no word is."""
+    word = F.lit("")
+    for lang, words in COMMON.items():
+        word = F.when(F.col("lang") == lang, F.lit(words[place])).otherwise(word)
+    return word
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -114,27 +112,23 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"),
     )
     split = narrow.withColumn("words", words_of(F.col("text")))
+    split = split.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    split = split.withColumn("windows", window_hashes()).withColumn("ranked", ranked_windows())
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
     counted = split.select(
         "doc_id",
         "lang",
         "words",
+        repeated_words().cast("long").alias("n_repeat_words"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         *(F.regexp_count("text", F.lit(pattern)).cast("long").alias(f"c_{name}") for name, pattern in CLASSES.items()),
     )
-    # lower case never has fewer characters, so a longer word is on no list
-    short = F.filter("words", lambda w: F.length(w) <= LONGEST_COMMON)
-    plain = F.transform(short, lambda w: F.lower(w))
-    lists = F.coalesce(
-        *(F.when(F.col("lang") == lang, F.array(*map(F.lit, words))) for lang, words in COMMON.items()),
-        F.array().cast("array<string>"),
-    )
-    common = counted.withColumn("listed", lists).withColumn(
-        "hits", F.filter(plain, lambda w: F.array_contains(F.col("listed"), w))
-    )
-    hits = [F.size(F.filter("hits", _is_word(k))) for k in range(COMMON_WORDS)]
+    # words of any list first, each looked up once; then only these are counted by the language's own list
+    listed = sorted({word for words in COMMON.values() for word in words})
+    common = counted.withColumn("hits", F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(listed)))
+    hits = [F.size("hits") - F.size(F.array_remove("hits", _listed(k))) for k in range(COMMON_WORDS)]
     known = [F.col(f"c_{name}") for name in CLASSES]
     return common.select(
         "doc_id",
@@ -143,10 +137,10 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         "word_chars",
         F.col("c_symbol").alias("n_symbols"),
         "n_dup_lines",
-        repeated_words().cast("long").alias("n_repeat_words"),
+        "n_repeat_words",
         F.array(*known, F.col("word_chars") - sum(known[1:], known[0])).alias("chars"),
-        F.array(*hits, F.col("n_words") - F.size("hits")).cast("array<long>").alias("common"),
-    ).withColumn(
+        F.array(*hits).cast("array<long>").alias("common"),
+    ).withColumn("common", F.concat("common", F.array(F.col("n_words") - _total(F.col("common"))))).withColumn(
         "base_failed",
         (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
     )
@@ -164,9 +158,13 @@ def references(rows: DataFrame) -> DataFrame:
     )
 
 
+def _total(bins: Column) -> Column:
+    return F.aggregate(bins, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
 def shares(bins: Column) -> Column:
     """Each bin's part of the whole; null for an empty histogram."""
-    total = F.aggregate(bins, F.lit(0).cast("long"), lambda a, n: a + n)
+    total = _total(bins)
     return F.when(total > 0, F.transform(bins, lambda n: n / total))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 
 import pytest
 
@@ -109,3 +110,21 @@ def test_awkward_rows_and_no_python(awkward):
     assert rules.quality_rules(awkward.limit(0)).count() == 0
     plan = rules.measured(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_text_of_repeats(docs_of):
+    """Time in proportion to the words: places of repeats are not gathered one by one into growing arrays."""
+    words = [f"w{i}" for i in range(60_000)]
+    text = " ".join(words + words)
+    began = time.monotonic()
+    row = rules.measured(docs_of(text).selectExpr("*", "'en' AS lang")).first()
+    assert time.monotonic() - began < 15
+    assert (row["n_words"], row["n_repeat_words"], row["base_failed"]) == (120_000, 120_000, True)
+
+
+def test_common_words_of_other_lists(docs_of):
+    """A word counts by its own language's list only, whatever its case; without a list there is none."""
+    text = "la LA de que der THE the_ und"
+    for lang, counts in (("fr", {1: 2, 2: 1, 8: 1}), ("de", {0: 1, 2: 1}), ("en", {0: 1}), ("xx", {})):
+        row = rules.measured(docs_of(text).selectExpr("*", f"'{lang}' AS lang")).first()
+        assert row["common"] == [counts.get(i, 0) for i in range(12)] + [8 - sum(counts.values())], lang
