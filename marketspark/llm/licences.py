@@ -145,8 +145,8 @@ def canonical(text: Column) -> Column:
     return F.trim(plain)
 
 
-def parts(text: Column) -> Column:
-    """Canonical forms of the lines and paragraphs of a text, each once; with empty ones."""
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of a text whose lines are kept."""
     plain = F.replace(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     plain = F.concat(F.lit("\n"), F.replace(plain, F.lit("\n"), F.lit(" \n")), F.lit(" "))
     plain = F.regexp_replace(F.regexp_replace(plain, NOTICE_LINE, "\n"), LIST_MARK, "\n")
@@ -154,7 +154,14 @@ def parts(text: Column) -> Column:
     plain = F.concat(F.lit(" "), F.replace(plain, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for spelling, common in EQUIVALENT:
         plain = F.replace(plain, F.lit(f" {spelling} "), F.lit(f" {common} "))
-    plain = F.regexp_replace(plain, " *\n *", "\n")
+    return F.regexp_replace(plain, " *\n *", "\n")
+
+
+def parts(plain: Column) -> Column:
+    """The canonical lines and paragraphs of a text, from `canonical_lines`, each once; with empty ones.
+
+    Read from a column, which is made once; an expression would be worked out for lines and paragraphs again.
+    """
     across = [(a, b) for a, b in EQUIVALENT if "  " in a]
 
     def whole(paragraph: Column) -> Column:
@@ -167,10 +174,14 @@ def parts(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, F.transform(F.split(plain, "\n\n+"), whole)))
 
 
+def sha(form: Column) -> Column:
+    """SHA-256 of a canonical form; null if it is empty."""
+    return F.when(form != "", F.sha2(form.cast("binary"), 256))
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null if nothing is left of the text."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form.cast("binary"), 256))
+    return sha(canonical(text))
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -187,12 +198,18 @@ def find_licences(
     """
     names = known.select(digest(known["text"]).alias("part"), "licence").where("part is not null")
     names = names.groupBy("part").agg(F.min("licence").alias("licence"))
-    rows = narrow(df, id_col, text_col).select(
+    forms = narrow(df, id_col, text_col).select(
         "doc_id",
-        digest(F.col("text")).alias("digest"),
-        F.transform(F.filter(parts(F.col("text")), lambda p: p != ""), lambda p: F.sha2(p.cast("binary"), 256)).alias("parts"),
+        canonical(F.col("text")).alias("form"),
+        canonical_lines(F.col("text")).alias("plain"),
         F.monotonically_increasing_id().alias("row"),
     )
+    rows = forms.select(
+        "doc_id",
+        sha(F.col("form")).alias("digest"),
+        F.transform(F.filter(parts(F.col("plain")), lambda p: p != ""), sha).alias("parts"),
+        "row",
+    )
     found = rows.select("row", "doc_id", "digest", F.explode_outer(F.array_union("parts", F.array("digest"))).alias("part"))
     found = found.join(names, "part", "left").groupBy("row", "doc_id", "digest").agg(
         F.min(F.when(F.col("part") == F.col("digest"), F.col("licence"))).alias("whole"),

@@ -111,3 +111,12 @@ def test_lines_and_paragraphs(docs_of, known):
         2: ("MIT", ["MIT"]),
         3: (None, []),
     }
+
+
+def test_forms_are_made_once(docs_of, known):
+    """A form that is read in several places is a column, not an expression repeated in each of them."""
+    docs = docs_of("Some text.\n" + licences.KNOWN["MIT notice"])
+    plan = licences.find_licences(docs, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[^\p{L}\p{N}\n]+") == 1
+    texts = plan.split("Join LeftOuter")[1].split("Aggregate")[0]  # the documents, without the known licences
+    assert texts.count(r"[^\p{L}\p{N}]+") == 1
