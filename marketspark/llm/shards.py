@@ -21,7 +21,9 @@ no shard.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +39,11 @@ from marketspark.llm.common import SLICE_ROWS, folder, narrow
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END = 50_256  # free in the rank file
+AHEAD = r"|\s+(?!\S)|\s+"
+PLAIN = public_tokenizers.PATTERN.replace(AHEAD, r"|\s+")
+#: White space as the pattern means it, which is less than Python does.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BEFORE_LAST_SPACE = re.compile(f"[{WHITE}](?=[{WHITE}][^{WHITE}])")
 SEQUENCE_TOKENS = 512
 SHARD_ROWS = 16_384
 KEY = 0x5EED
@@ -76,18 +83,32 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 # --- sequences ---
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str = RANKS) -> tiktoken.Encoding:
+@lru_cache(maxsize=4)
+def encoder(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoded(text: str, path: str = RANKS) -> list[int]:
+    """Ids without an end mark, as `encoder` gives them, in less time.
+
+    The pattern's one condition on what follows only says that white space before a word ends in front
+    of its last character. Cut there, a text has the same tokens by a pattern without it.
+    """
+    plain = encoder(path, PLAIN).encode_ordinary
+    ids, start = [], 0
+    for cut in BEFORE_LAST_SPACE.finditer(text):
+        ids += plain(text[start : cut.end()])
+        start = cut.end()
+    return ids + plain(text[start:]) if start else plain(text)
 
 
 def token_ids(text: str, path: str = RANKS) -> np.ndarray:
     """Ids with the end mark. Lone surrogates, which UTF-8 can't hold, become a replacement mark."""
-    ids = encoder(path).encode_ordinary(text)
+    ids = encoded(text, path)
     ids.append(END)
-    return np.array(ids, "<u2")
+    return np.frombuffer(array("H", ids), np.uint16).astype("<u2", copy=False)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +123,7 @@ def sequence_counts(rows: DataFrame, tokens: int, path: str) -> dict[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for some in _slices(batches):
-            total += sum(-(-len(token_ids(t, path)) // tokens) for t in some.column(1).to_pylist())
+            total += sum(-(-(len(encoded(t, path)) + 1) // tokens) for t in some.column(1).to_pylist())
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([total])], ["part", "sequences"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pytest
 
@@ -57,3 +59,16 @@ def test_query_form(spark, docs_of):
     crc = {r["doc_id"]: r["crc"] for r in rows}
     assert crc[1] == shards.crc_of(np.array([shards.END]))
     assert shards.training_order(docs_of("x").limit(0)).count() == 0
+
+
+def test_tokens_equal_the_library():
+    """Texts cut before the last white space of a run have the tokens of the whole text, whatever stands there."""
+    assert "(?!" not in shards.PLAIN  # what makes the library's pattern slow
+    whole = shards.encoder().encode_ordinary
+    signs = [" ", "\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "\u200b", "a", "'s", "9", "."]
+    texts = ["".join(x) for n in range(6) for x in product([" ", "\n", "\x1c", "a", "'s"], repeat=n)]
+    texts += ["".join(x) for n in (3, 4) for x in product(signs, repeat=n)]
+    texts += ["it's  we'll\n   go \n\n on ", "x" * 500 + " \ud800 y", "日本語 é ß 😀 <|endoftext|> 'll"]
+    texts += [f"{a}{chr(c)}{chr(c)}{b}" for c in range(0x3100) for a, b in (("a", "b"), (" ", " b"))]
+    for text in texts:
+        assert shards.encoded(text) == whole(text), repr(text)
