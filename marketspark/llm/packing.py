@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from marketspark.llm.common import stored, text_function
 from marketspark.llm.copies import with_group
-from marketspark.llm.shards import RANKS, encoder
+from marketspark.llm.shards import encoded
 from marketspark.llm.simhash import unused
 
 CAPACITY = 2048  # tokens
@@ -155,8 +155,7 @@ def pack(
 
 
 def _tokens():
-    ids = encoder(RANKS)
-    return lambda texts: pa.array([len(ids.encode_ordinary(t)) + 1 for t in texts], pa.int64())
+    return lambda texts: pa.array([len(encoded(t)) + 1 for t in texts], pa.int64())
 
 
 def token_length(text: Column) -> Column:
