@@ -23,8 +23,10 @@ many sets as fit its bytes; there are no ties, as links have no order. Columns o
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,35 +43,82 @@ SIMILARITY = 0.8
 BANDS, BAND_HASHES = 25, 4
 SEED = 7
 HASHES_AT_ONCE = 4096
-WORDS_AT_ONCE = 1 << 16
+CHARS_AT_ONCE = 1 << 15
 DEVIATIONS = 5
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 1 << 32, (BANDS * BAND_HASHES, 1), np.uint32) | np.uint32(1)
 OFFSETS = _random.integers(0, 1 << 32, (BANDS * BAND_HASHES, 1), np.uint32)
+BAND_FACTORS = _random.integers(0, 1 << 64, BAND_HASHES, np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def hashes_of(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words."""
-    some = (words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE))
-    return np.concatenate([pd.util.hash_array(np.array(part, object), categorize=False) for part in some])
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted, distinct hashes of the shingles of a text; none for a blank text."""
-    found = (text or "").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(found) < SHINGLE_WORDS:
-        return np.array([xxhash.xxh64_intdigest(" ".join(found).encode("utf-8", "surrogatepass"), SEED + 1)], np.uint64)
-    hashes = hashes_of(found)
-    n = len(found) - SHINGLE_WORDS + 1
+BAND_SALTS = np.arange(1, BANDS + 1, dtype=np.uint64) * STEP
+
+
+def _weights(n: int) -> np.ndarray:
+    """Odd random factors of the characters of a word, by their places."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * STEP
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31)) | np.uint64(1)
+
+
+WEIGHTS = _weights(256)
+WHITE = np.zeros(sys.maxunicode + 1, bool)  # what str.split() splits at; none stands beyond U+3000
+WHITE[[i for i in range(0x3001) if chr(i).isspace()]] = True
+
+
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of some CHARS_AT_ONCE characters; a longer one stands alone."""
+    some, chars = [], 0
+    for text in texts:
+        if some and chars + len(text) > CHARS_AT_ONCE:
+            yield some
+            some, chars = [], 0
+        some.append(text)
+        chars += len(text)
+    if some:
+        yield some
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, one text after the other, and where each text's words end."""
+    text_ends = np.cumsum([len(text) + 1 for text in texts])
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(~WHITE.take(points))
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    lengths = np.diff(starts, append=len(at))
+    place = np.arange(len(at)) - np.repeat(starts, lengths)
+    weights = WEIGHTS if lengths.max() <= len(WEIGHTS) else _weights(int(lengths.max()))
+    values = points[at].astype(np.uint64) + np.uint64(1)
+    values *= weights.take(place)
+    hashes = np.add.reduceat(values, starts)
+    return (hashes ^ (hashes >> np.uint64(32))) * STEP, np.searchsorted(at[starts], text_ends)
+
+
+def _runs(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of every so many words in a row."""
+    n = max(len(hashes) - words + 1, 0)
     runs = hashes[:n].copy()
-    for i in range(1, SHINGLE_WORDS):
+    for i in range(1, words):
         runs = (runs ^ (runs >> np.uint64(29))) * STEP + hashes[i : i + n]
-    runs.sort()
-    return runs[np.append(True, runs[1:] != runs[:-1])]
+    return runs
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Sorted, distinct hashes of the shingles of each text; none for a blank text."""
+    for some in portions([(text or "").lower() for text in texts]):
+        hashes, ends = word_hashes(some)
+        runs, start = _runs(hashes, SHINGLE_WORDS), 0
+        for end in ends.tolist():
+            if end - start >= SHINGLE_WORDS:
+                parts = np.sort(runs[start : end - SHINGLE_WORDS + 1])
+                new = parts[1:] != parts[:-1]
+                yield parts if new.all() else parts[np.append(True, new)]
+            else:  # all words are one shingle
+                yield _runs(hashes[start:end], end - start) if end > start else np.zeros(0, np.uint64)
+            start = end
 
 
 def minima(parts: np.ndarray) -> np.ndarray:
@@ -83,11 +132,9 @@ def minima(parts: np.ndarray) -> np.ndarray:
 
 def bands_of(least: np.ndarray) -> np.ndarray:
     """Signed keys of the bands."""
-    hashes = least.reshape(BANDS, BAND_HASHES).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * STEP
-    for i in range(BAND_HASHES):
-        keys = ((keys ^ (keys >> np.uint64(32))) * STEP) ^ (hashes[:, i] * FACTORS[i, 0])
-    return ((keys ^ (keys >> np.uint64(29))) * STEP).view(np.int64)
+    keys = (least.reshape(BANDS, BAND_HASHES) * BAND_FACTORS).sum(axis=1) + BAND_SALTS
+    keys = (keys ^ (keys >> np.uint64(32))) * STEP
+    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
 
 
 def sketch_of(least: np.ndarray) -> bytes:
@@ -124,23 +171,30 @@ SIGNATURE = T.StructType(
 
 
 def _signatures():
-    kind = pa.struct([("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-
     def each(texts: list[str | None]) -> pa.Array:
-        found = []
-        for text in texts:
-            parts = shingles(text)
-            fp = int(np.uint64(xxhash.xxh64_intdigest(parts.tobytes(), SEED)).view(np.int64))
+        prints, sizes, ends, bands, sketches = [], [], [0], [], []
+        for parts in shingle_sets(texts):
             least = minima(parts)
-            bands = bands_of(least) if len(parts) else []
-            found.append({"fp": fp, "size": len(parts), "bands": bands, "sketch": sketch_of(least)})
-        return pa.array(found, kind)
+            prints.append(xxhash.xxh64_intdigest(parts, SEED))
+            sizes.append(len(parts))
+            if len(parts):
+                bands.append(bands_of(least))
+            ends.append(ends[-1] + (len(bands[-1]) if len(parts) else 0))
+            sketches.append(sketch_of(least))
+        keys = np.concatenate([np.zeros(0, np.int64), *bands])
+        columns = [
+            pa.array(np.array(prints, np.uint64).view(np.int64)),
+            pa.array(sizes, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)),
+            pa.array(sketches, pa.binary()),
+        ]
+        return pa.StructArray.from_arrays(columns, SIGNATURE.names)
 
     return each
 
 
 def _shingle_bytes():
-    return lambda texts: pa.array([shingles(text).tobytes() for text in texts], pa.binary())
+    return lambda texts: pa.array([parts.tobytes() for parts in shingle_sets(texts)], pa.binary())
 
 
 def signed(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
