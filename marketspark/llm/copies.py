@@ -9,8 +9,8 @@ size (`blocks`), each time only as spanning forests, never as rows of pairs:
    at 0.8 falls below with a chance of about one in 100,000). Likely pairs join to parts.
 2. The texts of a part compare all their shingles (64-bit hashes of them). Only these links count.
 
-With `prints`, the fingerprints of `simhash` propose as well: texts of one of its components meet in step 1,
-beside those of a band. What either proposes is decided by all shingles.
+With `prints`, texts that `simhash` links by their fingerprints are near copies as well, whatever their shingles
+say: a group is then joined by links of either kind. A blank text has no fingerprint there.
 
 So unlike texts that share a band cost a few bytes each, and a text's shingles are sent once for each
 block that its part is cut into. A crowd of near copies costs what its size is.
@@ -214,6 +214,12 @@ def print_keys(scratch: Scratch, rows: DataFrame) -> DataFrame:
     return prints.join(found, "fp").select(F.col("root").alias("key"), "node").distinct()
 
 
+def print_links(keys: DataFrame) -> DataFrame:
+    """(key, node) of `print_keys` -> (u, v): all sets of a component are linked to the smallest one."""
+    lowest = keys.groupBy("key").agg(F.min("node").alias("low"))
+    return keys.join(lowest, "key").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+
+
 def groups(
     marked: DataFrame, name: str, text_col: str = "text", least: float = SIMILARITY, prints: bool = False
 ) -> DataFrame:
@@ -224,8 +230,6 @@ def groups(
     one = rows.drop("text").join(rows.groupBy("fp").agg(F.min("row").alias("row")), ["fp", "row"])
     one = scratch.store(one.withColumnRenamed("fp", "node"), "fingerprints")
     keys = one.select(F.explode("bands").alias("key"), "node", F.lit(0).alias("bytes"))
-    if prints:
-        keys = keys.unionByName(print_keys(scratch, rows).withColumn("bytes", F.lit(0)))
     likely = likely_at(least)
     parts = components(forest(scratch, keys, one.select("node", "size", "sketch"), likely))
     parts = scratch.store(parts.withColumnRenamed("root", "key"), "parts")
@@ -236,6 +240,8 @@ def groups(
     whole = scratch.store(whole.select("node", "size", "sketch", "parts"), "sets")
     keys = parts.join(whole.select("node", (F.col("size") * 8).alias("bytes")), "node").select("key", "node", "bytes")
     links = forest(scratch, keys, whole, likely, lambda a, b: similarity(a, b) >= least)
+    if prints:
+        links = links.unionByName(print_links(print_keys(scratch, rows)))
     found = stored(components(links), "groups").withColumnRenamed("node", "fp")
     scratch.drop()
     return found
